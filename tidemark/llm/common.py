@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,13 +17,11 @@ SLICE_BYTES = 16 << 20
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share. Where the session names none (tests), a temporary one is set."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="spark-tidemark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", found)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
+    sc = spark.sparkContext
+    found = sc.getConf().get("spark.checkpoint.dir")
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(found or tempfile.mkdtemp(prefix="spark-tidemark-", dir="/tmp"))
+    return (found or sc.getCheckpointDir()).rstrip("/")
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -44,16 +43,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Split batches by the bytes of ``column``, keeping the order; a single long text stays whole."""
     for batch in batches:
-        if batch.nbytes <= SLICE_BYTES:
+        if batch.nbytes <= most:
             yield batch
             continue
         start, held = 0, 0
-        for i, n in enumerate(pa.compute.binary_length(batch.column(column)).to_pylist()):
+        for i, n in enumerate(pc.binary_length(batch.column(column)).to_pylist()):
             n = n or 0
-            if i > start and held + n > SLICE_BYTES:
+            if i > start and held + n > most:
                 yield batch.slice(start, i - start)
                 start, held = i, 0
             held += n
