@@ -1,6 +1,8 @@
-"""Every registered query with its oracle, gathered from the modules in ``tidemark.plans``."""
+"""Every registered query with its oracle; importing the modules of ``tidemark.plans`` fills both."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from tidemark.plans import bars, panel  # noqa: F401
+from tidemark.plans.base import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
