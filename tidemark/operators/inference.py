@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType
 
 
 def lag_order(n: Column) -> Column:
@@ -38,13 +39,13 @@ def long_run_variance(series: DataFrame, keys: list[str], value: str) -> DataFra
     )
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def student_p(t: pd.Series, df: pd.Series, side: pd.Series) -> pd.Series:
     """p-value of a t statistic; df 0 stands for the normal distribution."""
     return pd.Series([_tail(a, b, s) for a, b, s in zip(t, df, side, strict=True)])
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def chi1_p(x: pd.Series) -> pd.Series:
     """Upper tail of the chi-squared distribution with one degree of freedom."""
     return x.map(lambda v: math.erfc(math.sqrt(v / 2)) if v is not None and v >= 0 else None)
