@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.plans import bars, evaluation, panel  # noqa: F401
+from tidemark.plans import bars, evaluation, models, panel  # noqa: F401
 from tidemark.plans.base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -83,16 +83,10 @@ def path_decomposition(ratio_table: DataFrame, by: list[str], har_x: str, penali
     """Percentage points that each step of the model path adds or takes."""
     of = lambda m: F.max(F.when(F.col("model") == m, F.col("ratio")))
     row = ratio_table.groupBy(*by).agg(of(har_x).alias("x"), of(penalised).alias("p"), of(forest).alias("f"), F.min(F.when(F.col("model").isin(networks), F.col("ratio"))).alias("nn"))
-    pp = lambda a: a * 100
-    return row.select(
-        *by,
-        pp(F.col("x") - 1).alias("overfit"),
-        pp(F.col("x") - F.col("p")).alias("penalty_gain"),
-        pp(F.col("p") - F.col("f")).alias("forest_marginal"),
-        pp(F.least("p", "f") - F.col("nn")).alias("network_marginal"),
-        pp(1 - F.col("nn")).alias("total"),
-        F.when(F.col("nn") < 1, (F.col("x") - F.col("p")) / (1 - F.col("nn"))).alias("penalty_share"),
-    )
+    x, p, f, nn = (F.col(c) for c in ("x", "p", "f", "nn"))
+    legs = {"overfit": x - 1, "penalty_gain": 1 - p, "forest_marginal": p - f, "network_marginal": f - nn, "total": 1 - nn}
+    share = F.when(nn < 1, (1 - p) / (1 - nn))
+    return row.select(*by, *[(100 * c).alias(n) for n, c in legs.items()], share.alias("penalty_share"))
 
 
 def best_edge(ratio_table: DataFrame, by: list[str], baseline: str) -> DataFrame:

@@ -83,8 +83,8 @@ register("i10_sub_period", i10, """, p AS (SELECT instrument, model, avg((y - y_
 SELECT instrument, model, 'mse' AS loss, round(v, 5) AS value, round(v / max(CASE WHEN model = 'RVM' THEN v END) OVER (PARTITION BY instrument), 5) AS ratio FROM p""", 5)
 register("i11_subset_ratio_table", lambda s, d: L.ratios(table(s, d).where("model in ('RVD', 'RVM')"), "RVM", ["instrument", "loss"]).drop("value"), "SELECT instrument, model, loss, round(ratio, 6) AS ratio FROM ratiotab WHERE model IN ('RVD', 'RVM')")
 register("i12_path_decomposition", lambda s, d: L.path_decomposition(ratio_table(s, d), ["instrument", "loss"], "RVD", "RVW", "RVM", ["AVG3"]), """, w AS (SELECT instrument, loss, max(CASE WHEN model = 'RVD' THEN ratio END) AS x, max(CASE WHEN model = 'RVW' THEN ratio END) AS p, max(CASE WHEN model = 'RVM' THEN ratio END) AS f, min(CASE WHEN model = 'AVG3' THEN ratio END) AS nn FROM ratiotab GROUP BY 1, 2)
-SELECT instrument, loss, round((x - 1) * 100, 5) AS overfit, round((x - p) * 100, 5) AS penalty_gain, round((p - f) * 100, 5) AS forest_marginal, round((least(p, f) - nn) * 100, 5) AS network_marginal, round((1 - nn) * 100, 5) AS total,
-  round(CASE WHEN nn < 1 THEN (x - p) / (1 - nn) END, 5) AS penalty_share FROM w""", 5)
+SELECT instrument, loss, round((x - 1) * 100, 5) AS overfit, round((1 - p) * 100, 5) AS penalty_gain, round((p - f) * 100, 5) AS forest_marginal, round((f - nn) * 100, 5) AS network_marginal, round((1 - nn) * 100, 5) AS total,
+  round(CASE WHEN nn < 1 THEN (1 - p) / (1 - nn) END, 5) AS penalty_share FROM w""", 5)
 register("i13_ratio_dispersion", lambda s, d: L.across(ratio_table(s, d), ["model", "loss"]).drop("mean_ratio", "median_ratio"), f"SELECT model, loss, {', '.join(f'round(quantile_cont(ratio, CAST({q} AS DOUBLE)), 6) AS {n}' for q, n in ((0.0, 'least'), (0.25, 'q25'), (0.5, 'q50'), (0.75, 'q75'), (1.0, 'most')))} FROM ratiotab GROUP BY 1, 2")
 register("i14_best_edge", lambda s, d: L.best_edge(ratio_table(s, d), ["instrument", "loss"], "RVD"), "SELECT instrument, loss, round(greatest((1 - min(CASE WHEN model <> 'RVD' THEN ratio END)) * 100, 0.0), 5) AS edge FROM ratiotab GROUP BY 1, 2", 5)
 
@@ -183,9 +183,9 @@ register("j13_ratio_interval", lambda s, d: inference.ratio_interval(with_baseli
 
 
 def j14(s: SparkSession, d: str) -> DataFrame:
-    """Intervals of the path legs: each model's mean loss over that of the step before."""
+    """Intervals of the path legs: mean losses over those of the baseline or of the step before."""
     rows = losses(s, d).groupBy("instrument", "day").pivot("model", ["RVD", "RVW", "RVM", "AVG3"]).agg(F.first("mae"))
-    legs = [("start", "RVD", "RVM"), ("penalty", "RVW", "RVD"), ("forest", "RVM", "RVW"), ("network", "AVG3", "RVM")]
+    legs = [("overfit", "RVD", "RVM"), ("penalty", "RVW", "RVM"), ("forest", "AVG3", "RVW"), ("network", "RVM", "AVG3"), ("total", "AVG3", "RVM")]
     long = rows.select("instrument", "day", F.explode(F.array(*[F.struct(F.lit(n).alias("leg"), F.col(a).alias("top"), F.col(b).alias("bottom")) for n, a, b in legs])).alias("l")).select("instrument", "day", "l.*")
     return inference.ratio_interval(inference.placed(long, ["instrument", "leg"]), ["instrument", "leg"], "top", "bottom", DRAWS)
 
