@@ -10,9 +10,9 @@
 3. What a node finds alike is confirmed on the full sets by exact integers. Links are kept as stars
    of a group's own components, never as all pairs, and components are joined over the table.
 4. A node above ``NODE`` members is dealt into chunks that share pivots, which is linear in its
-   size. If its members end up in one component nothing is left to find. If few are outside the
-   largest component, they are compared in blocks with all others; if many are, the node branches
-   again by further tokens. So no cap drops a partner.
+   size, and branches on by further tokens. What is still above it at the last level is dense; there,
+   and in groups above ``GROUP``, every member outside the largest component so far is compared in
+   blocks with all members. So no cap drops a partner.
 
 The sketch test passes a pair at the threshold but for five standard deviations (3e-7).
 
@@ -47,10 +47,10 @@ SKETCH = 64
 NODE = 2048
 PART = 384
 #: Members of a group whose full sets one task compares.
-GROUP = 256
+GROUP = 384
 PIVOTS = 48
-#: Levels that an oversize node branches before all its pairs are compared in blocks.
-LEVELS = 6
+#: Levels that an oversize node branches on.
+LEVELS = 4
 _WORDS_KEPT = 400_000
 _COLUMNS = 1 << 14
 
@@ -191,48 +191,37 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, shingle: int, trees: int,
 def _links(rows: DataFrame, classes: DataFrame, shingle: int, similar: int) -> DataFrame:
     """Confirmed links (a, b) between classes that connect what is linked."""
     heads = classes.where("rid = cls").select(F.col("rid").alias("cls"))
-    sketches = rows.where("d1 is not null").select(F.col("rid").alias("cls"), "n", "sketch")
-    words = rows.where("d1 is not null").select(F.col("rid").alias("cls"), "words")
-    start = rows.where("d1 is not null").select(F.col("rid").alias("cls"), F.explode("roots").alias("key")).join(heads, "cls")
-    nodes = cut(_sized(start))
-    edges: list[DataFrame] = []
-
-    def confirm(tasks: DataFrame) -> None:
-        """tasks: (key, sub, cls), compared by sketch and then by full set."""
-        alike = cut(_alike(tasks.join(sketches, "cls"), similar))
-        groups = alike.groupBy("key").agg(F.count("*").alias("m"))
-        sized = alike.join(groups, "key")
-        if alike.isEmpty():
-            return
-        edges.append(cut(_confirmed(_chunked(sized, GROUP).join(words, "cls"), shingle, similar)))
-        wide = sized.where(F.col("m") > GROUP)
-        rest = _outside(wide, _union(edges))
-        if rest is not None:
-            edges.append(cut(_confirmed(_blocks(rest, GROUP).join(words, "cls"), shingle, similar)))
-
-    for level in range(LEVELS + 1):
-        confirm(_chunked(nodes, NODE))
-        wide = nodes.where(F.col("m") > NODE)
-        if not edges or wide.isEmpty():
-            break
-        rest = _outside(wide, _union(edges))
-        if rest is None:
+    firsts = rows.where("d1 is not null")
+    sketches = firsts.select(F.col("rid").alias("cls"), "n", "sketch")
+    nodes = cut(_sized(firsts.select(F.col("rid").alias("cls"), F.explode("roots").alias("key")).join(heads, "cls")))
+    tasks, wide = _chunked(nodes, NODE), nodes.where(F.col("m") > NODE)
+    for level in range(LEVELS):
+        if wide.isEmpty():
             break
-        few = rest if level == LEVELS else rest.where(F.col("r") <= NODE)
-        if not few.isEmpty():
-            confirm(_blocks(few, NODE))
-        many = rest.where(F.col("r") > NODE).select("key", "cls")
-        if level == LEVELS or many.isEmpty():
-            break
-        nodes = cut(_sized(_branched(many.join(sketches, "cls"), level)))
-    return _union(edges) if edges else start.select(F.col("cls").alias("a"), F.col("cls").alias("b")).limit(0)
-
-
-def _union(edges: list[DataFrame]) -> DataFrame:
-    out = edges[0]
-    for more in edges[1:]:
-        out = out.union(more)
-    return out
+        nodes = cut(_sized(_branched(wide.join(sketches, "cls"), level)))
+        tasks, wide = tasks.union(_chunked(nodes, NODE)), nodes.where(F.col("m") > NODE)
+
+    alike = _alike(tasks.join(sketches, "cls"), similar)
+    alike = cut(alike.join(alike.groupBy("key").agg(F.count("*").alias("m")), "key"))
+    words = firsts.select(F.col("rid").alias("cls"), "words")
+    words = staged(words.join(alike.select("cls").distinct(), "cls"), "near-words")
+    confirm = lambda t: cut(_confirmed(t.join(words, "cls"), shingle, similar))
+    edges = confirm(_chunked(alike, GROUP))
+    rest = _outside(alike.where(F.col("m") > GROUP), edges)
+    if rest is not None:
+        edges = edges.union(confirm(_blocks(rest, GROUP)))
+    if not wide.isEmpty():  # dense beyond the last level: whoever is outside meets everyone
+        rest = _outside(wide, edges)
+        if rest is not None:
+            more = _alike(_blocks(rest, NODE).join(sketches, "cls"), similar)
+            more = cut(more.join(more.groupBy("key").agg(F.count("*").alias("m")), "key"))
+            words = firsts.select(F.col("rid").alias("cls"), "words").join(more.select("cls").distinct(), "cls")
+            words = staged(words, "near-words")
+            edges = edges.union(confirm(_chunked(more, GROUP)))
+            rest = _outside(more.where(F.col("m") > GROUP), edges)
+            if rest is not None:
+                edges = edges.union(confirm(_blocks(rest, GROUP)))
+    return edges
 
 
 def _sized(members: DataFrame) -> DataFrame:
@@ -391,7 +380,7 @@ def _confirmed(rows: DataFrame, shingle: int, similar: int) -> DataFrame:
         return exact_links([shinglers[0].of_words(w.split()) for w in words], similar).stars(names)
 
     stars = _by_group(rows, ["cls", "words"], compare, "a long, b long")
-    return stars.where("a <> b").distinct()
+    return stars.where("a <> b")
 
 
 def exact_links(sets: list[np.ndarray], similar: int) -> _Joined:
