@@ -88,7 +88,7 @@ def sentences(text: Column) -> Column:
     """Normalised sentences, in order, empty ones left out."""
     parted = F.regexp_replace(text, r"([.!?;:])[ \t-\r]+", "$1\n")
     plain = F.lower(F.regexp_replace(parted, r"[^A-Za-z0-9\n]+", " "))
-    return F.filter(F.transform(F.split(plain, "\n"), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(plain, "\n"), lambda s: F.trim(s)), lambda s: s != "")
 
 
 def recognise(docs: DataFrame, sentence_ids: dict[str, str] | None = None, rules: list | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
