@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DAY = F.to_date("ts")
+def day() -> Column:
+    """The calendar day of a bar."""
+    return F.to_date("ts")
 
 
 def session_filter(bars: DataFrame, opens: str = "09:30:00", closes: str = "16:00:00") -> DataFrame:
@@ -18,12 +20,12 @@ def _bucketed(bars: DataFrame, rows: int, reach: int) -> DataFrame:
     """Deal each instrument's bars, in time order, into buckets of ``rows`` bars, with copies of the
     ``reach`` bars on either side, so that a row window never needs a whole history in one task.
     The rank is a prefix sum of daily counts plus the rank within the day."""
-    daily = bars.groupBy("instrument", DAY.alias("day")).agg(F.count("*").alias("n"))
+    daily = bars.groupBy("instrument", day().alias("day")).agg(F.count("*").alias("n"))
     before = Window.partitionBy("instrument").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
     daily = daily.select("instrument", "day", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
     within = Window.partitionBy("instrument", "day").orderBy("ts")
     ranked = (
-        bars.withColumn("day", DAY)
+        bars.withColumn("day", day())
         .withColumn("within", F.row_number().over(within) - 1)
         .join(daily, ["instrument", "day"])
         .withColumn("rank", F.col("before") + F.col("within"))
@@ -64,7 +66,7 @@ def sample(bars: DataFrame, minutes: int) -> DataFrame:
     micros = F.expr("unix_micros(cast(ts as timestamp))")
     step = minutes * 60
     bar = (F.ceil(micros / (step * 1e6)) * step).cast("long").alias("bar")
-    return bars.groupBy("instrument", DAY.alias("day"), bar).agg(F.max_by("close", "ts").alias("price"))
+    return bars.groupBy("instrument", day().alias("day"), bar).agg(F.max_by("close", "ts").alias("price"))
 
 
 def with_returns(sampled: DataFrame, order: str = "bar") -> DataFrame:

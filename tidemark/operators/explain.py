@@ -63,7 +63,7 @@ def shapley_shares(rows: DataFrame, keys: list[str], score: Score, features: lis
         return {c: F.when(F.col(f"r{i}") <= limit if inclusive else F.col(f"r{i}") < limit, F.col(c)).otherwise(F.col(f"m_{c}")) for i, c in enumerate(features)}
 
     gains = F.array(*[F.struct(F.lit(c).alias("feature"), (score(reached(F.col(f"r{i}"), True)) - score(reached(F.col(f"r{i}"), False))).alias("gain")) for i, c in enumerate(features)])
-    long = placed.select(*keys, "day", F.explode(gains).alias("g")).select(*keys, "day", "g.*")
+    long = placed.select(*keys, "day", F.explode(gains).alias("_gain")).select(*keys, "day", "_gain.*")
     per_row = long.groupBy(*keys, "day", "feature").agg(F.avg("gain").alias("phi"))
     size = per_row.groupBy(*keys, "feature").agg(F.avg(F.abs("phi")).alias("size"))
     return size.select(*keys, "feature", (F.col("size") / F.sum("size").over(Window.partitionBy(*keys))).alias("share"))

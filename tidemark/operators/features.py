@@ -4,38 +4,41 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
-W = Window.partitionBy("instrument").orderBy("day")
+def by_day() -> WindowSpec:
+    """An instrument's rows in order of day."""
+    return Window.partitionBy("instrument").orderBy("day")
 
 
 def full_mean(c: Column, first: int, last: int) -> Column:
     """Mean over rows first..last around the current one; null unless all are there."""
-    frame = W.rowsBetween(first, last)
+    frame = by_day().rowsBetween(first, last)
     return F.when(F.count(c).over(frame) == last - first + 1, F.avg(c).over(frame))
 
 
 def full_sum(c: Column, first: int, last: int) -> Column:
-    frame = W.rowsBetween(first, last)
+    frame = by_day().rowsBetween(first, last)
     return F.when(F.count(c).over(frame) == last - first + 1, F.sum(c).over(frame))
 
 
 def har_lags(rv: str = "rv") -> dict[str, Column]:
     c = F.col(rv)
-    return {"rvd": F.lag(c, 1).over(W), "rvw": full_mean(c, -5, -1), "rvm": full_mean(c, -22, -1)}
+    return {"rvd": F.lag(c, 1).over(by_day()), "rvw": full_mean(c, -5, -1), "rvm": full_mean(c, -22, -1)}
 
 
 def semivariance_lags() -> dict[str, Column]:
-    return {"rvd_pos": F.lag("rv_pos").over(W), "rvd_neg": F.lag("rv_neg").over(W)}
+    return {"rvd_pos": F.lag("rv_pos").over(by_day()), "rvd_neg": F.lag("rv_neg").over(by_day())}
 
 
 def negative_return_lags(ret: str = "ret") -> dict[str, Column]:
     low = F.when(F.col(ret) < 0, F.col(ret)).otherwise(0.0)
-    return {"rn_d": F.lag(low).over(W), "rn_w": full_mean(low, -5, -1), "rn_m": full_mean(low, -22, -1)}
+    return {"rn_d": F.lag(low).over(by_day()), "rn_w": full_mean(low, -5, -1), "rn_m": full_mean(low, -22, -1)}
 
 
 def quarticity_terms() -> dict[str, Column]:
-    rq = F.lag("rq").over(W)
-    return {"rq_x_rv": F.sqrt(F.greatest(rq, F.lit(0.0))) * F.lag("rv").over(W), "rq_lag": rq}
+    rq = F.lag("rq").over(by_day())
+    return {"rq_x_rv": F.sqrt(F.greatest(rq, F.lit(0.0))) * F.lag("rv").over(by_day()), "rq_lag": rq}
 
 
 def target(horizon: int, rv: str = "rv") -> Column:
@@ -51,7 +54,7 @@ def momentum() -> Column:
 def dollar_volume_change() -> Column:
     """Change of log (price * volume), one row back; zero counts as missing."""
     dollar = F.log(F.nullif(F.col("price") * F.col("volume"), F.lit(0.0)))
-    return F.lag(dollar, 1).over(W) - F.lag(dollar, 2).over(W)
+    return F.lag(dollar, 1).over(by_day()) - F.lag(dollar, 2).over(by_day())
 
 
 def squared_return(close: str, order: str = "day") -> Column:
@@ -87,7 +90,7 @@ def build(daily: DataFrame, horizons: list[int], macro: DataFrame | None = None,
             rows = rows.join(marked, ["instrument", "day"], "left").withColumn("event", F.coalesce("event", F.lit(0.0)))
         else:
             rows = rows.withColumn("event", F.lit(0.0))
-        lag = lambda c, k=1: F.lag(c, k).over(W)
+        lag = lambda c, k=1: F.lag(c, k).over(by_day())
         columns |= {
             "iv": lag("vix"), "m1w": momentum(), "vix_lag": lag("vix"), "epu_lag": lag("epu"), "hsi_lag": lag("hsi"), "ads_lag": lag("ads"),
             "us3m_change": lag("us3m") - lag("us3m", 2), "event_lag": lag("event"), "dvol": dollar_volume_change(),

@@ -30,8 +30,8 @@ def members(rows: DataFrame, keys: list[str], x: list[str], tasks: list[dict], f
     """(keys, member, ..., day, split, y, y_pred): ``fit(split, X, y, task)`` gives predictions for
     every row and the values of the ``extra`` columns."""
     names = list(tasks[0])
-    table = F.explode(F.array(*[F.struct(F.lit(i).alias("member"), *[F.lit(t[k]).alias(k) for k in names]) for i, t in enumerate(tasks)])).alias("t")
-    asked = _packed(rows, keys, x).select(*keys, "rows", table).select(*keys, "rows", "t.*")
+    table = F.explode(F.array(*[F.struct(F.lit(i).alias("member"), *[F.lit(t[k]).alias(k) for k in names]) for i, t in enumerate(tasks)])).alias("_task")
+    asked = _packed(rows, keys, x).select(*keys, "rows", table).select(*keys, "rows", "_task.*")
     asked = asked.repartition(*keys, "member")
     added = [c.split()[0] for c in extra.split(", ")] if extra else []
 

@@ -156,7 +156,7 @@ def select_penalty(train: DataFrame, val: DataFrame, keys: list[str], x: list[st
     a = moments(zt, keys, x)
     b = moments(zv, keys, x).select(*keys, F.col("n").alias("vn"), F.col("mean").alias("vmean"), F.col("cross").alias("vcross"))
     points = F.explode(F.array(*[F.struct(F.lit(i * len(shares) + j).alias("point"), F.lit(g).alias("lam"), F.lit(s).alias("share")) for i, g in enumerate(grid) for j, s in enumerate(shares)]))
-    tasks = a.join(b, keys).select("*", points.alias("g")).select("*", "g.*").drop("g")
+    tasks = a.join(b, keys).select("*", points.alias("_point")).select("*", "_point.*").drop("_point")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         errors = []

@@ -7,9 +7,6 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import bars as B
 
-R = F.col("r")
-
-
 def _or_zero(x: Column) -> Column:
     return F.coalesce(x, F.lit(0.0))
 
@@ -17,14 +14,14 @@ def _or_zero(x: Column) -> Column:
 def daily_realised(returns: DataFrame, order: str = "bar", least: int = 2) -> DataFrame:
     """One row per instrument and day: variance, signed semivariances, quarticity, number of
     returns, open-to-close return. Days with fewer than ``least`` prices go. One aggregate."""
-    n = F.count("r")
+    n, r = F.count("r"), F.col("r")
     return (
         returns.groupBy("instrument", "day")
         .agg(
-            _or_zero(F.sum(R * R)).alias("rv"),
-            _or_zero(F.sum(F.when(R > 0, R * R).otherwise(0.0))).alias("rv_pos"),
-            _or_zero(F.sum(F.when(R < 0, R * R).otherwise(0.0))).alias("rv_neg"),
-            _or_zero(n / 3 * F.sum(R * R * R * R)).alias("rq"),
+            _or_zero(F.sum(r * r)).alias("rv"),
+            _or_zero(F.sum(F.when(r > 0, r * r).otherwise(0.0))).alias("rv_pos"),
+            _or_zero(F.sum(F.when(r < 0, r * r).otherwise(0.0))).alias("rv_neg"),
+            _or_zero(n / 3 * F.sum(r * r * r * r)).alias("rq"),
             n.cast("int").alias("n_returns"),
             (F.log(F.max_by("price", order)) - F.log(F.min_by("price", order))).alias("ret"),
             F.count("*").alias("prices"),
@@ -36,7 +33,7 @@ def daily_realised(returns: DataFrame, order: str = "bar", least: int = 2) -> Da
 
 def volume_and_price(bars: DataFrame) -> DataFrame:
     """Daily volume and last price of cleaned bars."""
-    return bars.groupBy("instrument", B.DAY.alias("day")).agg(F.sum("volume").alias("volume"), F.max_by("close", "ts").alias("price"))
+    return bars.groupBy("instrument", B.day().alias("day")).agg(F.sum("volume").alias("volume"), F.max_by("close", "ts").alias("price"))
 
 
 def daily_measures(bars: DataFrame, minutes: int = 5) -> DataFrame:
@@ -67,9 +64,9 @@ def bandwidth(n: Column, noise: Column, quarticity: Column, scale: float = 3.513
 
 def noise_and_quarticity(returns: DataFrame) -> DataFrame:
     """Per day: ``n``, noise variance and integrated quarticity."""
-    n = F.count("r")
+    n, r = F.count("r"), F.col("r")
     return returns.groupBy("instrument", "day").agg(
-        n.cast("int").alias("n"), (F.sum(R * R) / (2 * n)).alias("noise"), (n / 3 * F.sum(R * R * R * R)).alias("iq")
+        n.cast("int").alias("n"), (F.sum(r * r) / (2 * n)).alias("noise"), (n / 3 * F.sum(r * r * r * r)).alias("iq")
     )
 
 
@@ -77,7 +74,7 @@ def realised_kernel(returns: DataFrame, order: str = "bar", least: int = 5) -> D
     """Parzen realised kernel per day, with its bandwidth. Autocovariances are computed in the row
     from one sorted array of the day's returns, which is bounded by the sampling."""
     rows = returns.groupBy("instrument", "day").agg(
-        F.transform(F.sort_array(F.collect_list(F.when(R.isNotNull(), F.struct(order, "r")))), lambda s: s.r).alias("rs"), F.count("*").alias("prices")
+        F.transform(F.sort_array(F.collect_list(F.when(F.col("r").isNotNull(), F.struct(order, "r")))), lambda s: s.r).alias("rs"), F.count("*").alias("prices")
     )
     rows = rows.where(F.col("prices") >= least)
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda acc, x: acc + x)

@@ -231,7 +231,7 @@ register("m03_importance_grid", m3)
 
 
 def shares(s: SparkSession, d: str) -> DataFrame:
-    rows = parts(s, d)[2].withColumn("k", F.row_number().over(E.W)).where("k <= 300")
+    rows = parts(s, d)[2].withColumn("k", F.row_number().over(E.by_day())).where("k <= 300")
     return explain.shapley_shares(rows, ["instrument"], score, HAR, parts(s, d)[0], 6)
 
 

@@ -42,13 +42,13 @@ def _with_macro(s: SparkSession, d: str) -> DataFrame:
 
 
 register("f03_asof_join", lambda s, d: _with_macro(s, d).select("instrument", "day", "vix", "epu", "ads", "us3m", "hsi"), f", {_ASOF} SELECT instrument, {DAY}, {rounded('vix, epu, ads, us3m, hsi', 4)} FROM filled", 4)
-register("e09_rate_change", lambda s, d: _with_macro(s, d).select("instrument", "day", (F.lag("us3m").over(E.W) - F.lag("us3m", 2).over(E.W)).alias("us3m_change")), f", {_ASOF} SELECT instrument, {DAY}, round(lag(us3m, 1) {_O} - lag(us3m, 2) {_O}, 4) AS us3m_change FROM filled", 4)
-register("e11_implied_vol_proxy", lambda s, d: _with_macro(s, d).select("instrument", "day", F.lag("vix").over(E.W).alias("iv")), f", {_ASOF} SELECT instrument, {DAY}, round(lag(vix) {_O}, 4) AS iv FROM filled", 4)
+register("e09_rate_change", lambda s, d: _with_macro(s, d).select("instrument", "day", (F.lag("us3m").over(E.by_day()) - F.lag("us3m", 2).over(E.by_day())).alias("us3m_change")), f", {_ASOF} SELECT instrument, {DAY}, round(lag(us3m, 1) {_O} - lag(us3m, 2) {_O}, 4) AS us3m_change FROM filled", 4)
+register("e11_implied_vol_proxy", lambda s, d: _with_macro(s, d).select("instrument", "day", F.lag("vix").over(E.by_day()).alias("iv")), f", {_ASOF} SELECT instrument, {DAY}, round(lag(vix) {_O}, 4) AS iv FROM filled", 4)
 
 
 def e10(s: SparkSession, d: str) -> DataFrame:
     marked = views.event_days(s, d).withColumn("event", F.lit(1))
-    return daily(s, d).join(marked, ["instrument", "day"], "left").select("instrument", "day", F.lag(F.coalesce("event", F.lit(0))).over(E.W).alias("event_lag"))
+    return daily(s, d).join(marked, ["instrument", "day"], "left").select("instrument", "day", F.lag(F.coalesce("event", F.lit(0))).over(E.by_day()).alias("event_lag"))
 
 
 register("e10_event_dummy", e10, f"SELECT d.instrument, CAST(d.day AS VARCHAR) AS day, lag(CASE WHEN e.day IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY d.instrument ORDER BY d.day) AS event_lag FROM daily d LEFT JOIN event_days e ON d.instrument = e.instrument AND d.day = e.day")
@@ -152,7 +152,7 @@ def f14(s: SparkSession, d: str) -> DataFrame:
 
 
 register("f14_top_k", f14, "SELECT instrument, model, CAST(rank AS INTEGER) AS rank, round(value, 5) AS value FROM (SELECT *, row_number() OVER (PARTITION BY instrument ORDER BY value, model) AS rank FROM losstab WHERE loss = 'qlike') WHERE rank <= 2", 5)
-register("f15_first_rows", lambda s, d: split_features(s, d, [1]).where("split = 'test'").withColumn("k", F.row_number().over(E.W)).where("k <= 300").select("instrument", "day", "k"), f"SELECT instrument, {DAY}, CAST(k AS INTEGER) AS k FROM (SELECT *, row_number() OVER (PARTITION BY instrument ORDER BY day) AS k FROM splitted WHERE horizon = 1 AND split = 'test') WHERE k <= 300")
+register("f15_first_rows", lambda s, d: split_features(s, d, [1]).where("split = 'test'").withColumn("k", F.row_number().over(E.by_day())).where("k <= 300").select("instrument", "day", "k"), f"SELECT instrument, {DAY}, CAST(k AS INTEGER) AS k FROM (SELECT *, row_number() OVER (PARTITION BY instrument ORDER BY day) AS k FROM splitted WHERE horizon = 1 AND split = 'test') WHERE k <= 300")
 
 
 def f16(s: SparkSession, d: str) -> DataFrame:
