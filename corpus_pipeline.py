@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import decontaminate, exact_dedup, language_id, near_dedup, packing
-from tidemark.llm.common import shared_dir, table
+from tidemark.llm.common import rows_of, shared_dir, table
 from tidemark.llm.queries import BYTE_BPE, PIECES
 
 
@@ -19,7 +19,7 @@ def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     """Drop documents whose language can't be told: no letters at all."""
     model = language_id.learn(docs, PIECES)
     found = language_id.predict(docs, model, PIECES, carry=True)
-    return found.where("lang_pred <> 'und'").select("row.*").select(*docs.columns)
+    return rows_of(found.where("lang_pred <> 'und'"), docs)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

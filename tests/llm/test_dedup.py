@@ -28,7 +28,7 @@ def docs(spark):
         rows.append((i, " ".join(own)))
     rows += [(300, None), (301, ""), (302, " \t\n"), (303, "a  b\n"), (304, "a b "), (305, "a b"), (306, "x" * 50_000), (307, "x" * 49_999 + "y"), (308, "x" * 50_000)]
     rows += [(None, "a b"), (305, "a b"), (None, None)]
-    return spark.createDataFrame([(a, b, "clash", 1) for a, b in rows], "doc_id long, text string, keep_id string, rid int").repartition(3)
+    return spark.createDataFrame([(a, b, "clash", 1) for a, b in rows], "doc_id long, text string, `keep id.` string, rid int").repartition(3)
 
 
 def test_exact_groups(docs):

@@ -61,3 +61,13 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYT
 
 def unicode_text(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
+
+
+def whole_row(docs: DataFrame):
+    """The input row as one column, so that its names clash with nothing."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+
+
+def rows_of(df: DataFrame, docs: DataFrame) -> DataFrame:
+    """The input rows that ``df`` still carries, with the columns of ``docs``."""
+    return df.select(*[F.col(f"row.`{c}`") for c in docs.columns])

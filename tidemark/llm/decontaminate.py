@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import slices, staged, unicode_text
+from tidemark.llm.common import rows_of, slices, staged, unicode_text, whole_row
 
 WINDOW = 10
 #: Text bytes of the benchmark whose automaton one worker holds at once.
@@ -103,7 +103,7 @@ def find(
     the input row as the struct ``row``."""
     rows = docs.select(
         F.col(id_col).alias("id"),
-        *([F.struct(*docs.columns).alias("row")] if carry else []),
+        *([whole_row(docs)] if carry else []),
         unicode_text(text_col).alias("text"),
         F.expr("cast(array() as array<string>)").alias("items"),
         F.expr("cast(array() as array<int>)").alias("edges"),
@@ -175,4 +175,4 @@ def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
     """The documents without any hit, with the input's columns."""
-    return find(docs, benchmark, carry=True, **how).where("n_hit = 0").select("row.*").select(*docs.columns)
+    return rows_of(find(docs, benchmark, carry=True, **how).where("n_hit = 0"), docs)

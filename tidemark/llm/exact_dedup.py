@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import cut, slices, staged, unicode_text
+from tidemark.llm.common import cut, rows_of, slices, staged, unicode_text, whole_row
 
 BLOCK_BYTES = 4096
 #: Hash buckets in which blocks and pairs are ranked; names are bucket * 2**40 + rank.
@@ -64,7 +64,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows that stay, with the input's columns."""
-    return exact_groups(docs, id_col, text_col, block_bytes, carry=True).where("kept").select("row.*").select(*docs.columns)
+    return rows_of(exact_groups(docs, id_col, text_col, block_bytes, carry=True).where("kept"), docs)
 
 
 def _collapsed(docs: DataFrame, id_col: str, text_col: str, block_bytes: int, carry: bool) -> DataFrame:
@@ -102,7 +102,7 @@ def _collapsed(docs: DataFrame, id_col: str, text_col: str, block_bytes: int, ca
     rows = docs.select(
         F.col(id_col).alias("id"),
         unicode_text(text_col).alias("text"),
-        *([F.struct(*docs.columns).alias("row")] if carry else []),
+        *([whole_row(docs)] if carry else []),
     )
     kept = T.StructType([f for f in rows.schema.fields if f.name != "text"])
     for name, kind in (("rid", T.LongType()), ("rep", T.LongType()), ("text_sha256", T.StringType()), ("blocks", T.ArrayType(T.BinaryType()))):

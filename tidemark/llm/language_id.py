@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import slices, unicode_text
+from tidemark.llm.common import slices, unicode_text, whole_row
 
 #: Expected rows of the labelled sample.
 TRAIN_ROWS = 40_000
@@ -247,7 +247,7 @@ def predict(docs: DataFrame, model: Model, path: str, id_col: str = "doc_id", te
 
     rows = docs.select(
         F.col(id_col).alias("id"),
-        *([F.struct(*docs.columns).alias("row")] if carry else []),
+        *([whole_row(docs)] if carry else []),
         unicode_text(text_col).alias("text"),
     )
     schema = T.StructType([f for f in rows.schema.fields if f.name != "text"]).add("lang_pred", "string").add("score", "double")

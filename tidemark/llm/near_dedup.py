@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import cut, slices, staged, unicode_text
+from tidemark.llm.common import cut, rows_of, slices, staged, unicode_text, whole_row
 from tidemark.llm.components import components
 
 SHINGLE = 5
@@ -139,7 +139,7 @@ def near_groups(
 
 def drop_near_copies(docs: DataFrame, **how) -> DataFrame:
     """One row of each component, with the input's columns."""
-    return near_groups(docs, carry=True, **how).where("survivor").select("row.*").select(*docs.columns)
+    return rows_of(near_groups(docs, carry=True, **how).where("survivor"), docs)
 
 
 def _sets(docs: DataFrame, id_col: str, text_col: str, shingle: int, trees: int, carry: bool) -> DataFrame:
@@ -179,7 +179,7 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, shingle: int, trees: int,
 
     rows = docs.select(
         F.col(id_col).alias("id"),
-        *([F.struct(*docs.columns).alias("row")] if carry else []),
+        *([whole_row(docs)] if carry else []),
         unicode_text(text_col).alias("text"),
     )
     schema = T.StructType([f for f in rows.schema.fields if f.name != "text"])
