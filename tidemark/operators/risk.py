@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.inference import chi1_p
+from tidemark.functions.tails import chi1_p
 
 TINY = 1e-12
 

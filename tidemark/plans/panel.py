@@ -140,6 +140,13 @@ def f11(s: SparkSession, d: str) -> DataFrame:
     return part("train").unionByName(part("val"))
 
 
+def f10(s: SparkSession, d: str) -> DataFrame:
+    """Forecasts with the regime label of their day."""
+    labels = split_features(s, d, [1]).select("instrument", "day", (F.col("rvw") > F.col("rvm")).cast("int").alias("regime"))
+    return test_forecasts(s, d).where("model = 'RVD'").join(labels, ["instrument", "day"]).select("instrument", "day", "regime", "y_pred")
+
+
+register("f10_regime_join", f10, f"SELECT t.instrument, CAST(t.day AS VARCHAR) AS day, CAST(s.rvw > s.rvm AS INTEGER) AS regime, round(t.y_pred, 6) AS y_pred FROM test t JOIN splitted s ON s.instrument = t.instrument AND s.day = t.day AND s.horizon = 1 WHERE t.model = 'RVD'")
 register("f11_union", f11, f"SELECT instrument, {DAY}, round(y, 6) AS y FROM splitted WHERE horizon = 1 AND split <> 'test'")
 register("f12_intersect_distinct", lambda s, d: daily(s, d).select("day").intersect(views.macro(s, d).select("day")), f"SELECT {DAY} FROM (SELECT day FROM daily INTERSECT SELECT day FROM macro)")
 register("f13_sort", lambda s, d: daily(s, d).select("instrument", "day", "rv").orderBy("instrument", "day"), f"SELECT instrument, {DAY}, round(rv, 6) AS rv FROM daily ORDER BY 1, 2")
