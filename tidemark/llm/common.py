@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of an input batch are handed to Python code in slices of at most so many text bytes.
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -38,7 +38,7 @@ TRAIN_ROWS = 40_000
 POOLED = 200.0
 UNIFORM = 0.5
 _WORD = re.compile(r"[^\W\d_]+")
-_KEPT = 300_000
+_KEPT = 200_000
 #: Words up to so many characters (with the word mark) go through the matrices.
 _WIDE = 32
 _MARK = "▁"
@@ -134,8 +134,8 @@ def expected_counts(words: list[str], weight: np.ndarray, lex: Lexicon) -> np.nd
         on = [i for i, w in enumerate(words) if low < len(w) + 1 <= high]
         # a long word's parts teach as well as the word
         parts = [(words[i][k : k + _WIDE - 1], weight[i]) for i in on for k in range(0, len(words[i]), _WIDE - 1)]
-        for start in range(0, len(parts), 20_000):
-            part = parts[start : start + 20_000]
+        for start in range(0, len(parts), 5_000):
+            part = parts[start : start + 5_000]
             lattice = lex.lattice([p for p, _ in part])
             length = np.array([len(p) + 1 for p, _ in part])
             share = np.array([w for _, w in part], float)
@@ -210,8 +210,8 @@ class Scorer:
             self.code, self.rows = {}, self.rows[:0]
         split = [_WORD.findall(text.lower()) for text in texts]
         new = [w for w in dict.fromkeys(w for words in split for w in words) if w not in self.code]
-        for start in range(0, len(new), 20_000):
-            part = new[start : start + 20_000]
+        for start in range(0, len(new), 5_000):
+            part = new[start : start + 5_000]
             scores = word_scores(part, self.lex, self.model.chance)
             # runs of superscript digits and the like have no letter
             scores[[not w.isalpha() and not any(map(str.isalpha, w)) for w in part]] = np.nan

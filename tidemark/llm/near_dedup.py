@@ -51,7 +51,7 @@ GROUP = 384
 PIVOTS = 48
 #: Levels that an oversize node branches on.
 LEVELS = 4
-_WORDS_KEPT = 400_000
+_WORDS_KEPT = 150_000
 _COLUMNS = 1 << 14
 
 
@@ -112,7 +112,8 @@ def near_groups(
     rows = _sets(docs, id_col, text_col, shingle, trees, carry)
     firsts = rows.where(F.col("d1").isNotNull())
     classes = cut(firsts.select("rid", "n", F.min("rid").over(Window.partitionBy("d1", "d2")).alias("cls")))
-    edges = _links(rows, classes, shingle, similar)
+    words = F.col(f"row.`{text_col}`").cast("binary") if carry else F.col("words")
+    edges = _links(rows.withColumn("words", words), classes, shingle, similar)
     joined = components(edges).withColumnRenamed("node", "cls")
     own = F.struct(F.col("id").isNull(), "id", "rid")
     members = rows.groupBy("rep").agg(F.min(own).alias("least"))
@@ -144,7 +145,7 @@ def drop_near_copies(docs: DataFrame, **how) -> DataFrame:
 
 def _sets(docs: DataFrame, id_col: str, text_col: str, shingle: int, trees: int, carry: bool) -> DataFrame:
     """Rows with a number ``rid`` and ``rep``, the batch's first row with the same set; that row has
-    the set's size, digest, sketch, root tokens and normalised words."""
+    the set's size, digest, sketch, root tokens and (unless it carries its text) normalised words."""
     roots = trees * BRANCH
 
     def run(batches):
@@ -166,7 +167,7 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, shingle: int, trees: int,
                     continue
                 low = minwise(prints, keys)
                 d1, d2 = np.frombuffer(digest, np.int64).tolist()
-                values = (len(prints), d1, d2, (low[:SKETCH] >> np.uint64(56)).astype(np.uint8).tobytes(), _mix(low[SKETCH:] ^ tree).view(np.int64).tolist(), b" ".join(words))
+                values = (len(prints), d1, d2, (low[:SKETCH] >> np.uint64(56)).astype(np.uint8).tobytes(), _mix(low[SKETCH:] ^ tree).view(np.int64).tolist(), None if carry else b" ".join(words))
                 for k, v in zip(("n", "d1", "d2", "sketch", "roots", "words"), values, strict=True):
                     out[k].append(v)
             kinds = {"rep": pa.int64(), "n": pa.int64(), "d1": pa.int64(), "d2": pa.int64(), "sketch": pa.binary(), "roots": pa.list_(pa.int64()), "words": pa.binary()}
@@ -377,7 +378,7 @@ def _confirmed(rows: DataFrame, shingle: int, similar: int) -> DataFrame:
         if not shinglers:
             shinglers.append(Shingler(shingle))
         names, words = group
-        return exact_links([shinglers[0].of_words(w.split()) for w in words], similar).stars(names)
+        return exact_links([shinglers[0].of_words(w.lower().split()) for w in words], similar).stars(names)
 
     stars = _by_group(rows, ["cls", "words"], compare, "a long, b long")
     return stars.where("a <> b")
