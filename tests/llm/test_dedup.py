@@ -3,6 +3,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from tidemark.llm import exact_dedup, near_dedup
@@ -109,6 +110,25 @@ def test_near_groups_oversize_nodes(spark, docs, monkeypatch):
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in found) == expected
 
 
+def test_trees_over_one_boilerplate_group_are_independent(spark):
+    """Six trees' nodes with the same 1,200 members: a pair that one splits must meet in another."""
+    rng = np.random.default_rng(11)
+    n, width = 600, near_dedup.SKETCH
+    common = rng.integers(0, 256, width)
+    own = lambda: np.where(rng.random((n, width)) < 0.45, common, rng.integers(0, 256, (n, width)))
+    first = own()
+    second = np.where(rng.random((n, width)) < 0.8, first, own())
+    same = (first == second).sum(axis=1)
+    sketches = [bytes(row.astype(np.uint8).tolist()) for pair in zip(first, second, strict=True) for row in pair]
+    nodes = [(key, 0, i, 400, sketch) for key in (-5, 12, 1 << 60, 77, 901, 3) for i, sketch in enumerate(sketches)]
+    rows = spark.createDataFrame(nodes, "key long, sub long, cls long, n long, sketch binary")
+    group = defaultdict(set)
+    for r in near_dedup._alike(rows, 80).collect():
+        group[r.cls].add(r.key)
+    lost = [i for i in range(n) if same[i] >= 48 and not group[2 * i] & group[2 * i + 1]]
+    assert lost == []
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (3, 3), (9, 8), (8, 7), (7, 6), (6, 5), (20, 21), (21, 20)]
     found = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}

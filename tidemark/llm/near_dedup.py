@@ -4,9 +4,10 @@
    first within an Arrow batch and then across the table; only one member of a class goes on.
 2. ``trees`` independent trees branch the classes by selected minwise tokens, ``BRANCH`` per node.
    A node with at most ``NODE`` members is compared exhaustively by 64-byte sketches (inside, more
-   tokens are selected until a part is small). A pair at the threshold survives one node with
-   probability 1 - 0.2**2 = 0.96 and a tree of any depth with 0.93 or more, so six trees lose it
-   with probability under 1e-6.
+   tokens are selected until a part is small). What a node selects follows from its own key, so trees
+   over the same members differ. A pair at the threshold survives one node with probability
+   1 - 0.2**2 = 0.96 and a tree of any depth with 0.93 or more; below the roots all trees select from
+   one sketch, and averaged over its agreement six trees lose the pair with probability 1.2e-6.
 3. What a node finds alike is confirmed on the full sets by exact integers. Links are kept as stars
    of a group's own components, never as all pairs, and components are joined over the table.
 4. A node above ``NODE`` members is dealt into chunks that share pivots, which is linear in its
@@ -14,7 +15,7 @@
    and in groups above ``GROUP``, every member outside the largest component so far is compared in
    blocks with all members. So no cap drops a partner.
 
-The sketch test passes a pair at the threshold but for five standard deviations (3e-7).
+The sketch test passes a pair at the threshold but for five standard deviations (1.2e-6, binomial).
 
 A text without words, or null, has an empty set, size 0, and is linked with nothing. A text with
 fewer words than a shingle has its whole sequence as one shingle. Null ids are never the smallest;
@@ -275,7 +276,7 @@ def _blocks(rest: DataFrame, most: int) -> DataFrame:
 
 
 def _by_group(rows: DataFrame, columns: list[str], compare, schema: str) -> DataFrame:
-    """``compare(list of group columns)`` for each (key, sub), streamed over sorted partitions."""
+    """``compare((key, sub), list of group columns)`` for each of them, streamed over sorted partitions."""
 
     def run(batches):
         held: list[pa.RecordBatch] = []
@@ -292,15 +293,15 @@ def _by_group(rows: DataFrame, columns: list[str], compare, schema: str) -> Data
             values = [table.column(c).to_pylist() for c in columns]
             for a, b in zip(edges[:stop], edges[1 : stop + 1], strict=True):
                 if b - a > 1:
-                    yield [v[a:b] for v in values]
+                    yield (int(key[a]), int(sub[a])), [v[a:b] for v in values]
             held = [] if at_end else table.slice(edges[-2]).to_batches()
 
         for batch in slices(batches, columns[-1]):
             held.append(batch)
-            found = [x for group in groups(False) for x in compare(group)]
+            found = [x for group in groups(False) for x in compare(*group)]
             yield _pairs(found, schema)
         if held:
-            yield _pairs([x for group in groups(True) for x in compare(group)], schema)
+            yield _pairs([x for group in groups(True) for x in compare(*group)], schema)
 
     dealt = rows.select("key", "sub", *columns).repartition("key", "sub").sortWithinPartitions("key", "sub", "cls")
     return dealt.mapInArrow(run, schema)
@@ -342,25 +343,32 @@ def _alike(rows: DataFrame, similar: int) -> DataFrame:
     p = similar / 100
     least = math.floor(SKETCH * p - 5 * math.sqrt(SKETCH * p * (1 - p)))
 
-    def compare(group):
+    def compare(node, group):
         names, sizes, sketches = group
         size, sketch = np.array(sizes), np.frombuffer(b"".join(sketches), np.uint8).reshape(len(names), SKETCH)
         joined = _Joined(len(names))
-        _search(np.arange(len(names)), 0, names[0], size, sketch, joined, similar, least)
+        _search(np.arange(len(names)), 0, xxhash.xxh3_64_intdigest(repr(node)), size, sketch, joined, similar, least)
         return joined.stars(names)
 
     return _by_group(rows, ["cls", "n", "sketch"], compare, "key long, cls long").distinct()
 
 
+def _picks(seed: int) -> list[int]:
+    """``BRANCH`` different sketch positions."""
+    ranked = sorted(range(SKETCH), key=lambda at: xxhash.xxh3_64_intdigest(at.to_bytes(1, "little"), seed))
+    return ranked[:BRANCH]
+
+
 def _search(members: np.ndarray, depth: int, seed: int, size: np.ndarray, sketch: np.ndarray, joined: _Joined, similar: int, least: int) -> None:
-    """Branch a large part by selected tokens; compare a small one exhaustively."""
+    """Branch a large part by selected tokens; compare a small one exhaustively. The selection follows
+    from the node's own key and the path, as in ``_branched``: trees over the same members differ."""
     if len(members) > PART and depth < 4:
-        picks = [(seed * 31 + depth * 7 + j * 13) % SKETCH for j in range(BRANCH)]
-        parts = [members[sketch[members, pick] == v] for pick in picks for v in np.unique(sketch[members, pick])]
-        if max(map(len, parts)) < 0.8 * len(members):
-            for part in parts:
+        picks = _picks(seed)
+        parts = [(pick, v, members[sketch[members, pick] == v]) for pick in picks for v in np.unique(sketch[members, pick]).tolist()]
+        if max(len(part) for _, _, part in parts) < 0.8 * len(members):
+            for pick, v, part in parts:
                 if len(part) > 1:
-                    _search(part, depth + 1, seed + len(part), size, sketch, joined, similar, least)
+                    _search(part, depth + 1, xxhash.xxh3_64_intdigest(repr((pick, v)), seed), size, sketch, joined, similar, least)
             return
     own, n = sketch[members], size[members]
     for i in range(len(members) - 1):
@@ -374,7 +382,7 @@ def _confirmed(rows: DataFrame, shingle: int, similar: int) -> DataFrame:
     """Links (a, b) as stars, from the exact intersections of all pairs of a group."""
     shinglers: list[Shingler] = []
 
-    def compare(group):
+    def compare(_, group):
         if not shinglers:
             shinglers.append(Shingler(shingle))
         names, words = group
