@@ -4,7 +4,8 @@ Base spans are the leftmost non-overlapping matches of each pattern that are lon
 entropy pass looks at candidate strings (long runs of one character class), slides a window over
 each and keeps the Shannon entropy of the window by updating only the counts of the character that
 enters and the one that leaves. Windows above the class's threshold are merged into a span, unless
-the candidate is on the allow-list. Entropy spans are added; base spans are never suppressed.
+the whole candidate or a string that the window overlaps is on the allow-list. Entropy spans are
+added; base spans are never suppressed.
 
 Offsets are code points, end exclusive. Null text counts as empty. Null or repeated ids and
 repeated rows go through row for row; only the id and text columns are read. An empty table gives an
@@ -30,31 +31,43 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 #: Fewest characters: of group 2 of an assignment, of an access key, of a hex run.
 LEAST = {"assign": 6, "access": 20, "hex": 24}
-KINDS = ("assign", "access", "hex", "entropy_hex", "entropy_base64")
+KINDS = ("assign", "access", "hex", "entropy_hex", "entropy_base64", "entropy_lower", "entropy_upper")
 
-#: Candidate runs per class, window width, and bits per character from which a window counts.
-#: A random window of 20 has about 3.2 bits in hex and 4.0 in base64; words stay well below.
+_LOWER, _UPPER, _DIGIT = re.compile("[a-z]"), re.compile("[A-Z]"), re.compile("[0-9]")
+#: Candidate runs per class, window width, bits per character from which a window counts if it has all
+#: of the listed characters, and bits from which it counts without. Half a per cent of random windows
+#: of 20 is below 3.35 bits in [a-z0-9] or [A-Z0-9] and below 3.61 in base64 (100,000 drawn of each).
 CLASSES = {
-    "entropy_hex": (re.compile(r"(?<![0-9A-Za-z])[0-9A-Fa-f]{20,}(?![0-9A-Za-z])"), 20, 3.0),
-    "entropy_base64": (re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}={0,2}"), 20, 3.85),
+    "entropy_hex": (re.compile(r"(?<![0-9A-Za-z])[0-9A-Fa-f]{20,}(?![0-9A-Za-z])"), 20, 3.0, (), 3.0),
+    "entropy_base64": (re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}(?:={1,2}(?![A-Za-z0-9+/_=-]))?"), 20, 3.6, (_LOWER, _UPPER, _DIGIT), 3.85),
+    "entropy_lower": (re.compile(r"(?<![0-9A-Za-z])(?![0-9a-f]+(?![0-9A-Za-z]))[0-9a-z]{20,}(?![0-9A-Za-z])"), 20, 3.34, (_LOWER, _DIGIT), math.inf),
+    "entropy_upper": (re.compile(r"(?<![0-9A-Za-z])(?![0-9A-F]+(?![0-9A-Za-z]))[0-9A-Z]{20,}(?![0-9A-Za-z])"), 20, 3.34, (_UPPER, _DIGIT), math.inf),
 }
 #: A candidate that one of these matches isn't a secret.
 ALLOWED = (
     re.compile(r"^(.{1,4}?)\1+.?$"),  # a short unit over and over
-    re.compile(r"(?i)example|sample|placeholder|changeme|dummy|redacted|xxxx|0123456789|abcdefgh"),
-    re.compile(r"^[A-Za-z]+$|^[A-Za-z]+(?:[-_/][A-Za-z]+)+$"),  # letters only: words and paths
+    # letters only: words and paths, and the 3 per cent of random base64 keys of 20 without a digit
+    re.compile(r"^[A-Za-z]+$|^[A-Za-z]+(?:[-_/][A-Za-z]+)+$"),
     re.compile(r"^[0-9]+$"),  # numbers
 )
+#: A window that overlaps one of these doesn't count.
+ALLOWED_PART = re.compile(r"(?i)example|sample|placeholder|changeme|dummy|redacted|x{4,}|0123456789|abcdefgh")
 
 
-def window_spans(candidate: str, width: int, threshold: float) -> list[tuple[int, int]]:
-    """Merged windows of ``candidate`` whose entropy is at least ``threshold`` bits a character."""
+def window_spans(
+    candidate: str, width: int, threshold: float, needs: tuple[re.Pattern, ...] = (), sure: float | None = None, but: list[tuple[int, int]] | None = None,
+) -> list[tuple[int, int]]:
+    """Merged windows of ``candidate`` whose entropy is at least ``threshold`` bits a character and
+    that have a match of all of ``needs``, or whose entropy is at least ``sure``; no window that
+    overlaps a span of ``but`` counts."""
     if len(candidate) < width:
         return []
     gain = [0.0] + [n * math.log2(n) for n in range(1, width + 1)]
     counts: Counter[str] = Counter(candidate[:width])
     total = sum(gain[n] for n in counts.values())
     least = (math.log2(width) - threshold) * width + 1e-9  # entropy = log2(w) - sum(n log2 n) / w
+    surely = least if sure is None else (math.log2(width) - sure) * width + 1e-9
+    out = {at for a, b in but or () for at in range(a - width + 1, b)}
     spans: list[tuple[int, int]] = []
     for start in range(len(candidate) - width + 1):
         if start:
@@ -65,7 +78,7 @@ def window_spans(candidate: str, width: int, threshold: float) -> list[tuple[int
             n = counts[come]
             total += gain[n + 1] - gain[n]
             counts[come] = n + 1
-        if total <= least:
+        if total <= least and start not in out and (total <= surely or all(need.search(candidate, start, start + width) for need in needs)):
             if spans and spans[-1][1] >= start:
                 spans[-1] = (spans[-1][0], start + width)
             else:
@@ -82,10 +95,11 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 def entropy_spans(text: str) -> list[tuple[str, int, int]]:
     found = []
-    for kind, (pattern, width, threshold) in CLASSES.items():
+    for kind, (pattern, width, threshold, needs, sure) in CLASSES.items():
         for m in pattern.finditer(text):
             if not any(allowed.search(m.group()) for allowed in ALLOWED):
-                found += [(kind, m.start() + a, m.start() + b) for a, b in window_spans(m.group(), width, threshold)]
+                but = [part.span() for part in ALLOWED_PART.finditer(m.group())]
+                found += [(kind, m.start() + a, m.start() + b) for a, b in window_spans(m.group(), width, threshold, needs, sure, but)]
     return found
 
 
