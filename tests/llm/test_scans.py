@@ -2,6 +2,7 @@ import hashlib
 import math
 import random
 import re
+import textwrap
 from collections import Counter
 
 import pytest
@@ -140,6 +141,48 @@ def test_licences(spark):
     assert license_scan.recognise(docs.limit(0)).count() == 0
 
 
+MIT = """Copyright (c) 2020 A. Person
+Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE."""
+BSD2 = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice in the documentation.
+{}
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED."""
+BSD3 = BSD2.format("3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n")
+ISC = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."
+GPL = """Copyright (C) 2020 A. Person
+This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.
+
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."""
+MPL = "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0"""
+
+
+def test_wrapped_licences(spark):
+    """Standard texts at several widths, plain and commented, with either line end."""
+    whole = {"MIT": MIT, "BSD-2-Clause": BSD2.format(""), "BSD-3-Clause": BSD3, "ISC": ISC, "GPL-3.0-or-later": GPL, "MPL-2.0": MPL, "Apache-2.0": APACHE}
+    rows = []
+    for name, text in whole.items():
+        for width in (40, 72, 100, 2000):
+            lines = [part for line in text.split("\n") for part in (textwrap.wrap(line, width) or [""])]
+            for prefix in ("", "# ", " * ", "// ", ";; ", "-- ", "dnl "):
+                for end in ("\n", "\r\n"):
+                    rows.append((name, "int x;" + end + end.join(prefix + line for line in lines) + end + "code();"))
+    rows += [("Apache-2.0", "// SPDX-License-Identifier: Apache-2.0"), ("MIT", "# SPDX-License-Identifier: MIT\nimport os")]
+    rows += [("", "Not released under the MIT License."), ("", "released under\n\nthe MIT License"), ("", "We never said: released. under the MIT License"), ("", "licensed under the MIT\nlicense or none")]
+    docs = spark.createDataFrame([(i, text, want) for i, (want, text) in enumerate(rows)], "doc_id long, text string, want string")
+    found = {r.doc_id: r.licences for r in license_scan.digest(license_scan.recognise(docs)).collect()}
+    wrong = [(want, found[i], text) for i, (want, text) in enumerate(rows) if found[i] != want]
+    assert wrong == []
+
+
 def segmentations(word, pieces):
     if not word:
         return 1.0

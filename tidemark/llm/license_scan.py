@@ -1,10 +1,12 @@
 """Licence scan by sentence rules, in DataFrame functions only.
 
 A text is cut into sentences at line ends and after closing punctuation; a sentence is normalised to
-lower-case ASCII letters and digits, single-spaced. Sentences that the table knows become their
-identifiers, in order, and a rule fires when its identifiers follow one another in that sequence
-(unknown sentences in between don't matter). Each row is worked on alone: no shuffle, no broadcast;
-the tables are part of the plan.
+lower-case ASCII letters and digits, single-spaced. Wrapped sentences count too: a known sentence is
+found wherever it begins and ends at a cut and only single line ends, with the comment marks after
+them, lie inside; blank lines and closing punctuation part it. Known sentences become their
+identifiers, in order, and a rule fires when its identifiers follow one another in that sequence or
+in the sequence of single lines (unknown sentences in between don't matter). Each row is worked on
+alone: no shuffle, no broadcast; the tables are part of the plan.
 
 Null or empty text has no sentences. Null or repeated ids and repeated rows go through row for row;
 only the id and text columns are read. An empty table gives an empty table.
@@ -12,6 +14,8 @@ only the id and text columns are read. An empty table gives an empty table.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -91,20 +95,35 @@ def sentences(text: Column) -> Column:
     return F.filter(F.transform(F.split(plain, "\n"), lambda s: F.trim(s)), lambda s: s != "")
 
 
+#: White space after closing punctuation, but not in "v. 2.0" or an SPDX tag.
+_CLOSED = r"(?<=[.!?;:])(?!(?<=\b[Vv]\.)[ \t\n]+[0-9])(?<!SPDX-License-Identifier:)[ \t\n]+"
+
+
+def wrapped(text: Column, known: list[str]) -> Column:
+    """The known sentences of a text, wrapped or not, in order; the longer one where two begin."""
+    lines = F.regexp_replace(text, r"\r\n?|[\x0B\f]", "\n")
+    bare = F.regexp_replace(lines, r"(^|\n)[^A-Za-z0-9\n]*+(?:(?:dnl|rem|REM)[ \t]+)?", "\n")
+    plain = F.lower(F.regexp_replace(F.regexp_replace(bare, _CLOSED, "\n\n"), r"[^A-Za-z0-9\n]+", " "))
+    # "#" for a cut, "|" for a single line end
+    marked = F.regexp_replace(F.regexp_replace(plain, r" *\n *\n[ \n]*", "#"), r" *\n *", "|")
+    one_of = "|".join(re.escape(s).replace(r"\ ", "[ |]") for s in sorted(known, key=len, reverse=True)) or "(?!)"
+    found = F.regexp_extract_all(F.concat(F.lit("#"), F.trim(marked), F.lit("#")), F.lit(f"(?<=[#|])(?:{one_of})(?=[#|])"), F.lit(0))
+    return F.transform(found, lambda s: F.translate(s, "|", " "))
+
+
 def recognise(docs: DataFrame, sentence_ids: dict[str, str] | None = None, rules: list | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, ``n_sentences``, ``sentence_ids`` (known ones, in order) and
     ``licences`` (distinct, sorted)."""
     known, rules = SENTENCES if sentence_ids is None else sentence_ids, RULES if rules is None else rules
     table = F.create_map(*[F.lit(x) for name, text in known.items() for x in (text, name)])
-    rows = docs.select(F.col(id_col), sentences(unicode_text(text_col)).alias("sentence"))
-    rows = rows.select(
-        id_col,
-        F.size("sentence").cast("long").alias("n_sentences"),
-        F.filter(F.transform("sentence", lambda s: F.try_element_at(table, s)), lambda i: i.isNotNull()).alias("sentence_ids"),
-    )
-    sequence = F.concat(F.lit(" "), F.array_join("sentence_ids", " "), F.lit(" "))
+    text = unicode_text(text_col)
+    rows = docs.select(F.col(id_col), sentences(text).alias("sentence"), wrapped(text, list(known.values())).alias("whole"))
+    ids = lambda c: F.filter(F.transform(c, lambda s: F.try_element_at(table, s)), lambda i: i.isNotNull())
+    rows = rows.select(id_col, F.size("sentence").cast("long").alias("n_sentences"), ids("whole").alias("sentence_ids"), ids("sentence").alias("line_ids"))
+    # both sequences; "/" is in no identifier
+    sequence = F.concat(F.lit(" "), F.array_join("sentence_ids", " "), F.lit(" / "), F.array_join("line_ids", " "), F.lit(" "))
     fired = [F.when(F.contains(sequence, F.lit(f" {' '.join(ids)} ")), F.lit(name)) for name, ids in rules]
-    return rows.withColumn("licences", F.array_sort(F.array_distinct(F.array_compact(F.array(*fired)))))
+    return rows.withColumn("licences", F.array_sort(F.array_distinct(F.array_compact(F.array(*fired))))).drop("line_ids")
 
 
 def digest(recognised: DataFrame, id_col: str = "doc_id") -> DataFrame:
