@@ -16,8 +16,12 @@ from tidemark.llm.queries import BYTE_BPE, PIECES
 
 
 def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents whose language can't be told: no letters at all."""
+    """Drop documents whose language can't be told: no letters at all. Which language is predicted,
+    and with what score, rejects nothing; without a labelled row no language is learned and only the
+    letters are looked at."""
     model = language_id.learn(docs, PIECES)
+    if not model.languages:
+        return docs.where(language_id.has_letter())
     found = language_id.predict(docs, model, PIECES, carry=True)
     return rows_of(found.where("lang_pred <> 'und'"), docs)
 

@@ -6,6 +6,7 @@ import textwrap
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.llm import decontaminate, language_id, license_scan, secret_scan
 
@@ -223,3 +224,40 @@ def test_language_accuracy_and_edges(spark):
     assert all(0 <= r.score <= 1 for r in found.values())
     none = language_id.learn(docs.limit(0), PIECES)
     assert {r.lang_pred for r in language_id.predict(docs, none, PIECES).collect()} == {"und"}
+
+
+def test_sample_is_drawn_per_language(spark):
+    """A language with 30 of 6,030 rows stays whole; a hot repeated id doesn't enter whole."""
+    from tidemark.llm.queries import PIECES
+
+    assert language_id.shares({"a": 10, "b": 1000, "c": 500}, 310) == {"a": 1.0, "c": 0.3, "b": 0.15}
+    rows = [(i, f"the cat number word{i}", "en") for i in range(3000)] + [(7, f"le chat mot{i}", "fr") for i in range(3000)]
+    rows += [(10_000 + i, "szybki wąż źle śpi", "pl") for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.learn(docs, PIECES, train_rows=300)
+    assert model.languages == ["en", "fr", "pl"]
+
+
+@pytest.mark.parametrize("null", ["lang", "doc_id", None])
+def test_pipeline_keeps_texts_without_labels(spark, null):
+    """The stage against brute force: whatever is null, exactly texts without a letter go."""
+    import corpus_pipeline
+
+    texts = ["the cat and the dog", "le chat", "123 !?", None, "", "été", "日本語", "²³ ½", "__", "x1"]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    if null:
+        docs = docs.withColumn(null, F.lit(None).cast(docs.schema[null].dataType))
+    left = corpus_pipeline.keep_known_language(spark, docs, "")
+    assert left.columns == docs.columns
+    assert Counter(r.text for r in left.collect()) == Counter(t for t in texts if any(map(str.isalpha, t or "")))
+
+
+def test_pipeline_runs_without_labels(spark, tmp_path):
+    """run() over null lang and null ids: every text with a letter is packed; the copies go."""
+    import corpus_pipeline
+
+    texts = ["one two three four five six", "one two three four five six", "seven eight nine ten eleven twelve", "123 !?", None, "alone"]
+    docs = spark.createDataFrame([(None, t, None) for t in texts], "doc_id long, text string, lang string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "nothing of this kind occurs here at all in any text")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 3

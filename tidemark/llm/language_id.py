@@ -7,11 +7,13 @@ batch, in matrices over words and languages, and look repeated words up.
 
 Learning takes one pass: expected piece counts under a uniform model (forward and backward), summed
 over the table by language and piece and smoothed towards all languages. The model has at most
-pieces x languages numbers. ``train_rows`` bounds the sample of labelled rows, chosen by a hash of
-the id; prediction covers every row.
+pieces x languages numbers. ``train_rows`` bounds the sample of labelled rows: every language has an
+equal part of it, what small languages leave goes to the larger ones, and within a language a hash
+of id and text chooses. Prediction covers every row.
 
 Null text, or a text without a letter, is ``und`` with score 0; so is every text if nothing could be
-learned. Rows with null lang or null id teach nothing; a null id counts as not held out. Ties go to
+learned (``has_letter`` tells the two apart). Rows with null lang or null id teach nothing; a null
+id counts as not held out. Ties go to
 the first language by name. Repeated rows are predicted alike, row for row. Only the id, text and
 lang columns are read; ``carry`` keeps the input row as a struct. An empty table gives an empty
 table. Texts are read whole; a long word takes the same algorithm with rescaling.
@@ -39,11 +41,18 @@ POOLED = 200.0
 UNIFORM = 0.5
 _WORD = re.compile(r"[^\W\d_]+")
 _KEPT = 200_000
+#: Steps of a share in the sample.
+_STEPS = 1_000_000_000
 #: Words up to so many characters (with the word mark) go through the matrices.
 _WIDE = 32
 _MARK = "▁"
 
 
+def has_letter(column: str = "text"):
+    """Whether ``predict`` finds a letter in a text."""
+    return F.coalesce(F.col(column), F.lit("")).rlike(r"\p{L}")
+
+
 @lru_cache(maxsize=2)
 def lexicon(path: str) -> Lexicon:
     return Lexicon(path)
@@ -155,13 +164,24 @@ def expected_counts(words: list[str], weight: np.ndarray, lex: Lexicon) -> np.nd
     return total
 
 
+def shares(many: dict[str, int], most: int) -> dict[str, float]:
+    """The part of each language's rows to take, so that ``most`` are expected in all and no language
+    has fewer than another unless it is taken whole."""
+    out, left = {}, most
+    for k, lang in enumerate(sorted(many, key=many.get)):
+        take = min(many[lang], left / (len(many) - k))
+        out[lang], left = take / many[lang], left - take
+    return out
+
+
 def learn(labelled: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_rows: int = TRAIN_ROWS) -> Model:
-    """Learn from rows with a language. All of them if there are at most ``train_rows``, else those
-    whose hashed id is below the matching share."""
+    """Learn from rows with a language. All of them if there are at most ``train_rows``, else, per
+    language, those whose hashed id and text are below the language's share."""
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
-    many = rows.count()
-    if many > train_rows:
-        rows = rows.where(F.pmod(F.xxhash64(F.col(id_col)), F.lit(1_000_000)) < round(1_000_000 * train_rows / many))
+    many = dict(rows.groupBy(F.col(lang_col).alias("lang")).count().collect())  # a row per language
+    if sum(many.values()) > train_rows:
+        share = F.create_map(*[F.lit(x) for lang, part in shares(many, train_rows).items() for x in (lang, round(part * _STEPS))])
+        rows = rows.where(F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(_STEPS)) < F.element_at(share, F.col(lang_col)))
 
     def run(batches):
         lex = lexicon(path)
