@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,20 +9,15 @@ from tidemark.operators import bars as B
 from tidemark.operators import measures as D
 from tidemark.plans.base import daily, register, returns, rounded
 from tidemark.sources import files, views
+from tidemark.storage import new_path
 
 #: The ticks' prices jump freely, so the jump limit is wide.
 JUMP = 3.0
 
 
-def _shared(spark: SparkSession, name: str) -> str:
-    """A new folder that all executors share; a temporary one where the session names none."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-tidemark-", dir="/tmp")
-    return f"{base.rstrip('/')}/tidemark-{name}-{uuid.uuid4().hex}"
-
-
 def a1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ticks written as headerless bar files, one folder a ticker, and scanned again."""
-    path = _shared(spark, "bars")
+    path = new_path(spark, "bars")
     rows = views.ticks(spark, sf_dir).select(
         "instrument", F.date_format("ts", "MM/dd/yyyy").alias("d"), F.date_format("ts", "HH:mm").alias("t"),
         *[F.col("close").alias(c) for c in ("open", "high", "low", "last")], "volume",
@@ -49,7 +41,7 @@ register("a02_lenient_numbers", a2, "SELECT event_id, round(value, 6) AS close F
 
 
 def a3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _shared(spark, "layer")
+    path = new_path(spark, "layer")
     files.write_layer(daily(spark, sf_dir), path)
     return files.read_layer(spark, path, instrument="R").select("instrument", "day", "rv", "ret", "volume")
 
@@ -58,7 +50,7 @@ register("a03_layer_scan_pruned", a3, f"SELECT instrument, CAST(day AS VARCHAR)
 
 
 def a4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _shared(spark, "layer")
+    path = new_path(spark, "layer")
     files.write_layer(daily(spark, sf_dir), path)
     return files.read_layer(spark, path).select("instrument", "day", "rv", "rv_pos", "rv_neg", "n_returns")
 
@@ -67,7 +59,7 @@ register("a04_layer_sink", a4, f"SELECT instrument, CAST(day AS VARCHAR) AS day,
 
 
 def a6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _shared(spark, "events")
+    path = new_path(spark, "events")
     files.event_map(views.event_days(spark, sf_dir)).write.text(path)
     return files.read_event_days(spark, path)
 
