@@ -2,39 +2,26 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of an input batch are handed to Python code in slices of at most so many text bytes.
-SLICE_BYTES = 4 << 20
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share. Where the session names none (tests), a temporary one is set."""
-    sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir")
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(found or tempfile.mkdtemp(prefix="spark-tidemark-", dir="/tmp"))
-    return (found or sc.getCheckpointDir()).rstrip("/")
+from tidemark.storage import cut, new_path, shared_dir
 
+__all__ = ["cut", "field", "rows_of", "shared_dir", "slices", "staged", "table", "unicode_text", "whole_row"]
 
-def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint to the shared folder: the lineage ends there and an executor may be lost."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+#: Rows of an input batch are handed to Python code in slices of at most so many text bytes.
+SLICE_BYTES = 4 << 20
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a compressed parquet table in the shared folder and read it back, so that
     several readers each take only the columns they need."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tidemark-{name}-{uuid.uuid4().hex}"
+    path = new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -59,15 +46,20 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYT
         yield batch.slice(start)
 
 
-def unicode_text(column: str = "text"):
-    return F.coalesce(F.col(column), F.lit(""))
+def field(name: str) -> Column:
+    """A column by its plain name, dots and backticks included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def unicode_text(column: str = "text") -> Column:
+    return F.coalesce(field(column), F.lit(""))
 
 
 def whole_row(docs: DataFrame):
     """The input row as one column, so that its names clash with nothing."""
-    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    return F.struct(*[field(c) for c in docs.columns]).alias("row")
 
 
 def rows_of(df: DataFrame, docs: DataFrame) -> DataFrame:
     """The input rows that ``df`` still carries, with the columns of ``docs``."""
-    return df.select(*[F.col(f"row.`{c}`") for c in docs.columns])
+    return df.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

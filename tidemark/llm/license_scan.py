@@ -19,7 +19,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import unicode_text
+from tidemark.llm.common import field, unicode_text
 
 # Sentences of public licence texts and notices, normalised.
 SENTENCES = {
@@ -117,7 +117,7 @@ def recognise(docs: DataFrame, sentence_ids: dict[str, str] | None = None, rules
     known, rules = SENTENCES if sentence_ids is None else sentence_ids, RULES if rules is None else rules
     table = F.create_map(*[F.lit(x) for name, text in known.items() for x in (text, name)])
     text = unicode_text(text_col)
-    rows = docs.select(F.col(id_col), sentences(text).alias("sentence"), wrapped(text, list(known.values())).alias("whole"))
+    rows = docs.select(field(id_col), sentences(text).alias("sentence"), wrapped(text, list(known.values())).alias("whole"))
     ids = lambda c: F.filter(F.transform(c, lambda s: F.try_element_at(table, s)), lambda i: i.isNotNull())
     rows = rows.select(id_col, F.size("sentence").cast("long").alias("n_sentences"), ids("whole").alias("sentence_ids"), ids("sentence").alias("line_ids"))
     # both sequences; "/" is in no identifier

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm import bpe
-from tidemark.llm.common import cut, slices, unicode_text
+from tidemark.llm.common import cut, field, slices, unicode_text
 
 CAPACITY = 2048
 #: Groups of equal cardinality that the large lengths are rounded to.
@@ -68,7 +68,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0
             )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), unicode_text(text_col).alias("text"))
+    rows = docs.select(field(id_col).alias("id"), unicode_text(text_col).alias("text"))
     return rows.mapInArrow(run, f"`{id_col}` {kind}, piece int, start long, length long, ids_crc32 long, task int, nth long")
 
 

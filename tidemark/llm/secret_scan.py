@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import slices, unicode_text
+from tidemark.llm.common import field, slices, unicode_text
 
 _KEYS = ("password", "passwd", "secret", "token", "api_?key")
 _EITHER_CASE = "|".join("".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in key) for key in _KEYS)
@@ -124,7 +124,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(rows, _FOUND)], names=[id_col, "found"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), unicode_text(text_col).alias("text"))
+    rows = docs.select(field(id_col).alias("id"), unicode_text(text_col).alias("text"))
     return rows.mapInArrow(run, f"`{id_col}` {kind}, found array<struct<kind:string,start:long,end:long,match:string>>")
 
 

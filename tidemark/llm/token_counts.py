@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import bpe
-from tidemark.llm.common import slices, unicode_text
+from tidemark.llm.common import field, slices, unicode_text
 
 
 def prefix_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -44,7 +44,7 @@ def prefix_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
             )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), unicode_text(text_col).alias("text"))
+    rows = docs.select(field(id_col).alias("id"), unicode_text(text_col).alias("text"))
     return rows.mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, prefix_counts array<int>")
 
 
