@@ -197,19 +197,71 @@ def test_forward_sums_all_segmentations():
 
     lex = language_id.lexicon(PIECES)
     rng = np.random.default_rng(1)
-    chance = rng.random((lex.size + 1, 2)) / 1000
-    words = ["the", "nation", "écoles", "x", "a" * 40, "straße"]
-    found = language_id.word_scores(words, lex, chance)
+    chance = rng.random((lex.size, 2)) / 1000
+    words = ["the", "nation", "écoles", "x", "internationalization", "straße", "日本語", "the"]
+    found = language_id.word_scores(words, lex, np.log(chance))
     for w, row in zip(words, found, strict=True):
-        if len(w) > 20:
-            short = language_id._long_score(w, lex, chance)
-            assert np.allclose(short, row)
-            continue
         s = "▁" + w
         for k in range(2):
-            pieces = {p: chance[i, k] for p, i in lex.number.items() if p in s and len(p) <= lex.longest}
+            pieces = {p: chance[i, k] for p, i in lex.number.items() if p in s}
             pieces |= {c: chance[0, k] for c in s if c not in lex.number}
-            assert math.isclose(math.exp(row[k]), segmentations(s, pieces), rel_tol=1e-9)
+            if len(w) < 12:
+                assert math.isclose(math.exp(row[k]), segmentations(s, pieces), rel_tol=1e-9)
+            ahead = [1.0]
+            for end in range(1, len(s) + 1):
+                ahead.append(sum(ahead[a] * pieces[s[a:end]] for a in range(end) if s[a:end] in pieces))
+            assert math.isclose(row[k], math.log(ahead[-1]), rel_tol=1e-9)
+    # a word's score doesn't depend on the words beside it, nor on its length
+    long = ["q" * 26, "ж" * 31, "ᚠ" * 400, "a" * 100_000]
+    together = language_id.word_scores([*long, *words], lex, np.log(chance))
+    assert np.isfinite(together).all()
+    for w, row in zip(long[:3], together[:3], strict=True):
+        assert np.allclose(language_id.word_scores([w], lex, np.log(chance))[0], row)
+
+
+def test_expected_counts_match_enumeration():
+    """Each segmentation's pieces, weighted by its probability, for whole words of any length."""
+    from tidemark.llm.queries import PIECES
+
+    import numpy as np
+
+    lex = language_id.lexicon(PIECES)
+
+    def ways(s):
+        if not s:
+            yield ()
+        for k in range(1, len(s) + 1):
+            piece = lex.number.get(s[:k], 0 if k == 1 else -1)
+            if piece >= 0:
+                yield from ((piece, *rest) for rest in ways(s[k:]))
+
+    words, weight, want = ["nation", "été", "ᚠᚠ"], np.array([2.0, 1.0, 5.0]), np.zeros(lex.size)
+    for word, n in zip(words, weight, strict=True):
+        found = list(ways("▁" + word))
+        share = np.array([lex.size ** -float(len(w)) for w in found])
+        for w, p in zip(found, share / share.sum(), strict=True):
+            np.add.at(want, list(w), n * p)
+    assert np.allclose(language_id.expected_counts(words, weight, lex), want)
+    long = language_id.expected_counts(["ab" * 5_000], np.array([1.0]), lex)
+    spelt = sum(n * len(p) for p, i in lex.number.items() if (n := long[i])) + long[0]
+    assert math.isclose(spelt, 10_001, rel_tol=1e-7)
+
+
+def test_language_of_odd_texts(spark):
+    """Unknown letters and very long words leave the score between 0 and 1; names do no harm."""
+    from tidemark.llm.queries import PIECES
+
+    known = [(i, t, lang) for i in range(40) for t, lang in (("the cat and the dog of the house", "en"), ("der Hund und die Katze im Haus", "de"))]
+    model = language_id.learn(spark.createDataFrame(known, "doc_id long, text string, lang string"), PIECES)
+    texts = [f"the cat {c * n}" for c in "ᚠж" for n in range(24, 40)] + ["the " * 20_000 + "x" * 100_000, "q" * 31, "ᚠᚢᚦ", "the cat", "the cat", None]
+    docs = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "`doc.id` long, `a text` string, score int")
+    found = {r["doc.id"]: r for r in language_id.predict(docs, model, PIECES, "doc.id", "a text", carry=True).collect()}
+    assert len(found) == len(texts)
+    for i, text in enumerate(texts):
+        assert 0 <= found[i].score <= 1 and found[i].row["a text"] == text
+        if text and text.startswith("the"):
+            assert found[i].lang_pred == "en"
+    assert language_id.predict(docs.limit(0), model, PIECES, "doc.id", "a text").count() == 0
 
 
 def test_language_accuracy_and_edges(spark):

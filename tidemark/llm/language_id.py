@@ -3,7 +3,8 @@
 A language is a distribution over the pieces of a fixed public vocabulary. A word's probability is
 the sum over all its segmentations into pieces, from the forward algorithm; a text's is the product
 over its words. Words are runs of letters, lower-cased. Both passes work on the distinct words of a
-batch, in matrices over words and languages, and look repeated words up.
+batch, in lattices over their places, and look repeated words up. A trie finds the pieces; sums are
+kept as logarithms, so neither a piece nor a word is ever cut for its length.
 
 Learning takes one pass: expected piece counts under a uniform model (forward and backward), summed
 over the table by language and piece and smoothed towards all languages. The model has at most
@@ -16,7 +17,7 @@ learned (``has_letter`` tells the two apart). Rows with null lang or null id tea
 id counts as not held out. Ties go to
 the first language by name. Repeated rows are predicted alike, row for row. Only the id, text and
 lang columns are read; ``carry`` keeps the input row as a struct. An empty table gives an empty
-table. Texts are read whole; a long word takes the same algorithm with rescaling.
+table. Texts are read whole, long words included.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import slices, unicode_text, whole_row
+from tidemark.llm.common import field, slices, unicode_text, whole_row
 
 #: Expected rows of the labelled sample.
 TRAIN_ROWS = 40_000
@@ -43,8 +44,8 @@ _WORD = re.compile(r"[^\W\d_]+")
 _KEPT = 200_000
 #: Steps of a share in the sample.
 _STEPS = 1_000_000_000
-#: Words up to so many characters (with the word mark) go through the matrices.
-_WIDE = 32
+#: Characters of the words that one lattice holds; a longer word has one of its own.
+_CHARACTERS = 1 << 17
 _MARK = "▁"
 
 
@@ -59,108 +60,147 @@ def lexicon(path: str) -> Lexicon:
 
 
 class Lexicon:
-    """Pieces of a sentencepiece vocabulary; number 0 stands for any one unknown character."""
+    """Pieces of a sentencepiece vocabulary as a trie; number 0 stands for any one unknown character."""
 
     def __init__(self, path: str) -> None:
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         plain = [model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))]
         self.number = {piece: i + 1 for i, piece in enumerate(dict.fromkeys(plain))}
         self.size = len(self.number) + 1
-        self.longest = min(max(map(len, plain), default=1), 16)
-
-    def lattice(self, words: list[str]) -> np.ndarray:
-        """[word, end, length - 1]: the piece that ends there, or -1."""
-        width = max(map(len, words)) + 1
-        out = np.full((len(words), width + 1, self.longest), -1, np.int32)
-        get = self.number.get
-        for w, word in enumerate(words):
-            s, own = _MARK + word, out[w]
-            for end in range(1, len(s) + 1):
-                for size in range(1, min(end, self.longest) + 1):
-                    piece = get(s[end - size : end])
-                    if piece is not None:
-                        own[end, size - 1] = piece
-                if own[end, 0] < 0:
-                    own[end, 0] = 0
-        return out
+        moves: dict[int, int] = {}
+        pieces = [-1]
+        for piece, number in self.number.items():
+            state = 0
+            for c in piece:
+                state = moves.setdefault(state << 21 | ord(c), len(pieces))
+                if state == len(pieces):
+                    pieces.append(-1)
+            pieces[state] = number
+        #: Sorted (state, character) keys, the states they lead to, and the piece that ends in a state.
+        self.moves = np.array(sorted(moves), np.int64)
+        self.to = np.array([moves[k] for k in self.moves.tolist()], np.int64)
+        self.pieces = np.array(pieces, np.int64)
+
+    def edges(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, end, piece) of every piece within the characters; 0 parts words. A character that
+        is no piece is number 0."""
+        start, state, found = np.flatnonzero(text), np.zeros(np.count_nonzero(text), np.int64), []
+        size = 0
+        while len(start):
+            size += 1
+            key = state << 21 | text[start + size - 1]
+            at = np.minimum(np.searchsorted(self.moves, key), len(self.moves) - 1)
+            on = self.moves[at] == key
+            if size == 1:
+                single = np.zeros(len(text), bool)
+            start, state = start[on], self.to[at[on]]
+            piece = self.pieces[state]
+            whole = piece >= 0
+            if size == 1:
+                single[start[whole]] = True
+                rest = np.flatnonzero((text > 0) & ~single)
+                found.append((rest, rest + 1, np.zeros(len(rest), np.int64)))
+            found.append((start[whole], start[whole] + size, piece[whole]))
+            inside = start + size < len(text)
+            start, state = start[inside], state[inside]
+        a, b, n = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0, np.int64),) * 3
+        return a, b, n
 
 
 @dataclass
 class Model:
     languages: list[str]
-    #: [piece + 1, language]; the last row is 0, for "no piece".
-    chance: np.ndarray
-
-
-def forward(lattice: np.ndarray, chance: np.ndarray) -> np.ndarray:
-    """[word, place, language]: probability of all segmentations of each prefix, not rescaled."""
-    n, places, longest = lattice.shape
-    alpha = np.zeros((n, places, chance.shape[1]))
-    alpha[:, 0] = 1
-    for end in range(1, places):
-        for size in range(1, min(end, longest) + 1):
-            piece = lattice[:, end, size - 1]
-            on = np.flatnonzero(piece >= 0)
-            if len(on):
-                alpha[on, end] += alpha[on, end - size] * chance[piece[on]]
-    return alpha
-
-
-def word_scores(words: list[str], lex: Lexicon, chance: np.ndarray) -> np.ndarray:
+    #: [piece, language]: log probabilities.
+    logs: np.ndarray
+
+
+class Lattice:
+    """Words laid end to end, a place before each character and one behind each word, with the pieces
+    between places as edges."""
+
+    def __init__(self, words: list[str], lex: Lexicon) -> None:
+        length = np.array([len(w) + 1 for w in words])
+        self.last = np.cumsum(length + 1) - 1
+        self.first = self.last - length
+        text = np.frombuffer((_MARK + f"\0{_MARK}".join(words) + "\0").encode("utf-32-le"), np.uint32).astype(np.int64)
+        start, end, piece = lex.edges(text)
+        depth = np.arange(len(text)) - np.repeat(self.first, length + 1)
+        self.places, self.depth = len(text), depth
+        by = np.lexsort((end, depth[end]))
+        self.start, self.end, self.piece = start[by], end[by], piece[by]
+
+    def levels(self, towards: np.ndarray, backward: bool = False):
+        """(edges, their groups' first ones, groups' places) for the edges into places of each depth,
+        or, backward, out of them."""
+        depth = self.depth[towards]
+        cuts = np.flatnonzero(np.diff(depth)) + 1
+        bounds = list(zip([0, *cuts.tolist()], [*cuts.tolist(), len(towards)], strict=True)) if len(towards) else []
+        for a, b in bounds:
+            own = towards[a:b]
+            groups = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+            yield slice(a, b), groups, own[groups]
+
+    def forward(self, logs: np.ndarray) -> np.ndarray:
+        """[place, column]: log probability of all segmentations up to a place, for each column of
+        piece log probabilities. Logarithms, so nothing underflows however long a word is."""
+        alpha = np.full((self.places, logs.shape[1]), -np.inf)
+        alpha[self.first] = 0
+        for edges, groups, places in self.levels(self.end):
+            alpha[places] = _log_sums(alpha[self.start[edges]] + logs[self.piece[edges]], groups)
+        return alpha
+
+    def backward(self, logs: np.ndarray) -> np.ndarray:
+        """As ``forward``, from a place to the end of its word."""
+        beta = np.full((self.places, logs.shape[1]), -np.inf)
+        beta[self.last] = 0
+        by = np.lexsort((self.start, -self.depth[self.start]))
+        start, end, piece = self.start[by], self.end[by], self.piece[by]
+        for edges, groups, places in self.levels(start):
+            beta[places] = _log_sums(beta[end[edges]] + logs[piece[edges]], groups)
+        return beta
+
+
+def _log_sums(values: np.ndarray, groups: np.ndarray) -> np.ndarray:
+    """Logarithms of the sums of exponentials of consecutive groups of rows."""
+    most = np.maximum.reduceat(values, groups, axis=0)
+    size = np.diff(np.append(groups, len(values)))
+    return most + np.log(np.add.reduceat(np.exp(values - np.repeat(most, size, axis=0)), groups, axis=0))
+
+
+def _lattices(words: list[str], lex: Lexicon):
+    """(numbers of words, lattice), words of like length together, in parts of bounded size."""
+    order = sorted(range(len(words)), key=lambda i: len(words[i]))
+    part: list[int] = []
+    held = 0
+    for i in order:
+        if part and (held + len(words[i]) > _CHARACTERS or len(words[i]) > 2 * len(words[part[0]]) + 8):
+            yield part, Lattice([words[k] for k in part], lex)
+            part, held = [], 0
+        part.append(i)
+        held += len(words[i]) + 2
+    if part:
+        yield part, Lattice([words[k] for k in part], lex)
+
+
+def word_scores(words: list[str], lex: Lexicon, logs: np.ndarray) -> np.ndarray:
     """[word, language]: log probability of each word, summed over its segmentations."""
-    out = np.empty((len(words), chance.shape[1]))
-    length = np.array([len(w) + 1 for w in words])
-    for low, high in ((0, 8), (8, 14), (14, _WIDE)):
-        on = np.flatnonzero((length > low) & (length <= high))
-        if len(on):
-            alpha = forward(lex.lattice([words[i] for i in on]), chance)
-            out[on] = np.log(alpha[np.arange(len(on)), length[on]])
-    for i in np.flatnonzero(length > _WIDE):
-        out[i] = _long_score(words[i], lex, chance)
+    out = np.empty((len(words), logs.shape[1]))
+    for part, lattice in _lattices(words, lex):
+        out[part] = lattice.forward(logs)[lattice.last]
     return out
 
 
-def _long_score(word: str, lex: Lexicon, chance: np.ndarray) -> np.ndarray:
-    s, recent, log = _MARK + word, [np.ones(chance.shape[1])], np.zeros(chance.shape[1])
-    for end in range(1, len(s) + 1):
-        now = np.zeros(chance.shape[1])
-        for size in range(1, min(end, lex.longest) + 1):
-            piece = lex.number.get(s[end - size : end], 0 if size == 1 else -1)
-            if piece >= 0:
-                now += recent[-size] * chance[piece]
-        recent = [*recent[-lex.longest :], now]
-        scale = now.copy()
-        recent = [r / scale for r in recent]
-        log += np.log(scale)
-    return log
-
-
 def expected_counts(words: list[str], weight: np.ndarray, lex: Lexicon) -> np.ndarray:
     """Expected uses of each piece, by weight, when all pieces are equally likely."""
     total = np.zeros(lex.size)
-    flat = np.full((lex.size + 1, 1), 1 / lex.size)
-    for low, high in ((0, 8), (8, 14), (14, _WIDE), (_WIDE, 1 << 30)):
-        on = [i for i, w in enumerate(words) if low < len(w) + 1 <= high]
-        # a long word's parts teach as well as the word
-        parts = [(words[i][k : k + _WIDE - 1], weight[i]) for i in on for k in range(0, len(words[i]), _WIDE - 1)]
-        for start in range(0, len(parts), 5_000):
-            part = parts[start : start + 5_000]
-            lattice = lex.lattice([p for p, _ in part])
-            length = np.array([len(p) + 1 for p, _ in part])
-            share = np.array([w for _, w in part], float)
-            alpha = forward(lattice, flat)[:, :, 0]
-            n, places, longest = lattice.shape
-            beta = np.zeros((n, places))
-            beta[np.arange(n), length] = 1
-            scale = share / alpha[np.arange(n), length] / lex.size
-            for end in range(places - 1, 0, -1):
-                for size in range(1, min(end, longest) + 1):
-                    piece = lattice[:, end, size - 1]
-                    ok = np.flatnonzero((piece >= 0) & (beta[:, end] > 0))
-                    if len(ok):
-                        beta[ok, end - size] += beta[ok, end] / lex.size
-                        uses = alpha[ok, end - size] * beta[ok, end] * scale[ok]
-                        total += np.bincount(piece[ok], uses, lex.size)
+    flat = np.full((lex.size, 1), -np.log(lex.size))
+    for part, lattice in _lattices(words, lex):
+        alpha, beta = lattice.forward(flat)[:, 0], lattice.backward(flat)[:, 0]
+        length = np.diff(np.append(lattice.first, lattice.places))
+        whole = np.repeat(alpha[lattice.last], length)[lattice.start]
+        share = np.repeat(weight[part], length)[lattice.start]
+        uses = share * np.exp(alpha[lattice.start] + flat[0, 0] + beta[lattice.end] - whole)
+        total += np.bincount(lattice.piece, uses, lex.size)
     return total
 
 
@@ -177,11 +217,11 @@ def shares(many: dict[str, int], most: int) -> dict[str, float]:
 def learn(labelled: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_rows: int = TRAIN_ROWS) -> Model:
     """Learn from rows with a language. All of them if there are at most ``train_rows``, else, per
     language, those whose hashed id and text are below the language's share."""
-    rows = labelled.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
-    many = dict(rows.groupBy(F.col(lang_col).alias("lang")).count().collect())  # a row per language
+    rows = labelled.where(field(lang_col).isNotNull() & field(id_col).isNotNull() & field(text_col).isNotNull())
+    many = dict(rows.groupBy(field(lang_col).alias("lang")).count().collect())  # a row per language
     if sum(many.values()) > train_rows:
         share = F.create_map(*[F.lit(x) for lang, part in shares(many, train_rows).items() for x in (lang, round(part * _STEPS))])
-        rows = rows.where(F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(_STEPS)) < F.element_at(share, F.col(lang_col)))
+        rows = rows.where(F.pmod(F.xxhash64(field(id_col), field(text_col)), F.lit(_STEPS)) < F.element_at(share, field(lang_col)))
 
     def run(batches):
         lex = lexicon(path)
@@ -200,7 +240,7 @@ def learn(labelled: DataFrame, path: str, id_col: str = "doc_id", text_col: str
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(on), pa.string()), pa.array(on, pa.int64()), pa.array(total[on])], names=["lang", "piece", "n"])
 
     summed = (
-        rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+        rows.select(field(lang_col).alias("lang"), field(text_col).alias("text"))
         .mapInArrow(run, "lang string, piece long, n double")
         .groupBy("lang", "piece")
         .agg(F.sum("n").alias("n"))
@@ -213,7 +253,7 @@ def learn(labelled: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     pooled = counts.sum(axis=1, keepdims=True) + UNIFORM
     pooled /= pooled.sum()
     chance = (counts + POOLED * pooled) / (counts.sum(axis=0, keepdims=True) + POOLED)
-    return Model(languages, np.vstack([chance, np.zeros((1, len(languages)))]))
+    return Model(languages, np.log(chance))
 
 
 class Scorer:
@@ -229,13 +269,12 @@ class Scorer:
         if len(self.code) > _KEPT:
             self.code, self.rows = {}, self.rows[:0]
         split = [_WORD.findall(text.lower()) for text in texts]
-        new = [w for w in dict.fromkeys(w for words in split for w in words) if w not in self.code]
-        for start in range(0, len(new), 5_000):
-            part = new[start : start + 5_000]
-            scores = word_scores(part, self.lex, self.model.chance)
+        new = sorted(set().union(*split).difference(self.code))
+        if new:
+            scores = word_scores(new, self.lex, self.model.logs)
             # runs of superscript digits and the like have no letter
-            scores[[not w.isalpha() and not any(map(str.isalpha, w)) for w in part]] = np.nan
-            self.code.update({w: len(self.code) + i for i, w in enumerate(part)})
+            scores[[not w.isalpha() and not any(map(str.isalpha, w)) for w in new]] = np.nan
+            self.code.update(zip(new, range(len(self.code), len(self.code) + len(new)), strict=True))
             self.rows = np.vstack([self.rows, scores])
         out: list[np.ndarray | None] = []
         for words in split:
@@ -266,7 +305,7 @@ def predict(docs: DataFrame, model: Model, path: str, id_col: str = "doc_id", te
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in held), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*held, "lang_pred", "score"])
 
     rows = docs.select(
-        F.col(id_col).alias("id"),
+        field(id_col).alias("id"),
         *([whole_row(docs)] if carry else []),
         unicode_text(text_col).alias("text"),
     )
@@ -276,4 +315,4 @@ def predict(docs: DataFrame, model: Model, path: str, id_col: str = "doc_id", te
 
 def held_out(id_col: str = "doc_id"):
     """The fold that nothing is learned from: crc32 of the id as text leaves 2 when divided by 4."""
-    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    return F.coalesce(F.crc32(field(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
