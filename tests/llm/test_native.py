@@ -1,5 +1,7 @@
+import hashlib
 import zlib
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.llm import fixity, sharding
@@ -28,25 +30,55 @@ def test_permutation_is_one_to_one():
         assert len({sharding.locate(i, n) for i in range(n)}) == n
 
 
-def test_fixity_finds_exactly_the_damage(spark):
-    pages = spark.createDataFrame([(i if i % 50 else None, f"http://x/{i}" if i % 7 else None, "b" * (i % 40) if i % 11 else None, 1) for i in range(3000)], "page_id long, url string, html string, digest int")
-    bad = F.col("page_id") % 601 == 5
-    body = F.coalesce("html", F.lit(""))
-    replica = F.when(F.col("page_id") == 77, F.lit(None)).when(bad, F.concat(body, F.lit("!"))).otherwise(body)
-    found = {(r.page_id, r.damage) for r in fixity.audit(fixity.manifest(pages, replica)).collect()}
-    assert found == {(5, "altered"), (606, "altered"), (1207, "altered"), (1808, "altered"), (2409, "altered"), (77, "missing")}
-    assert fixity.audit(fixity.manifest(pages, body)).count() == 0
-    assert fixity.audit(fixity.manifest(pages.limit(0), body)).count() == 0
+def archive(spark, rows):
+    """(file, id, body) rows as pages; a column clashes with the manifest's."""
+    return spark.createDataFrame([(f, i, "http://x" if i % 7 else None, b, 1) for f, i, b in rows], "f string, `page.id` long, url string, html string, digest int")
 
 
-def test_roots_and_offsets(spark):
-    import hashlib
+def audited(spark, left, right):
+    both = [fixity.manifest(archive(spark, rows), F.col("f"), "page.id") for rows in (left, right)]
+    return {(r["file"], r["page.id"], r.damage) for r in fixity.audit(*both, "page.id").where("damage <> 'moved'").collect()}
 
+
+@pytest.fixture(scope="module")
+def rows():
+    return [(f"a{i // 700}", i, "b" * (i % 40) if i % 11 else None) for i in range(1500)]
+
+
+def test_fixity_finds_altered_lost_and_added_records(spark, rows):
+    changed = [(f, i, "!" * (i % 40) if i % 601 == 5 else b) for f, i, b in rows]
+    assert audited(spark, rows, changed) == {("a0", 5, "altered"), ("a0", 606, "altered"), ("a1", 1207, "altered")}
+    fewer = [r for r in rows if r[1] not in (0, 699, 900) and r[0] != "a2"]
+    gone = {("a0", 0), ("a0", 699), ("a1", 900), *((f, i) for f, i, _ in rows if f == "a2")}
+    assert audited(spark, rows, fewer) == {(*x, "missing") for x in gone}
+    assert audited(spark, fewer, rows) == {(*x, "extra") for x in gone}
+    assert audited(spark, rows, rows[::-1]) == set()
+    assert audited(spark, rows, []) == {(f, i, "missing") for f, i, _ in rows}
+    assert audited(spark, [], []) == set()
+
+
+def test_fixity_moves_and_neighbours(spark):
+    """A lost record moves those behind it, in its own file only; [x, lost] isn't [lost, x]."""
+    left = [("a", 1, "x"), ("a", 2, "x"), ("a", 3, "y"), ("b", 4, "x"), (None, 5, None), (None, 5, None)]
+    both = [fixity.manifest(archive(spark, r), F.col("f"), "page.id") for r in (left, left[1:])]
+    found = {(r["page.id"], r.damage) for r in fixity.audit(*both, "page.id").collect()}
+    assert found == {(1, "missing"), (2, "moved"), (3, "moved")}
+    assert audited(spark, [("a", 1, "x"), ("a", 2, "z")], [("a", 2, "z"), ("a", 3, "x")]) == {("a", 1, "missing"), ("a", 3, "extra")}
+    assert audited(spark, left, left[:-1]) == {("\0null", 5, "missing")}
+    leaves = fixity.manifest(archive(spark, left), F.col("f"), "page.id")
+    assert [r.damage for r in fixity.audit(leaves, leaves.where("nth <> 0 or file <> 'a'"), "page.id").collect()] == ["missing"]
+    swapped = leaves.withColumn("nth", F.when(F.col("file") == "a", 2 - F.col("nth")).otherwise(F.col("nth")))
+    assert {r.damage for r in fixity.audit(leaves, swapped, "page.id").collect()} == {"moved"}
+
+
+def test_offsets_and_root(spark, monkeypatch):
+    monkeypatch.setattr(fixity, "SEGMENT", 7)
     pages = spark.createDataFrame([(i, "u", "v" * i) for i in range(40)], "page_id long, url string, html string")
-    listed = fixity.manifest(pages).orderBy("position").collect()
-    level = [r.digest for r in listed]
+    manifest = fixity.manifest(pages)
+    listed = manifest.orderBy("nth").collect()
+    assert listed[0].start == 0 and all(a.end == b.start for a, b in zip(listed, listed[1:], strict=False))
+    level = [hashlib.sha256(f"{r.nth}:{r.start}:{r.end}:{r.digest}".encode()).hexdigest() for r in listed]
     while len(level) > 1:
-        level = [hashlib.sha256("".join(level[k : k + 16]).encode()).hexdigest() for k in range(0, len(level), 16)]
-    tree = fixity.tree(fixity.manifest(pages))
-    assert tree[-1].first().digest == level[0]
-    assert all(a.end == b.start for a, b in zip(listed, listed[1:], strict=False))
+        level = [hashlib.sha256("\n".join(f"{k + j}:{h}" for j, h in enumerate(level[k : k + 16])).encode()).hexdigest() for k in range(0, len(level), 16)]
+    heights = fixity.shape(manifest, manifest)
+    assert heights == (2, 0) and fixity.tree(manifest, heights)[2].first().hash == level[0]

@@ -6,7 +6,7 @@ hold those against the tokenizer library, brute force or held-out rows.
 
 from __future__ import annotations
 
-from tidemark.llm import license_scan, sharding
+from tidemark.llm import fixity, license_scan, sharding
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _SPACE = r"[\x20\x09-\x0D]+"
@@ -29,13 +29,15 @@ SELECT cm.doc_id, coalesce(n, 0) AS n_shingles, component_id, cm.doc_id = compon
 
 
 def _fixity() -> str:
-    record = lambda body: f"'WARC/1.1' || crlf || 'WARC-Type: resource' || crlf || 'WARC-Record-ID: <urn:page:' || page_id || '>' || crlf || 'WARC-Target-URI: ' || coalesce(url, '') || crlf || 'Content-Length: ' || strlen({body}) || crlf || crlf || {body} || crlf || crlf"
-    return f"""WITH p AS (SELECT *, chr(13) || chr(10) AS crlf, coalesce(html, '') AS body FROM pages),
-q AS (SELECT *, CASE page_id % 97 WHEN 31 THEN NULL WHEN 5 THEN substr(body, 2) || substr(body, 1, 1) ELSE body END AS copy FROM p),
-r AS (SELECT page_id, url, sha256({record("body")}) AS digest, strlen({record("body")}) AS size, sha256({record("copy")}) AS replica_digest FROM q),
-o AS (SELECT *, row_number() OVER (ORDER BY page_id, url, digest) - 1 AS position FROM r),
-f AS (SELECT *, position // 1024 AS file, CAST(sum(size) OVER (PARTITION BY position // 1024 ORDER BY position) AS BIGINT) AS "end" FROM o)
-SELECT position, file, "end" - size AS start, "end", page_id, digest, replica_digest, CASE WHEN replica_digest IS NULL THEN 'missing' ELSE 'altered' END AS damage FROM f WHERE digest IS DISTINCT FROM replica_digest"""
+    record = "'WARC/1.1' || crlf || 'WARC-Type: resource' || crlf || 'WARC-Record-ID: <urn:page:' || page_id || '>' || crlf || 'WARC-Target-URI: ' || coalesce(url, '') || crlf || 'Content-Length: ' || strlen(body) || crlf || crlf || body || crlf || crlf"
+    side = lambda source: f"""SELECT *, "end" - size AS start FROM (SELECT file, page_id, sha256(rec) AS digest, strlen(rec) AS size, row_number() OVER w - 1 AS nth, CAST(sum(strlen(rec)) OVER (w ROWS UNBOUNDED PRECEDING) AS BIGINT) AS "end" FROM (SELECT *, {record} AS rec FROM {source}) WINDOW w AS (PARTITION BY file ORDER BY page_id, url, sha256(rec)))"""
+    return f"""WITH p AS (SELECT *, chr(13) || chr(10) AS crlf, page_id // {fixity.FILE_RECORDS} AS file, coalesce(html, '') AS body FROM pages),
+c AS (SELECT page_id, url, crlf, file, CASE page_id % 97 WHEN 5 THEN substr(body, 2) || substr(body, 1, 1) ELSE body END AS body FROM p WHERE page_id % 4999 <> 31
+  UNION ALL SELECT page_id + 1000000000000, url, crlf, file, body FROM p WHERE page_id % 97 = 59),
+l AS ({side("p")}), r AS ({side("c")})
+SELECT CAST(coalesce(l.file, r.file) AS VARCHAR) AS file, coalesce(l.page_id, r.page_id) AS page_id, l.start, l."end", l.digest, r.start AS replica_start, r."end" AS replica_end, r.digest AS replica_digest,
+  CASE WHEN r.page_id IS NULL THEN 'missing' WHEN l.page_id IS NULL THEN 'extra' WHEN l.digest <> r.digest THEN 'altered' ELSE 'moved' END AS damage
+FROM l FULL JOIN r ON l.file = r.file AND l.page_id = r.page_id WHERE (l.nth, l.start, l."end", l.digest) IS DISTINCT FROM (r.nth, r.start, r."end", r.digest)"""
 
 
 def _sharding() -> str:

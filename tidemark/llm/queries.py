@@ -27,12 +27,16 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every 97th id is damaged in the replica: some bodies rotated by a character, some lost."""
-    body = F.coalesce("html", F.lit(""))
-    rest = F.pmod(F.col("page_id"), F.lit(97))
+    """The archive against a replica with damage by id: bodies rotated by a character, records lost
+    (those behind move up in their file) and records that the archive never had."""
+    pages = table(spark, sf_dir, "pages")
+    body, hit = F.coalesce("html", F.lit("")), lambda n, k: F.pmod(F.col("page_id"), F.lit(n)) == k
     rotated = F.concat(F.substr(body, F.lit(2)), F.substr(body, F.lit(1), F.lit(1)))
-    replica = F.when(rest == 31, F.lit(None)).when(rest == 5, rotated).otherwise(body)
-    return fixity.audit(fixity.manifest(table(spark, sf_dir, "pages"), replica))
+    file = F.floor(F.col("page_id") / fixity.FILE_RECORDS)
+    left = fixity.manifest(pages, file)
+    held = pages.where(~F.coalesce(hit(4999, 31), F.lit(False))).select("page_id", file.alias("file"), "url", F.when(hit(97, 5), rotated).otherwise(body).alias("html"))
+    added = pages.where(hit(97, 59)).select((F.col("page_id") + 1_000_000_000_000).alias("page_id"), file.alias("file"), "url", body.alias("html"))
+    return fixity.audit(left, fixity.manifest(held.unionByName(added), F.col("file")))
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
