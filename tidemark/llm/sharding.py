@@ -21,7 +21,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, unicode_text
+from tidemark.llm.common import cut, field, unicode_text
 
 SHARDS = 8
 ROUNDS = 6
@@ -70,11 +70,17 @@ def permuted_number(number: Column, n: int, seed: int = SEED) -> Column:
         start = F.struct(left.cast("long").alias("left"), ((value - left) / rows).cast("long").alias("right"))
         return F.aggregate(rounds, start, both, lambda s: s.right * rows + s.left)
 
-    # Outside cells are fewer than a side, one in sqrt(n); a walk leaves each at most once.
-    walked = F.aggregate(
-        F.sequence(F.lit(0), F.lit(min(rows * columns - n, 64))), number.cast("long"), lambda v, i: F.when((i > 0) & (v < n), v).otherwise(once(v))
-    )
-    return F.when(walked < n, walked).otherwise(F.raise_error(F.lit("cycle walk did not end")).cast("long"))
+    def walk(value: Column, times: int) -> Column:
+        return F.aggregate(F.sequence(F.lit(1), F.lit(times)), value, lambda v, i: F.when(v < n, v).otherwise(once(v)))
+
+    # A walk steps on an outside cell at most once, so it ends after as many steps as there are such
+    # cells, fewer than a side. That is nearly always the first few: the rest is only for a row that
+    # is still outside after them.
+    outside = rows * columns - n
+    walked = once(number.cast("long"))
+    for times in (min(outside, 64), outside) if outside else ():
+        walked = F.transform(F.array(walked), lambda v, k=times: F.when(v < n, v).otherwise(walk(v, k)))[0]
+    return walked
 
 
 def locate(number: int, n: int, shards: int = SHARDS, seed: int = SEED) -> tuple[int, int]:
@@ -94,8 +100,8 @@ def locate(number: int, n: int, shards: int = SHARDS, seed: int = SEED) -> tuple
 def numbered(rows: DataFrame, order: list) -> tuple[DataFrame, int]:
     """Add ``row_number`` from 0 in the given order; the number of rows."""
     ranged = (
-        rows.repartitionByRange(*order)
-        .sortWithinPartitions(*order)
+        rows.repartitionByRange(*map(field, order))
+        .sortWithinPartitions(*map(field, order))
         .withColumn("part", F.spark_partition_id())
         .withColumn("within", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
     )
@@ -104,6 +110,7 @@ def numbered(rows: DataFrame, order: list) -> tuple[DataFrame, int]:
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
     n = counts.agg(F.sum("n")).first()[0] or 0
+    # broadcast: a row per range partition, a number that the session's settings bound
     return ranged.join(F.broadcast(starts), "part").withColumn("row_number", F.col("within") + F.col("before")).drop("part", "within", "before"), n
 
 
@@ -112,7 +119,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, id_col: str =
     text = unicode_text(text_col)
     rows, n = numbered(
         docs.select(
-            F.col(id_col),
+            field(id_col),
             (F.octet_length(text) + 1).cast("long").alias("size"),
             F.crc32(text.cast("binary")).alias("text_crc32"),
         ),
