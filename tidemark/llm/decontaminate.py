@@ -6,8 +6,9 @@ automaton over word numbers; each document runs through it once, and matched wor
 to character offsets of the original text.
 
 The benchmark is broadcast only in blocks of at most ``block_bytes`` of text. A larger benchmark is
-split by a hash of its rows and the documents pass the blocks' automata one after the other, with a
-written table between passes; results are the same.
+split by a hash of its distinct rows and the documents, written once, are read by the blocks' automata
+one after the other; a pass writes its hits only, and results are the same. The driver holds one
+block at a time. An item that is larger than a block is a block of its own.
 
 Null or word-free texts have no words and no hits; items without words have no windows. A null item
 id is named ``null``. Repeated items and ids count once in ``items``. Documents' null or repeated
@@ -23,11 +24,12 @@ from itertools import repeat
 
 import ahocorasick
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import rows_of, slices, staged, unicode_text, whole_row
+from tidemark.llm.common import cut, field, rows_of, slices, staged, unicode_text, whole_row
 
 WINDOW = 10
 #: Text bytes of the benchmark whose automaton one worker holds at once.
@@ -66,32 +68,30 @@ class Matcher:
         if not self.any or not words:
             return [], set()
         ids = tuple(map(self.numbers.get, words, repeat(0)))
-        return merged([(end - size + 1, end + 1, own) for end, (size, own) in self.automaton.iter(ids)])
+        found, items = [], set()
+        for end, (size, own) in self.automaton.iter(ids):
+            found.append((end - size + 1, end + 1))
+            items.update(own)
+        return merged(found), items
 
 
-def merged(found: list[tuple[int, int, tuple[str, ...]]]) -> tuple[list[tuple[int, int]], set[str]]:
+def merged(found: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Word ranges (first, end) in order; those that touch become one."""
     ranges: list[tuple[int, int]] = []
-    items: set[str] = set()
-    for first, end, own in sorted(found, key=lambda x: x[:2]):
-        items.update(own)
+    for first, end in sorted(found):
         if ranges and first <= ranges[-1][1]:
             ranges[-1] = (ranges[-1][0], max(end, ranges[-1][1]))
         else:
             ranges.append((first, end))
-    return ranges, items
+    return ranges
 
 
-def blocks_of(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> list[list[tuple[str, bytes]]]:
-    """The benchmark in blocks of bounded size. A block is collected only after its size is known."""
-    rows = benchmark.select(
-        F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("item"), unicode_text(text_col).alias("text")
-    ).where("text <> ''")
+def items_of(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> tuple[DataFrame, int]:
+    """Distinct (item, text, block) rows and the number of blocks, each of at most about ``block_bytes``."""
+    rows = benchmark.select(F.coalesce(field(item_col).cast("string"), F.lit("null")).alias("item"), unicode_text(text_col).alias("text")).where("text <> ''").distinct()
     total = rows.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     n = max(1, math.ceil(1.5 * total / block_bytes)) if total > block_bytes else 1
-    part = F.pmod(F.xxhash64("item", "text"), F.lit(n))
-    return [
-        [(r["item"], r["text"].encode()) for r in (rows.where(part == k) if n > 1 else rows).toLocalIterator()] for k in range(n)
-    ]
+    return rows.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(n))), n
 
 
 def find(
@@ -101,62 +101,88 @@ def find(
     """One row per document: id, ``n_words``, ``n_hit``, ``items`` (sorted item ids) and ``spans``
     (character ranges of the original text, one for each run of hit words); with ``carry``, also
     the input row as the struct ``row``."""
-    rows = docs.select(
-        F.col(id_col).alias("id"),
-        *([whole_row(docs)] if carry else []),
-        unicode_text(text_col).alias("text"),
-        F.expr("cast(array() as array<string>)").alias("items"),
-        F.expr("cast(array() as array<int>)").alias("edges"),
-    )
-    blocks = blocks_of(benchmark, item_col, item_text_col, block_bytes)
-    for k, block in enumerate(blocks):
-        rows = _pass(staged(rows, "decontaminate") if k else rows, block, window, last=k == len(blocks) - 1)
-    return rows.withColumnRenamed("id", id_col)
-
-
-def _pass(rows: DataFrame, block: list[tuple[str, bytes]], window: int, last: bool) -> DataFrame:
+    held = [field(id_col).alias("id"), *([whole_row(docs)] if carry else [])]
+    rows = docs.select(*held, unicode_text(text_col).alias("text"))
+    items, blocks = items_of(benchmark, item_col, item_text_col, block_bytes)
+    if blocks > 1:
+        return _in_blocks(rows, items, blocks, window).withColumnRenamed("id", id_col)
+    return _shown(_pass(rows, _fetched(items), window)[0]).withColumnRenamed("id", id_col)
+
+
+def _fetched(items: DataFrame) -> list[tuple[str, bytes]]:
+    """The items of one block, which is of bounded size."""
+    return [(r["item"], r["text"].encode()) for r in items.select("item", "text").toLocalIterator()]
+
+
+def _in_blocks(rows: DataFrame, items: DataFrame, blocks: int, window: int) -> DataFrame:
+    """The documents are written once, with a number, and read once a block. A block is fetched, used
+    and released before the next; what a pass writes are the documents it hits."""
+    rows = staged(rows.withColumn("rid", F.monotonically_increasing_id()), "decontaminate")
+    items, found = cut(items), None
+    for k in range(blocks):
+        hits, shared = _pass(rows.select("rid", "text"), _fetched(items.where(F.col("block") == k)), window)
+        hits = staged(hits.where(F.size("items") > 0), "decontaminate-hits")
+        shared.destroy()
+        found = hits if found is None else found.union(hits)
+    # a document has at most one row a block
+    found = found.groupBy("rid").agg(F.flatten(F.collect_list("items")).alias("items"), F.flatten(F.collect_list("ranges")).alias("ranges"))
+    counted = rows.select(*[c for c in rows.columns if c != "text"], n_words("text").alias("n_words"))
+    joined = counted.join(found, "rid", "left").drop("rid")
+    return _shown(joined.withColumn("items", F.coalesce("items", F.array())).withColumn("ranges", _united(F.coalesce("ranges", F.array()))))
+
+
+def n_words(column: str) -> Column:
+    return F.size(F.regexp_extract_all(F.col(column), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), F.lit(0))).cast("long")
+
+
+def _united(ranges: Column) -> Column:
+    """Ranges of several passes, in order, those that touch as one."""
+    put = lambda acc, r: F.concat(acc, F.array(r))
+    last = lambda acc: F.element_at(acc, -1)
+    join = lambda acc, r: F.struct(last(acc)["first"].alias("first"), F.greatest(last(acc)["end"], r["end"]).alias("end"), last(acc)["start"].alias("start"), F.greatest(last(acc)["stop"], r["stop"]).alias("stop"))
+    step = lambda acc, r: F.when((F.size(acc) > 0) & (r["first"] <= F.try_element_at(acc, F.lit(-1))["end"]), put(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), join(acc, r))).otherwise(put(acc, r))
+    return F.aggregate(F.array_sort(ranges), F.lit([]).cast(_RANGES), step)
+
+
+def _shown(found: DataFrame) -> DataFrame:
+    kept = [c for c in found.columns if c in ("id", "row")]
+    n_hit = F.aggregate("ranges", F.lit(0).cast("long"), lambda n, r: n + r["end"] - r["first"])
+    spans = F.transform("ranges", lambda r: F.struct(r["start"].alias("start"), r["stop"].alias("end")))
+    return found.select(*kept, "n_words", n_hit.alias("n_hit"), F.array_sort(F.array_distinct("items")).alias("items"), spans.alias("spans"))
+
+
+def _pass(rows: DataFrame, block: list[tuple[str, bytes]], window: int) -> tuple[DataFrame, Broadcast]:
+    """The rows without their text, with ``n_words``, ``items`` and ``ranges`` of one block; and the
+    broadcast block."""
     shared = rows.sparkSession.sparkContext.broadcast(block)
-    kept = [c for c in rows.columns if c in ("id", "row")]
+    kept = [c for c in rows.columns if c != "text"]
 
     def run(batches):
         matcher = Matcher(shared.value, window)
         for batch in slices(batches, "text"):
-            texts = batch.column("text").cast(pa.binary()).to_pylist()
-            before = zip(batch.column("items").to_pylist(), batch.column("edges").to_pylist(), strict=True)
-            items, edges, n_words, n_hit, spans = [], [], [], [], []
-            for raw, (own, marks) in zip(texts, before, strict=True):
+            items, ranges, many = [], [], []
+            for raw in batch.column("text").cast(pa.binary()).to_pylist():
                 words = words_of(raw)
-                ranges, more = matcher.scan(words)
-                if own:
-                    old = [(a, b, ()) for a, b in zip(marks[::2], marks[1::2], strict=True)]
-                    ranges, _ = merged(old + [(a, b, ()) for a, b in ranges])
-                items.append(sorted(more | set(own)))
-                edges.append([x for r in ranges for x in r])
-                n_words.append(len(words))
-                n_hit.append(sum(b - a for a, b in ranges))
-                spans.append(_in_characters(raw, ranges) if last and ranges else [])
-            held = [batch.column(c) for c in kept]
-            if last:
-                more_columns = {"n_words": pa.array(n_words, pa.int64()), "n_hit": pa.array(n_hit, pa.int64()), "items": pa.array(items, pa.list_(pa.string())), "spans": pa.array(spans, _SPANS)}
-            else:
-                more_columns = {"text": batch.column("text"), "items": pa.array(items, pa.list_(pa.string())), "edges": pa.array(edges, pa.list_(pa.int32()))}
-            yield pa.RecordBatch.from_arrays([*held, *more_columns.values()], names=[*kept, *more_columns])
-
-    schema = T.StructType([rows.schema[c] for c in kept])
-    if last:
-        schema = schema.add("n_words", "long").add("n_hit", "long").add("items", T.ArrayType(T.StringType()))
-        schema = schema.add("spans", T.ArrayType(T.StructType().add("start", "long").add("end", "long")))
-    else:
-        schema = schema.add("text", "string").add("items", T.ArrayType(T.StringType())).add("edges", T.ArrayType(T.IntegerType()))
-    return rows.mapInArrow(run, schema)
-
-
-_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+                hit, own = matcher.scan(words)
+                items.append(sorted(own))
+                ranges.append(_in_characters(raw, hit) if hit else [])
+                many.append(len(words))
+            told = [pa.array(many, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(ranges, _ARROW_RANGES)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *told], names=[*kept, "n_words", "items", "ranges"])
+
+    schema = T.StructType([rows.schema[c] for c in kept]).add("n_words", "long").add("items", T.ArrayType(T.StringType())).add("ranges", _RANGES)
+    return rows.mapInArrow(run, schema), shared
+
+
+_PLACES = ("first", "end", "start", "stop")
+_RANGES = T.ArrayType(T.StructType([T.StructField(c, T.LongType()) for c in _PLACES]))
+_ARROW_RANGES = pa.list_(pa.struct([(c, pa.int64()) for c in _PLACES]))
 
 
 def _in_characters(raw: bytes, ranges: list[tuple[int, int]]) -> list[dict]:
+    """Word ranges with the characters they cover."""
     places = [m.span() for m in _WORD.finditer(raw.decode().translate(_UPPER))]
-    return [{"start": places[a][0], "end": places[b - 1][1]} for a, b in ranges]
+    return [{"first": a, "end": b, "start": places[a][0], "stop": places[b - 1][1]} for a, b in ranges]
 
 
 _UPPER = {c: c + 32 for c in range(0x41, 0x5B)}
