@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import itertools
 import math
 
 import numpy as np
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import tails
 from tidemark.operators import bars as B
-from tidemark.operators import combine, conditional, explain, inference, learners, linear, losses, risk
+from tidemark.operators import combine, conditional, explain, inference, learners, linear, losses, risk, splits, spread
 from tidemark.operators import measures as D
 from tidemark.sources import files
 
@@ -189,8 +190,158 @@ def test_trees_boosting_networks(spark):
 
 def test_effects_and_shares(spark):
     rows, _ = learner_rows(spark)
-    score = lambda v: 2 * v["a"] + v["b"]
+    score = explain.by_column(lambda v: 2 * v["a"] + v["b"], ["a", "b", "c"])
     vi = {r.feature: r.vi for r in explain.importance(explain.all_effects(rows, ["g"], score, ["a", "b", "c"], 10), ["g"]).collect()}
     assert math.isclose(sum(vi.values()), 1, rel_tol=1e-9) and vi["a"] > vi["b"] > vi["c"] == 0
     share = {r.feature: r.share for r in explain.shapley_shares(rows.limit(50), ["g"], score, ["a", "b", "c"], rows, 4).collect()}
     assert math.isclose(sum(share.values()), 1, rel_tol=1e-9) and share["a"] > share["b"] > share["c"]
+
+
+def test_fits_are_dealt_out(spark):
+    """Members, grid points and restarts get tasks of their own, whatever adaptive execution makes of
+    their bytes; each task has one of them."""
+    rows, _ = learner_rows(spark)
+    fit = lambda split, features, target, task: iter([(target, (task["seed"],))])
+    made = learners.members(rows, ["g"], ["a", "b", "c"], [{"seed": i} for i in range(12)], fit, "seed int")
+    tasks = made.select(F.spark_partition_id().alias("task"), "seed").distinct().groupBy("task").count().collect()
+    assert len(tasks) == 12
+    packed = spread.with_tasks(learners._packed(rows, ["g"], ["a"]), ["g"], [{"k": i} for i in range(5)], 1 << 30)  # too large to broadcast
+    assert packed.select(F.spark_partition_id().alias("task")).distinct().count() == 5
+    grid = spread.dealt(spark.range(200), 200, 25)
+    assert grid.groupBy(F.spark_partition_id()).count().count() == 8
+
+
+def test_tree_against_exhaustive_splits():
+    """Each node's split is the best one there is, and a full tree returns its own targets."""
+    rng = np.random.default_rng(5)
+    x, y = np.round(rng.normal(size=(60, 3)), 1), rng.normal(size=60)
+    feature, threshold, left, right, value = tree = learners.grow(x, y, rng, 3, 1000)
+    rows = {0: np.arange(60)}
+    for at in range(len(feature)):
+        own = rows[at]
+        assert math.isclose(value[at], y[own].mean(), abs_tol=1e-12)
+        gains = {}
+        for f in range(3):
+            for t in np.unique(x[own, f])[:-1]:
+                a, b = y[own][x[own, f] <= t], y[own][x[own, f] > t]
+                gains[f, t] = len(a) * a.mean() ** 2 + len(b) * b.mean() ** 2 - len(own) * y[own].mean() ** 2
+        if feature[at] < 0:
+            assert not gains or max(gains.values()) < 1e-9
+            continue
+        go = x[own, feature[at]] <= threshold[at]
+        a, b = y[own][go], y[own][~go]
+        assert math.isclose(len(a) * a.mean() ** 2 + len(b) * b.mean() ** 2 - len(own) * y[own].mean() ** 2, max(gains.values()), rel_tol=1e-9)
+        rows[left[at]], rows[right[at]] = own[go], own[~go]
+    assert np.allclose(learners.fall(tree, x), [y[(x == r).all(axis=1)].mean() for r in x])
+    stump = learners.grow(x, y, rng, 3, 1)
+    assert len(stump[0]) == 3
+
+
+def test_networks_and_regimes_together_are_those_alone():
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(200, 3))
+    y = x[:, 0] - 0.5 * np.abs(x[:, 1])
+    both = learners._networks(x, y, x, [4, 2], [1, 2, 3], 40, patience=5)
+    for i, seed in enumerate((1, 2, 3)):
+        assert np.allclose(both[i], learners._networks(x, y, x, [4, 2], [seed], 40, patience=5)[0])
+    z = np.concatenate([rng.normal(-1, 0.3, 80), rng.normal(1.5, 0.5, 80)])
+    starts = np.stack([conditional._start(z, i) for i in range(3)])
+    params, likelihood = conditional._em(z, starts.copy(), 50)
+    for i in range(3):
+        alone, value = conditional._em(z, starts[i : i + 1].copy(), 50)
+        assert np.allclose(params[i], alone[0]) and math.isclose(likelihood[i], value[0])
+    # the smoothed probabilities against every path of a short series
+    short, p = z[76:84], params[0]
+    move, weight = np.array([[p[4], 1 - p[4]], [1 - p[5], p[5]]]), np.zeros((8, 2))
+    for path in itertools.product((0, 1), repeat=8):
+        chance = 0.5 * np.prod([move[a, b] for a, b in itertools.pairwise(path)])
+        chance *= np.prod([math.exp(-((v - p[s]) ** 2) / (2 * p[2 + s])) / math.sqrt(2 * math.pi * p[2 + s]) for v, s in zip(short, path, strict=True)])
+        for t, s in enumerate(path):
+            weight[t, s] += chance
+    smooth, _, total = conditional._forward_backward(short, p[None])
+    assert np.allclose(smooth[:, 0], weight / weight.sum(axis=1, keepdims=True)) and math.isclose(total[0], math.log(weight[0].sum()), rel_tol=1e-9)
+
+
+def test_forest_scores_other_points(spark):
+    rows, _ = learner_rows(spark)
+    x = ["a", "b", "c"]
+    models = learners.grown_forest(rows, ["g"], x, 6, 2, batch=4)
+    expected = learners.forest(rows, ["g"], x, 6, 2, "RF", batch=4).where("split = 'test'").toPandas().set_index("day")["y_pred"]
+    found = learners.forest_scores(rows.where("split = 'test'"), ["g"], x, models, chunk=30).toPandas().set_index("day")["y_pred"]
+    assert len(found) == 100 and np.allclose(found.sort_index(), expected.sort_index())
+
+
+def test_penalised_fits_minimise_their_objectives(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(300, 4))
+    y = x @ np.array([1.0, 0.0, -0.5, 0.0]) + rng.normal(size=300)
+    xc, yc = x - x.mean(axis=0), y - y.mean()
+    cross = np.block([[xc.T @ xc, (xc.T @ yc)[:, None]], [(xc.T @ yc)[None], np.array([[yc @ yc]])]])
+    target = {
+        "RR": lambda w: ((yc - xc @ w) ** 2).sum() + 3.0 * (w @ w),
+        "LA": lambda w: ((yc - xc @ w) ** 2).sum() / 600 + 0.05 * np.abs(w).sum(),
+        "EN": lambda w: ((yc - xc @ w) ** 2).sum() / 600 + 0.05 * (0.4 * np.abs(w).sum() + 0.3 * (w @ w)),
+    }
+    for kind, lam, share in (("RR", 3.0, 1.0), ("LA", 0.05, 1.0), ("EN", 0.05, 0.4)):
+        w = linear.PENALISED[kind](cross, 300, lam, share)
+        assert all(target[kind](w) <= target[kind](w + d) + 1e-12 for d in 1e-3 * rng.normal(size=(200, 4)))
+    lasso = linear.PENALISED["LA"](cross, 300, 0.05, 1.0)
+    post = linear.PENALISED["PLA"](cross, 300, 0.05, 1.0)
+    on = np.flatnonzero(lasso)
+    assert np.allclose(post[on], np.linalg.lstsq(xc[:, on], yc, rcond=None)[0]) and not np.delete(post, on).any()
+    size = np.abs(np.linalg.lstsq(xc, yc, rcond=None)[0]) + 1e-12
+    adaptive = linear.PENALISED["ALA"](cross, 300, 0.05, 1.0)
+    objective = lambda w: ((yc - xc @ w) ** 2).sum() / 600 + 0.05 * (np.abs(w) / size).sum()
+    assert all(objective(adaptive) <= objective(adaptive + d) + 1e-12 for d in 1e-3 * rng.normal(size=(200, 4)))
+
+
+def test_confidence_set_against_plain_elimination(spark):
+    """The same draws, eliminated by a plain loop over models."""
+    rows = losses.with_losses(frame(spark, models=("A", "B", "C", "D")), ["instrument", "model"])
+    placed = inference.placed(rows.select("instrument", "model", "day", F.col("mse").alias("x")), ["instrument", "model"])
+    means = inference.bootstrap_means(placed, ["instrument", "model"], ["x"], 300).toPandas().pivot(index="draw", columns="model", values="x_mean")
+    actual = rows.groupBy("model").agg(F.avg("mse").alias("m")).toPandas().set_index("model")["m"]
+    alive, p, running = list("ABCD"), {}, 0.0
+    while len(alive) > 1:
+        d = {m: actual[m] - np.mean([actual[k] for k in alive]) for m in alive}
+        draws = {m: means[m] - means[alive].mean(axis=1) for m in alive}
+        sd = {m: draws[m].std(ddof=1) for m in alive}
+        t_max = max(d[m] / sd[m] for m in alive)
+        noise = np.max([(draws[m] - d[m]) / sd[m] for m in alive], axis=0)
+        running = max(running, float((noise >= t_max).mean()))
+        if running > 0.1:
+            break
+        worst = max(alive, key=lambda m: d[m] / sd[m])
+        p[worst] = running
+        alive.remove(worst)
+    p |= {m: 1.0 if len(alive) == 1 else running for m in alive}
+    found = {r.model: (round(r.p_value, 6), r.included) for r in inference.confidence_set(rows, ["instrument"], "mse", 300, (0.1,)).collect()}
+    assert found == {m: (round(v, 6), m in alive) for m, v in p.items()}
+
+
+def test_small_sample_p_values_against_tables():
+    for t, df, p in ((1.812, 10, 0.05), (2.228, 10, 0.025), (2.764, 10, 0.01), (2.042, 30, 0.025), (6.314, 1, 0.05), (1.645, 100_000, 0.05)):
+        assert math.isclose(tails._t_upper(t, df), p, rel_tol=2e-3)
+
+
+def test_path_legs_choose_the_best_network(spark):
+    rows = losses.with_losses(frame(spark, models=("H", "X", "E", "F", "N1", "N2")), ["instrument", "model"])
+    legs = inference.path_legs(rows, ["instrument"], "mse", "H", {"wide": "X", "penalised": "E", "forest": "F"}, ["N2", "N1"])
+    assert {r.best for r in legs.select("best").distinct().collect()} == {"N1"}
+    assert {r.leg: r.n for r in legs.groupBy("leg").agg(F.count("*").alias("n")).collect()} == {k: 400 for k in ("wide", "penalised", "forest", "network", "total")}
+    total = legs.where("leg = 'total'").agg(F.avg("top").alias("top"), F.avg("bottom").alias("bottom")).first()
+    want = {r.model: r.m for r in rows.groupBy("model").agg(F.avg("mse").alias("m")).collect()}
+    assert math.isclose(total.top, want["N1"], rel_tol=1e-9) and math.isclose(total.bottom, want["H"], rel_tol=1e-9)
+
+
+def test_model_columns_and_merged_runs(spark):
+    rows = frame(spark, 20, ("A",)).drop("model", "y_pred").withColumns({c: F.lit(1.0) for c in [*linear.HAR, "rn_d", "rq_lag", "iv"]})
+    assert splits.model_columns(rows, "M_HAR").columns == ["instrument", "day", "split", "y", "rvd", "rvw", "rvm"]
+    assert splits.model_columns(rows, "M_ALL").columns == ["instrument", "day", "split", "y", "rvd", "rvw", "rvm", "iv"]
+    with pytest.raises(ValueError):
+        splits.model_columns(rows.drop("rvw"), "M_HAR")
+    store = frame(spark, 20, ("A",)).withColumn("horizon", F.lit(1))
+    other = store.withColumn("horizon", F.lit(5)).unionByName(store.withColumn("y_pred", F.lit(7.0)))
+    keys = ["instrument", "horizon", "split", "day", "model"]
+    assert files.merge_runs([store, other], keys, horizon=1).select(F.sum("y_pred"), F.count("*")).first() == (70.0, 10)
+    assert files.merge_runs([store, other], keys, validation=True).count() == 40

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import losses as L
+from tidemark.operators.spread import dealt, with_tasks
+from tidemark.storage import cut
 
 
 def with_decile(forecasts: DataFrame, keys: list[str], bins: int = 10) -> DataFrame:
@@ -38,31 +40,54 @@ def regime_ratios(table: DataFrame, baseline: str, keys: list[str]) -> DataFrame
     return found.withColumn("base", base).where("base > 0").drop("base")
 
 
-def fit_regimes(daily: DataFrame, value: str = "rv", restarts: int = 25, rounds: int = 200) -> DataFrame:
-    """(instrument, day, p_high, regime): a two-state Gaussian Markov chain on standardised log
-    ``value``. One grouped task per instrument and restart runs the EM; the best likelihood of each
-    instrument then smooths its days. A group is one instrument's daily series."""
+def regime_fits(daily: DataFrame, value: str = "rv", restarts: int = 25, rounds: int = 200, batch: int = 5) -> DataFrame:
+    """(instrument, params, likelihood, shift, scale, rows): a two-state Gaussian Markov chain on
+    standardised log ``value`` by EM, the best of ``restarts`` starts. A task runs ``batch`` starts of
+    one instrument; ``rows`` are its days in order, bounded by the calendar."""
     series = daily.where(F.col(value) > 0).select("instrument", "day", F.log(value).alias("x"))
-    w = Window.partitionBy("instrument")
-    series = series.withColumn("z", (F.col("x") - F.avg("x").over(w)) / F.stddev_pop("x").over(w))
-    tasks = series.withColumn("restart", F.explode(F.sequence(F.lit(0), F.lit(restarts - 1))))
+    stats = series.groupBy("instrument").agg(F.avg("x").alias("shift"), F.stddev_pop("x").alias("scale"))
+    z = (F.col("x") - F.col("shift")) / F.col("scale")
+    packed = series.join(stats, "instrument").groupBy("instrument", "shift", "scale").agg(F.sort_array(F.collect_list(F.struct("day", z.alias("z")))).alias("rows"))
+    packed = cut(packed)
+    tasks = [{"first": i, "many": min(batch, restarts - i)} for i in range(0, restarts, batch)]
+
+    def fit(batches):
+        for pdf in batches:
+            for r in pdf.to_dict("records"):
+                z = np.array([row["z"] for row in r["rows"]])
+                params, likelihood = _em(z, np.stack([_start(z, i) for i in range(r["first"], r["first"] + r["many"])]), rounds)
+                yield pd.DataFrame({"instrument": r["instrument"], "start": range(r["first"], r["first"] + r["many"]), "params": params.tolist(), "likelihood": likelihood})
+
+    asked = with_tasks(packed.select("instrument", "rows"), ["instrument"], tasks, 32)
+    fits = asked.mapInPandas(fit, "instrument string, start int, params array<double>, likelihood double")
+    best = fits.groupBy("instrument").agg(F.max_by(F.struct("params", "likelihood"), F.struct("likelihood", -F.col("start"))).alias("b")).select("instrument", "b.*")
+    return packed.join(best, "instrument")
+
+
+def fit_regimes(daily: DataFrame, value: str = "rv", restarts: int = 25, rounds: int = 200) -> DataFrame:
+    """(instrument, day, p_high, regime): smoothed probabilities of the state with the higher mean."""
 
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        z = pdf.sort_values("day")["z"].to_numpy()
-        start = _start(z, int(pdf["restart"].iloc[0]))
-        params, likelihood = _em(z, start, rounds)
-        return pd.DataFrame({"instrument": [pdf["instrument"].iloc[0]], "params": [params.tolist()], "likelihood": [likelihood]})
+    def smooth(batches):
+        for pdf in batches:
+            for r in pdf.to_dict("records"):
+                params, z = np.array(r["params"]), np.array([row["z"] for row in r["rows"]])
+                high = _forward_backward(z, params[None])[0][:, 0, int(params[1] > params[0])]
+                yield pd.DataFrame({"instrument": r["instrument"], "day": [row["day"] for row in r["rows"]], "p_high": high, "regime": (high >= 0.5).astype("int32")})
 
-    fits = tasks.groupBy("instrument", "restart").applyInPandas(fit, "instrument string, params array<double>, likelihood double")
-    best = fits.groupBy("instrument").agg(F.max_by("params", "likelihood").alias("params"))
+    fits = cut(regime_fits(daily, value, restarts, rounds))
+    return dealt(fits, fits.count()).mapInPandas(smooth, "instrument string, day date, p_high double, regime int")
 
-    def smooth(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("day")
-        params = np.array(pdf["params"].iloc[0])
-        high = _forward_backward(pdf["z"].to_numpy(), params)[0][:, int(params[1] > params[0])]
-        return pd.DataFrame({"instrument": pdf["instrument"], "day": pdf["day"], "p_high": high, "regime": (high >= 0.5).astype("int32")})
 
-    return series.join(best, "instrument").groupBy("instrument").applyInPandas(smooth, "instrument string, day date, p_high double, regime int")
+def regime_parameters(fits: DataFrame) -> DataFrame:
+    """(instrument, regime, log_mean, log_variance, stay, share): the states of the fitted chains, low
+    (0) and high (1), in units of the logs; ``share`` is the chain's long-run share of days."""
+    p = lambda i, high: F.col("params")[F.when((F.col("params")[1] > F.col("params")[0]) == F.lit(high), 1).otherwise(0) + i]
+    leave = lambda high: 1 - p(4, high)
+    states = [
+        F.struct(F.lit(int(h)).alias("regime"), (F.col("shift") + F.col("scale") * p(0, h)).alias("log_mean"), (F.col("scale") ** 2 * F.greatest(p(2, h), F.lit(1e-6))).alias("log_variance"), p(4, h).alias("stay"), (leave(not h) / (leave(h) + leave(not h))).alias("share"))
+        for h in (False, True)
+    ]
+    return fits.select("instrument", F.explode(F.array(*states)).alias("s")).select("instrument", "s.*")
 
 
 def _start(z: np.ndarray, restart: int) -> np.ndarray:
@@ -72,34 +97,42 @@ def _start(z: np.ndarray, restart: int) -> np.ndarray:
     return np.array([*means, 0.5, 0.5, *(rng.uniform(0.7, 0.99, 2) if restart else (0.95, 0.95))])
 
 
-def _forward_backward(z: np.ndarray, params: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-    """Smoothed state probabilities, expected moves, log likelihood (scaled recursions)."""
-    mean, var, stay = params[:2], np.maximum(params[2:4], 1e-6), params[4:6]
-    move = np.array([[stay[0], 1 - stay[0]], [1 - stay[1], stay[1]]])
-    density = np.exp(-((z[:, None] - mean) ** 2) / (2 * var)) / np.sqrt(2 * np.pi * var) + 1e-300
-    n = len(z)
-    ahead, scale, back = np.empty((n, 2)), np.empty(n), np.ones((n, 2))
-    state = np.array([0.5, 0.5])
+def _forward_backward(z: np.ndarray, params: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """[day, start, state] smoothed probabilities, [start, from, to] expected moves and [start] log
+    likelihoods, by scaled recursions over all starts at once."""
+    mean, var, stay = params[:, :2], np.maximum(params[:, 2:4], 1e-6), params[:, 4:6]
+    move = np.stack([np.stack([stay[:, 0], 1 - stay[:, 0]], -1), np.stack([1 - stay[:, 1], stay[:, 1]], -1)], 1)
+    density = np.exp(-((z[:, None, None] - mean) ** 2) / (2 * var)) / np.sqrt(2 * np.pi * var) + 1e-300
+    n, back_move = len(z), move.transpose(0, 2, 1)
+    ahead, scale, back = np.empty(density.shape), np.empty((n, len(params), 1)), np.ones(density.shape)
+    state = np.full((len(params), 1, 2), 0.5)
     for t in range(n):
-        state = (state @ move if t else state) * density[t]
-        scale[t] = state.sum()
-        state = ahead[t] = state / scale[t]
+        state = (state @ move if t else state) * density[t][:, None]
+        scale[t] = state.sum(axis=2)
+        state = state / scale[t][:, None]
+        ahead[t] = state[:, 0]
+    now = np.ones((len(params), 1, 2))
     for t in range(n - 2, -1, -1):
-        back[t] = move @ (density[t + 1] * back[t + 1]) / scale[t + 1]
+        now = ((density[t + 1] / scale[t + 1])[:, None] * now) @ back_move
+        back[t] = now[:, 0]
     smooth = ahead * back
-    moves = np.einsum("ti,ij,tj->ij", ahead[:-1], move, density[1:] * back[1:] / scale[1:, None])
-    return smooth / smooth.sum(axis=1, keepdims=True), moves, float(np.log(scale).sum())
+    moves = np.einsum("tri,rij,trj->rij", ahead[:-1], move, density[1:] * back[1:] / scale[1:])
+    return smooth / smooth.sum(axis=2, keepdims=True), moves, np.log(scale).sum(axis=(0, 2))
 
 
-def _em(z: np.ndarray, params: np.ndarray, rounds: int) -> tuple[np.ndarray, float]:
-    last = -np.inf
+def _em(z: np.ndarray, params: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    """Parameters and log likelihood of each start; a start that has converged stays as it is."""
+    last, going = np.full(len(params), -np.inf), np.arange(len(params))
     for _ in range(rounds):
-        smooth, moves, likelihood = _forward_backward(z, params)
-        if likelihood - last < 1e-7 * abs(likelihood):
+        smooth, moves, likelihood = _forward_backward(z, params[going])
+        on = likelihood - last[going] >= 1e-7 * np.abs(likelihood)
+        going, smooth, moves = going[on], smooth[:, on], moves[on]
+        if not len(going):
             break
-        last = likelihood
+        last[going] = likelihood[on]
         weight = smooth.sum(axis=0)
-        mean = smooth.T @ z / weight
-        var = np.maximum((smooth * (z[:, None] - mean) ** 2).sum(axis=0) / weight, 1e-4)
-        params = np.array([*mean, *var, *np.clip(np.diag(moves) / moves.sum(axis=1), 1e-4, 1 - 1e-4)])
+        mean = np.einsum("trs,t->rs", smooth, z) / weight
+        var = np.maximum(np.einsum("trs,trs->rs", smooth, (z[:, None, None] - mean) ** 2) / weight, 1e-4)
+        stay = np.clip(np.einsum("rii->ri", moves) / moves.sum(axis=2), 1e-4, 1 - 1e-4)
+        params[going] = np.concatenate([mean, var, stay], axis=1)
     return params, last

@@ -8,13 +8,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 Score = Callable[[dict[str, Column]], Column]
+#: Adds ``y_pred`` to a table with the keys and feature columns.
+Predict = Callable[[DataFrame], DataFrame]
 
 
-def local_effects(rows: DataFrame, keys: list[str], feature: str, score: Score, features: list[str], bins: int = 40) -> DataFrame:
-    """(keys, feature, bin, low, high, ale, n): mean change of the score across each quantile bin,
+def by_column(score: Score, features: list[str]) -> Predict:
+    """Scoring by a column expression."""
+    return lambda points: points.withColumn("y_pred", score({c: F.col(c) for c in features}))
+
+
+def local_effects(rows: DataFrame, keys: list[str], feature: str, predict: Predict, features: list[str], bins: int = 40) -> DataFrame:
+    """(keys, feature, bin, low, high, ale, n): mean change of the prediction across each quantile bin,
     summed up and centred by the bins' counts. Empty bins add nothing but keep their place. A
-    two-valued feature has one bin; groups with fewer values are left out. ``score`` takes the
-    feature columns and gives the prediction, so both ends of a bin are scored in one pass."""
+    two-valued feature has one bin; groups with fewer values are left out. Both ends of a row's bin
+    are scored in one pass."""
     q = [F.lit(i / bins) for i in range(bins + 1)]
     edges = rows.groupBy(*keys).agg(F.percentile(feature, F.array(*q)).alias("q"), F.sort_array(F.collect_set(feature)).alias("values"))
     two = F.array(F.col("values")[0], F.get("values", F.lit(1)))
@@ -22,9 +29,11 @@ def local_effects(rows: DataFrame, keys: list[str], feature: str, score: Score,
     edges = edges.select(*keys, F.when(F.size(cut) >= 3, cut).when(F.size("values") == 2, two).alias("edges")).where("edges is not null")
     inner = F.slice(F.col("edges"), F.lit(2), F.greatest(F.size("edges") - 2, F.lit(0)))
     placed = rows.join(edges, keys).withColumn("bin", F.size(F.filter(inner, lambda e: e <= F.col(feature))) + 1)
-    at = lambda e: {c: F.element_at("edges", e) if c == feature else F.col(c) for c in features}
-    change = score(at(F.col("bin") + 1)) - score(at(F.col("bin")))
-    found = placed.groupBy(*keys, "bin").agg(F.avg(change).alias("effect"), F.count("*").alias("n"))
+    ends = placed.withColumn("end", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn(feature, F.element_at("edges", F.col("bin") + F.col("end")))
+    scored = predict(ends.drop("edges"))
+    change = F.sum(F.when(F.col("end") == 1, F.col("y_pred")).otherwise(-F.col("y_pred")))
+    n = F.sum("end")
+    found = scored.groupBy(*keys, "bin").agg((change / n).alias("effect"), n.alias("n"))
     every = edges.select(*keys, "edges", F.explode(F.sequence(F.lit(1), F.size("edges") - 1)).alias("bin"))
     table = every.join(found, [*keys, "bin"], "left").select(
         *keys, "bin", F.element_at("edges", F.col("bin")).alias("low"), F.element_at("edges", F.col("bin") + 1).alias("high"),
@@ -36,10 +45,10 @@ def local_effects(rows: DataFrame, keys: list[str], feature: str, score: Score,
     return table.select(*keys, F.lit(feature).alias("feature"), "bin", "low", "high", (F.col("total") - centre).alias("ale"), "n")
 
 
-def all_effects(rows: DataFrame, keys: list[str], score: Score, features: list[str], bins: int = 40) -> DataFrame:
+def all_effects(rows: DataFrame, keys: list[str], predict: Predict, features: list[str], bins: int = 40) -> DataFrame:
     out = None
     for feature in features:
-        one = local_effects(rows, keys, feature, score, features, bins)
+        one = local_effects(rows, keys, feature, predict, features, bins)
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -50,21 +59,20 @@ def importance(effects: DataFrame, keys: list[str]) -> DataFrame:
     return raw.select(*keys, "feature", (F.col("raw") / F.sum("raw").over(Window.partitionBy(*keys))).alias("vi"))
 
 
-def shapley_shares(rows: DataFrame, keys: list[str], score: Score, features: list[str], background: DataFrame, orders: int = 16) -> DataFrame:
+def shapley_shares(rows: DataFrame, keys: list[str], predict: Predict, features: list[str], background: DataFrame, orders: int = 16) -> DataFrame:
     """(keys, feature, share): mean absolute sampled Shapley value, as shares. Each row meets
-    ``orders`` feature orders (rotations of a keyed shuffle); features not yet reached take the
-    group's background mean. All scoring is column arithmetic."""
+    ``orders`` feature orders (keyed shuffles); its features are put in place one after the other, and
+    those not yet reached have the group's background mean. All points are scored in one pass."""
     means = background.groupBy(*keys).agg(*[F.avg(c).alias(f"m_{c}") for c in features])
     p = len(features)
-    ranks = [F.pmod(F.xxhash64(F.lit(i), F.col("order")), F.lit(1 << 30)) for i in range(p)]
-    placed = rows.join(means, keys).withColumn("order", F.explode(F.sequence(F.lit(1), F.lit(orders)))).withColumns({f"r{i}": r for i, r in enumerate(ranks)})
-
-    def reached(limit: Column, inclusive: bool) -> dict[str, Column]:
-        return {c: F.when(F.col(f"r{i}") <= limit if inclusive else F.col(f"r{i}") < limit, F.col(c)).otherwise(F.col(f"m_{c}")) for i, c in enumerate(features)}
-
-    gains = F.array(*[F.struct(F.lit(c).alias("feature"), (score(reached(F.col(f"r{i}"), True)) - score(reached(F.col(f"r{i}"), False))).alias("gain")) for i, c in enumerate(features)])
-    long = placed.select(*keys, "day", F.explode(gains).alias("_gain")).select(*keys, "day", "_gain.*")
-    per_row = long.groupBy(*keys, "day", "feature").agg(F.avg("gain").alias("phi"))
+    shuffled = F.array_sort(F.array(*[F.struct(F.xxhash64(F.lit(i), F.col("order")).alias("h"), F.lit(c).alias("feature")) for i, c in enumerate(features)]))
+    placed = rows.select(*keys, "day", *features).join(means, keys).withColumn("order", F.explode(F.sequence(F.lit(1), F.lit(orders))))
+    placed = placed.withColumn("names", F.transform(shuffled, lambda x: x.feature)).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(p))))
+    reached = {c: F.when(F.array_position("names", c) <= F.col("k"), F.col(c)).otherwise(F.col(f"m_{c}")) for c in features}
+    points = placed.select(*keys, "day", "order", "k", F.get("names", F.col("k") - 1).alias("feature"), *[v.alias(c) for c, v in reached.items()])
+    before = F.lag("y_pred").over(Window.partitionBy(*keys, "day", "order").orderBy("k"))
+    gains = predict(points).withColumn("gain", F.col("y_pred") - before).where("k > 0")
+    per_row = gains.groupBy(*keys, "day", "feature").agg(F.avg("gain").alias("phi"))
     size = per_row.groupBy(*keys, "feature").agg(F.avg(F.abs("phi")).alias("size"))
     return size.select(*keys, "feature", (F.col("size") / F.sum("size").over(Window.partitionBy(*keys))).alias("share"))
 

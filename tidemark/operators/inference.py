@@ -6,6 +6,8 @@ as there are instruments x models. Lags are joins on ``rn``, not driver loops.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -128,6 +130,22 @@ def ratio_interval(series: DataFrame, keys: list[str], top: str, bottom: str, dr
     return interval(means, keys, F.col(f"{top}_mean") / F.col(f"{bottom}_mean"), alpha)
 
 
+def path_legs(losses: DataFrame, keys: list[str], loss: str, baseline: str, steps: dict[str, str], networks: list[str]) -> DataFrame:
+    """(keys, best, leg, day, top, bottom): each step's loss beside that of the step it is measured
+    against. ``steps`` names the wide, penalised and forest models; ``best`` is the network of least
+    mean loss (the first on ties) over the days that all of them have."""
+    models = list(dict.fromkeys([baseline, *steps.values(), *networks]))
+    wide = losses.groupBy(*keys, "day").pivot("model", models).agg(F.first(loss)).na.drop(subset=models)
+    means = wide.groupBy(*keys).agg(*[F.avg(f"`{m}`").alias(f"n{i}") for i, m in enumerate(networks)])
+    best = F.array_min(F.array(*[F.struct(F.col(f"n{i}").alias("mean"), F.lit(i).alias("at")) for i in range(len(networks))]))["at"]
+    wide = wide.join(means.select(*keys, F.element_at(F.array(*map(F.lit, networks)), best + 1).alias("best")), keys)
+    network = reduce(lambda other, m: F.when(F.col("best") == m, F.col(f"`{m}`")).otherwise(other), networks, F.lit(None).cast("double"))
+    at = {k: F.col(f"`{m}`") for k, m in steps.items()} | {"base": F.col(f"`{baseline}`"), "network": network}
+    legs = [("wide", "wide", "base"), ("penalised", "penalised", "base"), ("forest", "forest", "penalised"), ("network", "network", "forest"), ("total", "network", "base")]
+    long = F.explode(F.array(*[F.struct(F.lit(n).alias("leg"), at[a].alias("top"), at[b].alias("bottom")) for n, a, b in legs])).alias("l")
+    return wide.select(*keys, "best", "day", long).select(*keys, "best", "day", "l.*")
+
+
 def first_round_tmax(losses: DataFrame, keys: list[str], loss: str, draws: int) -> DataFrame:
     """(keys, t_max, worst): the largest standardised deviation of a model's mean loss from the
     average over models, with bootstrap standard errors."""

@@ -1,13 +1,14 @@
 """Tree and network ensembles over many runs at once.
 
 A run is one group of daily rows (instrument, feature set, horizon); its data is bounded by its days.
-What is many are members: trees, boosting settings, seeds. Each member, or a small batch of them, is
-a row of a task table with the run's packed rows, fitted in its own task by a short NumPy routine;
-Spark averages, ranks and selects over the members.
+What is many are members: trees, boosting settings, seeds. A small batch of them is a row of a task
+table, fitted in its own task by a short NumPy routine (``spread`` deals the rows out); Spark
+averages, ranks and selects over the members.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -15,6 +16,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.spread import dealt, with_tasks
+from tidemark.storage import cut
+
 
 def _packed(rows: DataFrame, keys: list[str], x: list[str]) -> DataFrame:
     """One row per run: its days in order, with split, features and target."""
@@ -28,11 +32,9 @@ def _unpacked(rows) -> tuple[np.ndarray, np.ndarray, np.ndarray, list]:
 
 def members(rows: DataFrame, keys: list[str], x: list[str], tasks: list[dict], fit: Callable, extra: str) -> DataFrame:
     """(keys, member, ..., day, split, y, y_pred): ``fit(split, X, y, task)`` gives predictions for
-    every row and the values of the ``extra`` columns."""
+    every row and the values of the ``extra`` columns. Each run and member is a task."""
     names = list(tasks[0])
-    table = F.explode(F.array(*[F.struct(F.lit(i).alias("member"), *[F.lit(t[k]).alias(k) for k in names]) for i, t in enumerate(tasks)])).alias("_task")
-    asked = _packed(rows, keys, x).select(*keys, "rows", table).select(*keys, "rows", "_task.*")
-    asked = asked.repartition(*keys, "member")
+    asked = with_tasks(_packed(rows, keys, x), keys, tasks, 8 * len(x) + 64)
     added = [c.split()[0] for c in extra.split(", ")] if extra else []
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -56,39 +58,58 @@ def members(rows: DataFrame, keys: list[str], x: list[str], tasks: list[dict], f
 # --- regression trees ----------------------------------------------------------------------------
 
 
-def grow(x: np.ndarray, y: np.ndarray, rng: np.random.Generator, tried: int, depth: int, least: int = 1) -> list[tuple]:
-    """A regression tree as a list of nodes (feature, threshold, left, right, value)."""
-    nodes: list[tuple] = []
-    waiting = [(np.arange(len(y)), 0, None)]
-    while waiting:
-        rows, level, parent = waiting.pop()
-        at = len(nodes)
-        nodes.append((-1, 0.0, -1, -1, float(y[rows].mean())))
-        if parent is not None:
-            f, t, a, b, v = nodes[parent[0]]
-            nodes[parent[0]] = (f, t, at, b, v) if parent[1] else (f, t, a, at, v)
-        if level >= depth or len(rows) < 2 * least:
-            continue
-        best = (1e-12 * max(1.0, float(y[rows] @ y[rows])), -1, 0.0)
-        target = y[rows]
-        for f in rng.permutation(x.shape[1])[:tried]:
-            order = np.argsort(x[rows, f], kind="stable")
-            values, sums = x[rows[order], f], target[order].cumsum()
-            k = np.arange(1, len(rows))
-            gain = sums[:-1] ** 2 / k + (sums[-1] - sums[:-1]) ** 2 / (len(rows) - k) - sums[-1] ** 2 / len(rows)
-            gain[(values[1:] <= values[:-1]) | (k < least) | (len(rows) - k < least)] = -np.inf
-            i = int(gain.argmax())
-            if gain[i] > best[0]:
-                best = (float(gain[i]), int(f), float((values[i] + values[i + 1]) / 2))
-        if best[1] >= 0:
-            nodes[at] = (best[1], best[2], -1, -1, nodes[at][4])
-            left = x[rows, best[1]] <= best[2]
-            waiting += [(rows[left], level + 1, (at, True)), (rows[~left], level + 1, (at, False))]
-    return nodes
-
-
-def fall(nodes: list[tuple], x: np.ndarray) -> np.ndarray:
-    feature, threshold, left, right, value = (np.array(c) for c in zip(*nodes, strict=True))
+Tree = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def grow(x: np.ndarray, y: np.ndarray, rng: np.random.Generator, tried: int, depth: int, least: int = 1) -> Tree:
+    """A regression tree as arrays over nodes: feature (-1 in a leaf), threshold, left, right, value.
+    All nodes of a level are split at once, on running sums over rows sorted by node and feature."""
+    n, p = x.shape
+    sorted_by = np.argsort(x, axis=0, kind="stable")
+    node, first, made = np.zeros(n, int), 0, []
+    while True:
+        many = int(node.max()) + 1
+        count = np.bincount(node[node >= 0], minlength=many)
+        value = np.bincount(node[node >= 0], y[node >= 0], many) / count
+        squares = np.bincount(node[node >= 0], y[node >= 0] ** 2, many)
+        best = 1e-12 * np.maximum(squares, 1.0)
+        feature, threshold = np.full(many, -1), np.zeros(many)
+        allowed = rng.random((many, p)).argsort(axis=1).argsort(axis=1) < tried
+        for f in range(p) if len(made) < depth else ():
+            order = sorted_by[:, f]
+            order = order[(node[order] >= 0) & allowed[node[order], f]]
+            order = order[np.argsort(node[order], kind="stable")]
+            if len(order) < 2:
+                continue
+            own, at, target = node[order], x[order, f], y[order]
+            starts = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+            size = np.diff(np.append(starts, len(own)))
+            sums = np.cumsum(target - value[own])  # centred, so that a node's sum is 0
+            left = sums - np.repeat(sums[starts] - (target - value[own])[starts], size)
+            k, m = np.arange(len(own)) - np.repeat(starts, size) + 1, np.repeat(size, size)
+            right = np.maximum(m - k, 1)
+            gain = left**2 / k + left**2 / right
+            same = np.append((own[1:] == own[:-1]) & (at[1:] > at[:-1]), False)
+            gain[~same | (k < least) | (m - k < least)] = -1.0
+            most = np.maximum.reduceat(gain, starts)
+            hit = np.flatnonzero(gain == np.repeat(most, size))
+            ids, where = np.unique(own[hit], return_index=True)
+            hit, better = hit[where], most > best[ids]
+            hit, ids = hit[better], ids[better]
+            best[ids], feature[ids], threshold[ids] = gain[hit], f, (at[hit] + at[hit + 1]) / 2
+        split = feature >= 0
+        child = np.cumsum(split) - 1
+        to = first + many + 2 * child
+        made.append((feature, threshold, np.where(split, to, -1), np.where(split, to + 1, -1), value))
+        if not split.any():
+            return tuple(np.concatenate(c) for c in zip(*made, strict=True))
+        inner = (node >= 0) & split[node]
+        go = x[np.arange(n), np.maximum(feature[node], 0)] > threshold[node]
+        node, first = np.where(inner, 2 * child[node] + go, -1), first + many
+
+
+def fall(tree: Tree, x: np.ndarray) -> np.ndarray:
+    feature, threshold, left, right, value = tree
     at = np.zeros(len(x), int)
     while (inner := feature[at] >= 0).any():
         go = x[np.arange(len(x)), np.maximum(feature[at], 0)] <= threshold[at]
@@ -96,7 +117,7 @@ def fall(nodes: list[tuple], x: np.ndarray) -> np.ndarray:
     return value[at]
 
 
-def forest(rows: DataFrame, keys: list[str], x: list[str], trees: int, tried: int | None, name: str, batch: int = 10, depth: int = 30) -> DataFrame:
+def forest(rows: DataFrame, keys: list[str], x: list[str], trees: int, tried: int | None, name: str, batch: int = 25, depth: int = 1000) -> DataFrame:
     """Bagged trees, or a random forest where ``tried`` features are tried at a split. Fitted on
     train and val; forecasts for val and test."""
     tasks = [{"seed": 42 + i, "trees": min(batch, trees - i)} for i in range(0, trees, batch)]
@@ -115,6 +136,45 @@ def forest(rows: DataFrame, keys: list[str], x: list[str], trees: int, tried: in
     return made.groupBy(*keys, "day", "split").agg(F.first("y").alias("y"), mean.alias("y_pred")).withColumn("model", F.lit(name))
 
 
+def grown_forest(rows: DataFrame, keys: list[str], x: list[str], trees: int, tried: int | None, batch: int = 25, depth: int = 1000) -> DataFrame:
+    """(keys, member, trees, model): the trees themselves, packed, to score other points with."""
+    tasks = [{"seed": 42 + i, "trees": min(batch, trees - i)} for i in range(0, trees, batch)]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for r in pdf.to_dict("records"):
+                split, features, target, _ = _unpacked(r["rows"])
+                on, made = np.flatnonzero(split != "test"), []
+                for k in range(r["trees"]):
+                    rng = np.random.default_rng((r["seed"], k))
+                    drawn = rng.choice(on, len(on))
+                    made.append(grow(features[drawn], target[drawn], rng, tried or features.shape[1], depth))
+                yield pd.DataFrame({**{k: [r[k]] for k in keys}, "member": [r["member"]], "trees": [r["trees"]], "model": [pickle.dumps(made)]})
+
+    kinds = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys)
+    asked = with_tasks(_packed(rows, keys, x), keys, tasks, 8 * len(x) + 64)
+    return cut(asked.mapInPandas(run, f"{kinds}, member int, trees int, model binary"))
+
+
+def forest_scores(points: DataFrame, keys: list[str], x: list[str], models: DataFrame, chunk: int = 4096) -> DataFrame:
+    """``points`` with ``y_pred``, the mean over the trees of their run. Points go to the models in
+    chunks; each chunk and batch of trees is a row of its own."""
+    numbered = cut(points.withColumn("_point", F.monotonically_increasing_id()))
+    packed = F.collect_list(F.struct("_point", F.array(*[F.col(c).cast("double") for c in x]).alias("x")))
+    chunks = numbered.groupBy(*keys, F.pmod(F.xxhash64("_point"), F.ceil(F.lit(numbered.count() / chunk))).alias("_chunk")).agg(packed.alias("rows"))
+    asked = chunks.join(models, keys)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for r in pdf.to_dict("records"):
+                values = np.array([list(p["x"]) for p in r["rows"]])
+                yield pd.DataFrame({"_point": [p["_point"] for p in r["rows"]], "total": sum(fall(t, values) for t in pickle.loads(r["model"])), "trees": r["trees"]})
+
+    made = dealt(asked, chunks.count() * 16).mapInPandas(run, "_point long, total double, trees int")
+    mean = made.groupBy("_point").agg((F.sum("total") / F.sum("trees")).alias("y_pred"))
+    return numbered.join(mean, "_point").drop("_point")
+
+
 def _boost(features: np.ndarray, target: np.ndarray, rounds: int, rate: float, depth: int, seed: int) -> Iterator[np.ndarray]:
     """Predictions for all rows after each round; rows with a null target are not fitted."""
     on = np.flatnonzero(~np.isnan(target))
@@ -126,9 +186,9 @@ def _boost(features: np.ndarray, target: np.ndarray, rounds: int, rate: float, d
         yield now
 
 
-def boosting(rows: DataFrame, keys: list[str], x: list[str], sizes: list[int], rates: list[float], depths: list[int], seed: int = 42) -> DataFrame:
-    """Gradient boosting: each (rate, depth) is grown once on train and judged on val at all sizes;
-    the best setting (the first on ties) is refitted on train and val."""
+def tuned_boosting(rows: DataFrame, keys: list[str], x: list[str], sizes: list[int], rates: list[float], depths: list[int], seed: int = 42) -> DataFrame:
+    """(keys, size, rate, depth): each (rate, depth) is grown once on train and judged on val at all
+    sizes; the best setting, the first on ties."""
     tasks = [{"rate": r, "depth": d} for r in rates for d in depths]
 
     def tune(split, features, target, task):
@@ -139,8 +199,13 @@ def boosting(rows: DataFrame, keys: list[str], x: list[str], sizes: list[int], r
 
     tuned = members(rows, keys, x, tasks, tune, "size int, rate double, depth int").where("split = 'val'")
     errors = tuned.groupBy(*keys, "size", "rate", "depth").agg(F.avg((F.col("y") - F.col("y_pred")) ** 2).alias("mse"))
-    best = errors.groupBy(*keys).agg(F.min_by(F.struct("size", "rate", "depth"), F.struct("mse", "size", "rate", "depth")).alias("b")).select(*keys, "b.*")
-    packed = _packed(rows, keys, x).join(best, keys)
+    best = errors.groupBy(*keys).agg(F.min_by(F.struct("size", "rate", "depth"), F.struct("mse", "size", "rate", "depth")).alias("b"))
+    return cut(best.select(*keys, "b.*"))  # a row per run
+
+
+def boosted(rows: DataFrame, keys: list[str], x: list[str], settings: DataFrame, seed: int = 42) -> DataFrame:
+    """Gradient boosting at given settings, fitted on train and val; forecasts for val and test."""
+    packed = dealt(_packed(rows, keys, x).join(settings, keys), settings.count())
 
     def refit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -155,20 +220,26 @@ def boosting(rows: DataFrame, keys: list[str], x: list[str], sizes: list[int], r
     return packed.mapInPandas(refit, f"{kinds}, day date, split string, y double, y_pred double").withColumn("model", F.lit("GB"))
 
 
+def boosting(rows: DataFrame, keys: list[str], x: list[str], sizes: list[int], rates: list[float], depths: list[int], seed: int = 42) -> DataFrame:
+    """Tuned on val, refitted on train and val."""
+    return boosted(rows, keys, x, tuned_boosting(rows, keys, x, sizes, rates, depths, seed), seed)
+
+
 # --- networks ------------------------------------------------------------------------------------
 
 PYRAMIDS = {"NN1": [2], "NN2": [4, 2], "NN3": [8, 4, 2], "NN4": [16, 8, 4, 2]}
 
 
-def _network(x: np.ndarray, y: np.ndarray, ask: np.ndarray, layers: list[int], seed: int, epochs: int, rate: float = 1e-3, batch: int = 64, patience: int = 25, held: float = 0.15) -> np.ndarray:
-    """A ReLU network by Adam, stopped early on a held slice; predictions for ``ask``."""
-    rng = np.random.default_rng(seed)
-    sizes = [x.shape[1], *layers, 1]
-    params = [p for a, b in zip(sizes, sizes[1:], strict=False) for p in (rng.normal(0, np.sqrt(2 / a), (a, b)), np.zeros(b))]
+def _networks(x: np.ndarray, y: np.ndarray, ask: np.ndarray, layers: list[int], seeds: list[int], epochs: int, rate: float = 1e-3, batch: int = 64, patience: int = 25, held: float = 0.15) -> np.ndarray:
+    """[seed, row of ``ask``]: ReLU networks by Adam, each stopped early on its own held slice. All
+    seeds take their steps together, with one more axis in every array."""
+    rngs = [np.random.default_rng(s) for s in seeds]
+    sizes, many = [x.shape[1], *layers, 1], range(len(seeds))
+    params = [p for a, b in zip(sizes, sizes[1:], strict=False) for p in (np.stack([r.normal(0, np.sqrt(2 / a), (a, b)) for r in rngs]), np.zeros((len(seeds), 1, b)))]
     slow, fast = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-    order = rng.permutation(len(x))
-    kept, out = order[int(held * len(x)) :], order[: int(held * len(x))]
-    best, since, step = (np.inf, params), 0, 0
+    order = np.stack([r.permutation(len(x)) for r in rngs])
+    kept, out = order[:, int(held * len(x)) :].copy(), order[:, : int(held * len(x))]
+    best, least, since, step = [p.copy() for p in params], np.full(len(seeds), np.inf), np.zeros(len(seeds), int), 0
 
     def run(values: np.ndarray, weights: list[np.ndarray]) -> list[np.ndarray]:
         acts = [values]
@@ -178,45 +249,48 @@ def _network(x: np.ndarray, y: np.ndarray, ask: np.ndarray, layers: list[int], s
         return acts
 
     for _ in range(epochs):
-        rng.shuffle(kept)
-        for s in range(0, len(kept), batch):
-            rows = kept[s : s + batch]
+        for s in many:
+            rngs[s].shuffle(kept[s])
+        for s in range(0, kept.shape[1], batch):
+            rows = kept[:, s : s + batch]
             acts = run(x[rows], params)
-            grad = 2 * (acts[-1][:, 0] - y[rows])[:, None] / len(rows)
-            grads: list[np.ndarray] = []
-            for i in range(len(params) - 2, -1, -2):
-                before = acts[i // 2]
-                grads = [before.T @ grad, grad.sum(axis=0), *grads]
-                grad = grad @ params[i].T * (before > 0)
+            grad = 2 * (acts[-1] - y[rows][:, :, None]) / rows.shape[1]
             step += 1
-            new = []
-            for j, (p, g) in enumerate(zip(params, grads, strict=True)):
-                slow[j] = 0.9 * slow[j] + 0.1 * g
-                fast[j] = 0.999 * fast[j] + 0.001 * g * g
-                new.append(p - rate * (slow[j] / (1 - 0.9**step)) / (np.sqrt(fast[j] / (1 - 0.999**step)) + 1e-8))
-            params = new
-        error = float(((run(x[out], params)[-1][:, 0] - y[out]) ** 2).mean()) if len(out) else 0.0
-        best, since = ((error, params), 0) if error < best[0] - 1e-5 else (best, since + 1)
-        if since >= patience:
+            for j in range(len(params) - 2, -1, -2):
+                before, weights = acts[j // 2], params[j]
+                for i, g in ((j, before.transpose(0, 2, 1) @ grad), (j + 1, grad.sum(axis=1, keepdims=True))):
+                    slow[i] = 0.9 * slow[i] + 0.1 * g
+                    fast[i] = 0.999 * fast[i] + 0.001 * g * g
+                    params[i] = params[i] - rate * (slow[i] / (1 - 0.9**step)) / (np.sqrt(fast[i] / (1 - 0.999**step)) + 1e-8)
+                grad = grad @ weights.transpose(0, 2, 1) * (before > 0)
+        error = ((run(x[out], params)[-1][:, :, 0] - y[out]) ** 2).mean(axis=1) if out.shape[1] else np.zeros(len(seeds))
+        better = (error < least - 1e-5) & (since < patience)
+        least, since = np.where(better, error, least), np.where(better, 0, np.where(since < patience, since + 1, since))
+        for b, p in zip(best, params, strict=True):
+            b[better] = p[better]
+        if (since >= patience).all():
             break
-    return run(ask, best[1])[-1][:, 0]
+    return run(np.broadcast_to(ask, (len(seeds), *ask.shape)), best)[-1][:, :, 0]
 
 
-def networks(rows: DataFrame, keys: list[str], x: list[str], architecture: str, seeds: int, epochs: int = 200, keep: int = 10) -> DataFrame:
+def networks(rows: DataFrame, keys: list[str], x: list[str], architecture: str, seeds: int = 100, epochs: int = 200, keep: int = 10, batch: int = 10) -> DataFrame:
     """Forecasts of the ``keep`` best seeds by validation error, averaged (model ``NNk^10``), and of
-    the single best (``NNk^1``). One task per run and seed; the choice is a window over members."""
+    the single best (``NNk^1``). A task fits ``batch`` seeds of a run; the fits are written once and
+    the choice is a window over seeds."""
     layers = PYRAMIDS[architecture]
 
     def fit(split, features, target, task):
         on = split == "train"
         mx, sx, my, sy = features[on].mean(axis=0), features[on].std(axis=0), target[on].mean(), target[on].std()
         z = (features - mx) / np.where(sx > 0, sx, 1)
-        yield _network(z[on], (target[on] - my) / (sy or 1), z, layers, task["seed"], epochs) * (sy or 1) + my, ()
-
-    made = members(rows, keys, x, [{"seed": 42 + i} for i in range(seeds)], fit, "")
-    error = made.where("split = 'val'").groupBy(*keys, "member").agg(F.avg((F.col("y") - F.col("y_pred")) ** 2).alias("mse"))
-    ranked = error.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy("mse", "member"))).where(F.col("place") <= keep)
-    chosen = made.join(ranked, [*keys, "member"])
+        names = list(range(task["first"], task["first"] + task["many"]))
+        for seed, made in zip(names, _networks(z[on], (target[on] - my) / (sy or 1), z, layers, names, epochs), strict=True):
+            yield made * (sy or 1) + my, (seed,)
+
+    made = cut(members(rows, keys, x, [{"first": 42 + i, "many": min(batch, seeds - i)} for i in range(0, seeds, batch)], fit, "seed int"))
+    error = made.where("split = 'val'").groupBy(*keys, "seed").agg(F.avg((F.col("y") - F.col("y_pred")) ** 2).alias("mse"))
+    ranked = error.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy("mse", "seed"))).where(F.col("place") <= keep)
+    chosen = made.join(ranked, [*keys, "seed"])
     mean = chosen.groupBy(*keys, "day", "split").agg(F.first("y").alias("y"), F.avg("y_pred").alias("y_pred")).withColumn("model", F.lit(f"{architecture}^{keep}"))
     best = chosen.where("place = 1").select(*keys, "day", "split", "y", "y_pred", F.lit(f"{architecture}^1").alias("model"))
     return mean.unionByName(best)

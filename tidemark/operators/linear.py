@@ -1,8 +1,8 @@
 """Linear forecasters fitted from cross-product aggregates.
 
 One pass sums the products of all regressors per group; what is solved afterwards is a small matrix
-per group, whatever the number of rows. Groups are solved in parallel by ``applyInPandas`` over rows
-of matrices, never over data rows.
+per group, whatever the number of rows. Groups are solved in parallel by ``mapInPandas`` over rows of
+matrices, never over data rows; penalty grids are dealt out, ``GRID_BATCH`` points to a task.
 """
 
 from __future__ import annotations
@@ -12,6 +12,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.spread import dealt
+from tidemark.storage import cut
+
+#: Grid points that a task solves.
+GRID_BATCH = 25
 HAR = ["rvd", "rvw", "rvm"]
 MODELS = {
     "HAR": HAR,
@@ -148,7 +153,7 @@ PENALISED = {
 
 def select_penalty(train: DataFrame, val: DataFrame, keys: list[str], x: list[str], kind: str, grid: list[float], shares: tuple[float, ...] = (1.0,)) -> DataFrame:
     """(keys, lam, share, val_mse, interior): the grid point of least validation error (the first on
-    ties). Both samples enter as sums, in training units; grid points are tasks of their own."""
+    ties). Both samples enter as sums, in training units."""
     if kind not in PENALISED:
         raise ValueError(f"unknown model {kind!r}")
     solve, p = PENALISED[kind], len(x)
@@ -156,7 +161,9 @@ def select_penalty(train: DataFrame, val: DataFrame, keys: list[str], x: list[st
     a = moments(zt, keys, x)
     b = moments(zv, keys, x).select(*keys, F.col("n").alias("vn"), F.col("mean").alias("vmean"), F.col("cross").alias("vcross"))
     points = F.explode(F.array(*[F.struct(F.lit(i * len(shares) + j).alias("point"), F.lit(g).alias("lam"), F.lit(s).alias("share")) for i, g in enumerate(grid) for j, s in enumerate(shares)]))
-    tasks = a.join(b, keys).select("*", points.alias("_point")).select("*", "_point.*").drop("_point")
+    sums = cut(a.join(b, keys))  # a row per run
+    tasks = sums.select("*", points.alias("_point")).select("*", "_point.*").drop("_point")
+    tasks = dealt(tasks, sums.count() * len(grid) * len(shares), GRID_BATCH)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         errors = []

@@ -5,8 +5,12 @@ Input rows: keys, day, ret, rv (realised), rv_hat (forecast), ``seed`` (true on
 
 from __future__ import annotations
 
+from bisect import insort
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions.tails import chi1_p
 
@@ -28,16 +32,29 @@ def fixed_quantile(rows: DataFrame, keys: list[str], alpha: float, realised: boo
 
 def expanding_quantile(rows: DataFrame, keys: list[str], alpha: float, realised: bool = True, least: int = 50, every: int = 1) -> DataFrame:
     """As ``fixed_quantile``, with all scaled returns strictly before the day; recalibrated every
-    ``every`` test days and carried forward in between."""
+    ``every`` test days and carried forward in between. A group is one series of days, as long as its
+    calendar; its past is kept sorted, so that a quantile is read off, not computed anew."""
     z = _scaled(rows, realised)
-    order = Window.partitionBy(*keys).orderBy("day")
-    past = order.rowsBetween(Window.unboundedPreceding, -1)
     z = z.withColumn("n_seed", F.sum(F.col("seed").cast("int")).over(Window.partitionBy(*keys))).where(F.col("n_seed") >= least)
-    z = z.withColumn("q", F.percentile("z", alpha).over(past)).withColumn("k", F.sum((~F.col("seed")).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    if every > 1:
-        fresh = F.when(~F.col("seed") & ((F.col("k") - 1) % every == 0), F.col("q"))
-        z = z.withColumn("q", F.last(fresh, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return _judged(z.where("not seed").drop("k"), alpha)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("day")
+        past: list[float] = []
+        found, now, k = [], None, 0
+        for value, seed in zip(pdf["z"].tolist(), pdf["seed"].tolist(), strict=True):
+            if not seed:
+                if k % every == 0 and past:
+                    at = alpha * (len(past) - 1)
+                    low = past[int(at)]
+                    now = low + (past[min(int(at) + 1, len(past) - 1)] - low) * (at - int(at))
+                k += 1
+            found.append(now)
+            if value == value:
+                insort(past, value)
+        return pdf.assign(q=pd.array(found, "Float64").astype(float))
+
+    schema = T.StructType([*z.schema.fields, T.StructField("q", T.DoubleType())])
+    return _judged(z.groupBy(*keys).applyInPandas(run, schema).where("not seed"), alpha)
 
 
 def _judged(rows: DataFrame, alpha: float) -> DataFrame:

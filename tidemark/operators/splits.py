@@ -15,6 +15,23 @@ def _named(train: Column, val: Column) -> Column:
     return F.when(train, "train").when(val, "val").otherwise("test")
 
 
+#: Columns that only the linear lag models read.
+LAG_MODEL_ONLY = ["rvd_pos", "rvd_neg", "rn_d", "rn_w", "rn_m", "rq_x_rv", "rq_lag"]
+#: Columns that place a row.
+PLACE = ["instrument", "day", "horizon", "split", "rn", "n"]
+
+
+def model_columns(rows: DataFrame, feature_set: str) -> DataFrame:
+    """What a model sees beside a row's place: the three lags and the target for ``M_HAR``, everything
+    but the columns of the linear lag models for ``M_ALL``. Missing lags are an error."""
+    if missing := [c for c in ("rvd", "rvw", "rvm", "y") if c not in rows.columns]:
+        raise ValueError(f"missing columns: {missing}")
+    if feature_set not in ("M_HAR", "M_ALL"):
+        raise ValueError(f"unknown feature set {feature_set!r}")
+    seen = ["rvd", "rvw", "rvm", "y"] if feature_set == "M_HAR" else [c for c in rows.columns if c not in LAG_MODEL_ONLY]
+    return rows.select(*[c for c in rows.columns if c in PLACE or c in seen])
+
+
 def by_fraction(rows: DataFrame, keys: list[str], train: float = 0.7, val: float = 0.1) -> DataFrame:
     n = F.col("n").cast("double")
     first, second = F.floor(n * train), F.floor(n * val)

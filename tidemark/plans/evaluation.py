@@ -11,7 +11,8 @@ from tidemark.plans.base import daily, forecasts, register, rounded, split_featu
 
 DAY = "CAST(day AS VARCHAR) AS day"
 IM = ["instrument", "model"]
-DRAWS = 200
+#: Bootstrap draws of intervals, and of confidence sets.
+DRAWS, SET_DRAWS = 5000, 10_000
 
 
 def losses(s: SparkSession, d: str) -> DataFrame:
@@ -39,9 +40,10 @@ def h3(s: SparkSession, d: str) -> DataFrame:
     return combine.minimum_variance_weights(val, ["instrument"])
 
 
-register("h03_bates_granger_two", h3, """, e AS (SELECT a.instrument, a.y - a.y_pred AS ea, b.y - b.y_pred AS eb FROM fc a JOIN fc b ON a.instrument = b.instrument AND a.day = b.day AND a.model = 'RVW' AND b.model = 'RVM' WHERE a.split = 'val'),
+BG = """, e AS (SELECT a.instrument, a.y - a.y_pred AS ea, b.y - b.y_pred AS eb FROM fc a JOIN fc b ON a.instrument = b.instrument AND a.day = b.day AND a.model = 'RVW' AND b.model = 'RVM' WHERE a.split = 'val'),
 c AS (SELECT instrument, var_samp(ea) AS va, var_samp(eb) AS vb, covar_samp(ea, eb) AS cab FROM e GROUP BY 1),
-w AS (SELECT instrument, least(greatest((vb - cab) / (va + vb - 2 * cab), 0.0), 1.0) AS wa FROM c)
+w AS (SELECT instrument, least(greatest((vb - cab) / (va + vb - 2 * cab), 0.0), 1.0) AS wa FROM c)"""
+register("h03_bates_granger_two", h3, f"""{BG}
 SELECT instrument, 'RVW' AS model, round(wa, 5) AS w FROM w UNION ALL SELECT instrument, 'RVM', round(1 - wa, 5) FROM w""", 5)
 
 
@@ -54,6 +56,10 @@ register("h04_combination_table", h4, f""", {_IMSE}, comb AS (SELECT instrument,
 UNION ALL SELECT t.instrument, t.day, 'IMSE', max(y), sum(w * y_pred) FROM test t JOIN imse i ON i.instrument = t.instrument AND i.model = t.model GROUP BY 1, 2)
 SELECT instrument, model, 'mse' AS loss, round(avg((y - y_pred) * (y - y_pred)), 5) AS value FROM comb GROUP BY 1, 2""", 5)
 register("h04_combination_forecasts", lambda s, d: combine.combinations(forecasts(s, d), ["instrument"]))
+_POOL = "model IN ('RVW', 'RVM')"
+register("h04_two_model_combinations", lambda s, d: combine.combinations(forecasts(s, d).where(_POOL), ["instrument"]), f"""{BG}, two AS (SELECT instrument, model, (1 / greatest(e, 1e-12)) / sum(1 / greatest(e, 1e-12)) OVER (PARTITION BY instrument) AS w FROM (SELECT instrument, model, avg((y - y_pred) * (y - y_pred)) AS e FROM fc WHERE split = 'val' AND {_POOL} GROUP BY 1, 2)),
+ws AS (SELECT 'AVG' AS name, instrument, model, 0.5 AS w FROM two UNION ALL SELECT 'IMSE', instrument, model, w FROM two UNION ALL SELECT 'BG', instrument, 'RVW', wa FROM w UNION ALL SELECT 'BG', instrument, 'RVM', 1 - wa FROM w)
+SELECT t.instrument, {DAY.replace("day AS VARCHAR", "t.day AS VARCHAR")}, name AS model, round(max(y), 5) AS y, round(sum(w * y_pred), 5) AS y_pred FROM test t JOIN ws ON ws.instrument = t.instrument AND ws.model = t.model GROUP BY t.instrument, t.day, name""", 5)
 
 # --- losses --------------------------------------------------------------------------------------
 
@@ -149,7 +155,7 @@ for _id, _c in (("j06_bonferroni", "bonferroni"), ("j07_holm", "holm"), ("j08_be
     register(_id, lambda s, d, c=_c: inference.multiple_testing(pseudo_p(s, d), ["instrument"]).select("instrument", "test", c), f"{_P} SELECT instrument, test, {_c} FROM mt")
 register("j09_rejection_summary", lambda s, d: inference.rejections(inference.multiple_testing(pseudo_p(s, d), ["instrument"]), ["instrument"]), f"{_P} SELECT instrument, {', '.join(f'CAST(sum(CAST({c} AS INTEGER)) AS BIGINT) AS n_{c}' for c in ('naive', 'bonferroni', 'holm', 'bh'))}, max(m) AS m, round(0.05 / max(m), 6) AS bonferroni_threshold FROM mt GROUP BY 1")
 
-_BOOT = f""", src AS (SELECT instrument, model, row_number() OVER (PARTITION BY instrument, model ORDER BY day) AS rn, {{values}} FROM losses {{where}}),
+_BOOT = f""", src AS (SELECT instrument, model, row_number() OVER (PARTITION BY instrument, model ORDER BY day) AS rn, {{values}} FROM {{source}}),
 pre AS (SELECT instrument, model, rn, {{sums}} FROM src UNION ALL SELECT DISTINCT instrument, model, 0, {{zeros}} FROM src),
 sz AS (SELECT instrument, model, count(*) AS n, greatest(1, CAST(round(pow(count(*), CAST(1.0 AS DOUBLE) / 3)) AS BIGINT)) AS len FROM src GROUP BY 1, 2),
 pl AS (SELECT sz.*, d.range AS draw, b.range AS block FROM sz, range({DRAWS}) d, range(2000) b WHERE b.range < ceil(n / CAST(len AS DOUBLE))),
@@ -158,10 +164,10 @@ st AS (SELECT *, CAST(mixed // 65536 AS BIGINT) % (n - len + 1) AS lo, CAST(mixe
 bm AS (SELECT st.instrument, st.model, st.draw, {{means}} FROM st JOIN pre a ON a.instrument = st.instrument AND a.model = st.model AND a.rn = st.lo JOIN pre b ON b.instrument = st.instrument AND b.model = st.model AND b.rn = st.hi GROUP BY 1, 2, 3)"""
 
 
-def _boot(values: dict[str, str], where: str = "") -> str:
+def _boot(values: dict[str, str], source: str = "losses") -> str:
     run = "OVER (PARTITION BY instrument, model ORDER BY rn)"
     return _BOOT.format(
-        values=", ".join(f"{e} AS {n}" for n, e in values.items()), where=where, sums=", ".join(f"sum({n}) {run} AS s_{n}" for n in values),
+        values=", ".join(f"{e} AS {n}" for n, e in values.items()), source=source, sums=", ".join(f"sum({n}) {run} AS s_{n}" for n in values),
         zeros=", ".join("0.0" for _ in values), means=", ".join(f"sum(b.s_{n} - a.s_{n}) / max(n) AS {n}_mean" for n in values),
     )
 
@@ -182,19 +188,27 @@ register("j12_difference_interval", lambda s, d: inference.difference_interval(w
 register("j13_ratio_interval", lambda s, d: inference.ratio_interval(with_baseline(s, d), IM, "mae", "base", DRAWS), f"{_boot({'mae': 'mae', 'base': _BASE})} SELECT instrument, model, {_Q.format('(mae_mean / base_mean)')} FROM bm WHERE base_mean > 0 GROUP BY 1, 2", 5)
 
 
+#: The rules stand for the models of the path: wide linear, penalised, forest, and a pool of networks.
+STEPS = {"wide": "RVD", "penalised": "RVW", "forest": "RVD"}
+POOL = ["RVW", "AVG3"]
+
+
 def j14(s: SparkSession, d: str) -> DataFrame:
-    """Intervals of the path legs: mean losses over those of the baseline or of the step before."""
-    rows = losses(s, d).groupBy("instrument", "day").pivot("model", ["RVD", "RVW", "RVM", "AVG3"]).agg(F.first("mae"))
-    legs = [("overfit", "RVD", "RVM"), ("penalty", "RVW", "RVM"), ("forest", "AVG3", "RVW"), ("network", "RVM", "AVG3"), ("total", "AVG3", "RVM")]
-    long = rows.select("instrument", "day", F.explode(F.array(*[F.struct(F.lit(n).alias("leg"), F.col(a).alias("top"), F.col(b).alias("bottom")) for n, a, b in legs])).alias("l")).select("instrument", "day", "l.*")
-    return inference.ratio_interval(inference.placed(long, ["instrument", "leg"]), ["instrument", "leg"], "top", "bottom", DRAWS)
+    """Intervals of the path legs, the best network chosen by mean loss on common days."""
+    legs = inference.path_legs(losses(s, d), ["instrument"], "mae", "RVM", STEPS, POOL)
+    return inference.ratio_interval(inference.placed(legs, ["instrument", "best", "leg"]), ["instrument", "best", "leg"], "top", "bottom", DRAWS)
 
 
-register("j14_path_intervals", j14)
+_LEGS = ", ".join(f"{{'leg': '{leg}', 'top': {top}, 'bottom': {bottom}}}" for leg, top, bottom in (("wide", "w", "b"), ("penalised", "p", "b"), ("forest", "f", "p"), ("network", "nn", "f"), ("total", "nn", "b")))
+_PATH = f""", pw AS (SELECT instrument, day, {", ".join(f"max(CASE WHEN model = '{m}' THEN mae END) AS {c}" for c, m in (("b", "RVM"), ("w", STEPS["wide"]), ("p", STEPS["penalised"]), ("f", STEPS["forest"])))}, {", ".join(f"max(CASE WHEN model = '{m}' THEN mae END) AS n{i}" for i, m in enumerate(POOL))} FROM losses GROUP BY 1, 2),
+pb AS (SELECT instrument, CASE WHEN avg(n0) <= avg(n1) THEN '{POOL[0]}' ELSE '{POOL[1]}' END AS best FROM pw GROUP BY 1),
+pq AS (SELECT pw.*, best, CASE WHEN best = '{POOL[0]}' THEN n0 ELSE n1 END AS nn FROM pw JOIN pb ON pb.instrument = pw.instrument),
+pg AS (SELECT instrument, best || '/' || l.leg AS model, day, l.top AS top, l.bottom AS bottom FROM (SELECT *, unnest([{_LEGS}]) AS l FROM pq))"""
+register("j14_path_intervals", j14, f"{_PATH}{_boot({'top': 'top', 'bottom': 'bottom'}, 'pg')} SELECT instrument, split_part(model, '/', 1) AS best, split_part(model, '/', 2) AS leg, {_Q.format('(top_mean / bottom_mean)')} FROM bm WHERE bottom_mean > 0 GROUP BY 1, model", 5)
 _DEV = "mae - (SELECT avg(z.mae) FROM losses z WHERE z.instrument = losses.instrument AND z.day = losses.day)"
 register("j15_first_round_tmax", lambda s, d: inference.first_round_tmax(losses(s, d), ["instrument"], "mae", DRAWS).drop("worst"), f"{_boot({'dv': _DEV})}, sp AS (SELECT instrument, model, stddev_samp(dv_mean) AS sd FROM bm GROUP BY 1, 2), ce AS (SELECT instrument, model, avg(dv) AS dv FROM src GROUP BY 1, 2) SELECT ce.instrument, round(max(dv / CASE WHEN sd > 0 THEN sd ELSE 1e-12 END), 4) AS t_max FROM ce JOIN sp ON sp.instrument = ce.instrument AND sp.model = ce.model GROUP BY 1", 4)
-register("j15_model_confidence_set", lambda s, d: inference.confidence_set(losses(s, d), ["instrument"], "mae", DRAWS))
-register("j16_inclusion_counts", lambda s, d: inference.confidence_set(losses(s, d), ["instrument"], "mae", DRAWS).groupBy("alpha", "model").agg(F.sum(F.col("included").cast("int")).alias("n_included")))
+register("j15_model_confidence_set", lambda s, d: inference.confidence_set(losses(s, d), ["instrument"], "mae", SET_DRAWS))
+register("j16_inclusion_counts", lambda s, d: inference.confidence_set(losses(s, d), ["instrument"], "mae", SET_DRAWS).groupBy("alpha", "model").agg(F.sum(F.col("included").cast("int")).alias("n_included")))
 
 _MZ = """, fit AS (SELECT instrument, model, count(*) AS n, regr_intercept(y, y_pred) AS a, regr_slope(y, y_pred) AS b, regr_r2(y, y_pred) AS r2, sum(y_pred) AS sp, sum(y_pred * y_pred) AS spp, avg(y) AS my, avg(y_pred) AS mp,
   stddev_pop(y) AS sy, stddev_pop(y_pred) AS sdp, corr(y, y_pred) AS rho, avg((y - y_pred) * (y - y_pred)) AS mse FROM test GROUP BY 1, 2),
@@ -220,7 +234,8 @@ _dec = lambda s, d: conditional.decile_losses(test_forecasts(s, d), ["instrument
 register("k01_decile_losses", _dec, f"{_DEC} SELECT instrument, decile, model, round(value, 4) AS value, n FROM dl", 4)
 register("k02_decile_ratios", lambda s, d: L.ratios(_dec(s, d), "RVM", ["instrument", "decile"]).select("instrument", "decile", "model", "ratio"), f"{_DEC} SELECT instrument, decile, model, round(value / max(CASE WHEN model = 'RVM' THEN value END) OVER (PARTITION BY instrument, decile), 4) AS ratio FROM dl", 4)
 register("k03_top_decile", lambda s, d: _dec(s, d).where("decile = 10").drop("decile"), f"{_DEC} SELECT instrument, model, round(value, 4) AS value, n FROM dl WHERE decile = 10", 4)
-register("k04_regimes", lambda s, d: conditional.fit_regimes(daily(s, d), restarts=3, rounds=40))
+register("k04_regimes", lambda s, d: conditional.fit_regimes(daily(s, d)))
+register("k04_regime_parameters", lambda s, d: conditional.regime_parameters(conditional.regime_fits(daily(s, d))), digits=3)
 
 
 def labels(s: SparkSession, d: str) -> DataFrame:
@@ -268,7 +283,8 @@ fixed = lambda s, d, a=0.05: risk.fixed_quantile(var_rows(s, d), IM, a)  # noqa:
 expanding = lambda s, d, a=0.05, m=1: risk.expanding_quantile(var_rows(s, d), IM, a, every=m)
 register("l01_filtered_simulation", lambda s, d: fixed(s, d).select(*IM, "day", "var", "hit"), f"{_var('fj')} SELECT instrument, model, {DAY}, round(var, 5) AS var, hit FROM jd", 5)
 register("l02_expanding_quantile", lambda s, d: expanding(s, d).select(*IM, "day", "var", "hit"), f"{_var('ej')} SELECT instrument, model, {DAY}, round(var, 5) AS var, hit FROM jd", 5)
-register("l02_expanding_quantile_monthly", lambda s, d: expanding(s, d, 0.05, 22).select(*IM, "day", "var"))
+register("l02_expanding_quantile_monthly", lambda s, d: expanding(s, d, 0.05, 22).select(*IM, "day", "var"), f"""{_var('ej')}, em AS (SELECT *, row_number() OVER (PARTITION BY instrument, model ORDER BY day) - 1 AS k FROM eq WHERE NOT seed)
+SELECT a.instrument, a.model, CAST(a.day AS VARCHAR) AS day, round(b.q * sqrt(greatest(a.rv_hat, 1e-12)), 5) AS var FROM em a JOIN em b ON a.instrument = b.instrument AND a.model = b.model AND b.k = a.k - a.k % 22""", 5)
 register("l03_pinball_loss", lambda s, d: fixed(s, d).select(*IM, "day", "tick"), f"{_var('fj')} SELECT instrument, model, {DAY}, round(tick, 5) AS tick FROM jd", 5)
 _cover = lambda s, d: risk.coverage(fixed(s, d), IM)
 register("l04_unconditional_coverage", lambda s, d: _cover(s, d).select(*IM, "n", "hits", "lr_uc"), f"{_var('fj')} SELECT instrument, model, n, hits, round(lr_uc, 5) AS lr_uc FROM lk", 5)

@@ -9,8 +9,8 @@ from tidemark.operators import features as E
 from tidemark.operators import losses as L
 from tidemark.operators import combine, inference, splits
 from tidemark.plans.base import daily, features, forecasts, register, rounded, split_features, test_forecasts
-from tidemark.plans.bars import _shared
 from tidemark.sources import files, views
+from tidemark.storage import new_path
 
 DAY = "CAST(day AS VARCHAR) AS day"
 KEYS = ["instrument", "horizon"]
@@ -54,17 +54,21 @@ def e10(s: SparkSession, d: str) -> DataFrame:
 register("e10_event_dummy", e10, f"SELECT d.instrument, CAST(d.day AS VARCHAR) AS day, lag(CASE WHEN e.day IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY d.instrument ORDER BY d.day) AS event_lag FROM daily d LEFT JOIN event_days e ON d.instrument = e.instrument AND d.day = e.day")
 register("e12_feature_table", lambda s, d: features(s, d).select("instrument", "day", "horizon", "rvd", "rvw", "rvm", "rn_m", "y"), f"SELECT instrument, {DAY}, horizon, {rounded('rvd, rvw, rvm, rn_m, y')} FROM feats")
 
-register("e12_wide_feature_table", lambda s, d: features(s, d, [1], wide=True).select("instrument", "day", "iv", "m1w", "epu_lag", "hsi_lag", "ads_lag", "us3m_change", "event_lag", "dvol", "y"), f""", {_ASOF},
+WIDE = f""", {_ASOF},
 w0 AS (SELECT d.*, a.vix, a.epu, a.ads, a.us3m, a.hsi, CASE WHEN e.day IS NULL THEN 0.0 ELSE 1.0 END AS event FROM daily d JOIN filled a ON a.instrument = d.instrument AND a.day = d.day LEFT JOIN event_days e ON e.instrument = d.instrument AND e.day = d.day),
 w1 AS (SELECT instrument, day, lag(vix) {_O} AS iv, CASE WHEN count(ret) OVER w5 = 5 THEN sum(ret) OVER w5 END AS m1w, lag(epu) {_O} AS epu_lag, lag(hsi) {_O} AS hsi_lag, lag(ads) {_O} AS ads_lag,
   lag(us3m) {_O} - lag(us3m, 2) {_O} AS us3m_change, lag(event) {_O} AS event_lag, lag(ln(nullif(price * volume, 0)), 1) {_O} - lag(ln(nullif(price * volume, 0)), 2) {_O} AS dvol FROM w0
-  WINDOW w5 AS (PARTITION BY instrument ORDER BY day ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING))
-SELECT w1.instrument, CAST(w1.day AS VARCHAR) AS day, {rounded('iv, m1w, epu_lag, hsi_lag, ads_lag, us3m_change, event_lag, dvol, y', 4)} FROM w1 JOIN feats f ON f.instrument = w1.instrument AND f.day = w1.day AND f.horizon = 1
-WHERE iv IS NOT NULL AND m1w IS NOT NULL AND epu_lag IS NOT NULL AND hsi_lag IS NOT NULL AND ads_lag IS NOT NULL AND us3m_change IS NOT NULL AND event_lag IS NOT NULL AND dvol IS NOT NULL""", 4)
+  WINDOW w5 AS (PARTITION BY instrument ORDER BY day ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)),
+wide AS (SELECT w1.instrument, w1.day, f.rvd, f.rvw, f.rvm, iv, m1w, iv AS vix_lag, epu_lag, hsi_lag, ads_lag, us3m_change, event_lag, dvol, y FROM w1 JOIN feats f ON f.instrument = w1.instrument AND f.day = w1.day AND f.horizon = 1
+  WHERE iv IS NOT NULL AND m1w IS NOT NULL AND epu_lag IS NOT NULL AND hsi_lag IS NOT NULL AND ads_lag IS NOT NULL AND us3m_change IS NOT NULL AND event_lag IS NOT NULL AND dvol IS NOT NULL)"""
+_WIDE_NAMES = "iv, m1w, epu_lag, hsi_lag, ads_lag, us3m_change, event_lag, dvol, y"
+register("e12_wide_feature_table", lambda s, d: features(s, d, [1], wide=True).select("instrument", "day", *_WIDE_NAMES.split(", ")), f"{WIDE} SELECT instrument, {DAY}, {rounded(_WIDE_NAMES, 4)} FROM wide", 4)
 
 # --- splits --------------------------------------------------------------------------------------
 
-register("b04_model_columns", lambda s, d: features(s, d, [5]).select("instrument", "day", "rvd", "rvw", "rvm"), f"SELECT instrument, {DAY}, {rounded('rvd, rvw, rvm')} FROM feats WHERE horizon = 5")
+register("b04_model_columns", lambda s, d: splits.model_columns(features(s, d, [5]), "M_HAR").drop("horizon", "y"), f"SELECT instrument, {DAY}, {rounded('rvd, rvw, rvm')} FROM feats WHERE horizon = 5")
+_M_ALL = "rvd, rvw, rvm, iv, m1w, vix_lag, epu_lag, hsi_lag, ads_lag, us3m_change, event_lag, dvol, y"
+register("b04_wide_model_columns", lambda s, d: splits.model_columns(features(s, d, [1], wide=True), "M_ALL").drop("horizon"), f"{WIDE} SELECT instrument, {DAY}, {rounded(_M_ALL, 4)} FROM wide", 4)
 register("b05_complete_cases", lambda s, d: features(s, d).groupBy("instrument", "horizon").agg(F.count("*").alias("n"), F.min("day").alias("first"), F.max("day").alias("last")), "SELECT instrument, horizon, count(*) AS n, CAST(min(day) AS VARCHAR) AS first, CAST(max(day) AS VARCHAR) AS last FROM feats GROUP BY 1, 2")
 register("b06_fraction_split", lambda s, d: split_features(s, d).select("instrument", "horizon", "day", "split", "rn"), f"SELECT instrument, horizon, {DAY}, split, rn FROM splitted")
 register("b07_date_split", lambda s, d: splits.by_date(features(s, d), KEYS, "1997-12-31", "1998-06-30").groupBy(*KEYS, "split").agg(F.count("*").alias("n")), "SELECT instrument, horizon, CASE WHEN day <= DATE '1997-12-31' THEN 'train' WHEN day <= DATE '1998-06-30' THEN 'val' ELSE 'test' END AS split, count(*) AS n FROM feats GROUP BY 1, 2, 3")
@@ -172,7 +176,7 @@ register("f16_pivot_unpivot", f16, "SELECT instrument, model, round(value, 5) AS
 
 
 def a8(s: SparkSession, d: str) -> DataFrame:
-    path = _shared(s, "forecasts")
+    path = new_path(s, "forecasts")
     files.write_layer(forecasts(s, d), path, ("horizon", "split"))
     return files.read_layer(s, path, split="val").select("instrument", "day", "model", "y", "y_pred")
 
@@ -189,12 +193,32 @@ def a9(s: SparkSession, d: str) -> DataFrame:
 register("a09_merge_runs", a9, f"SELECT instrument, {DAY}, model, round(CASE WHEN model = 'RVD' THEN y_pred + 1 ELSE y_pred END, 6) AS y_pred FROM test")
 
 
+def a9_runs(s: SparkSession, d: str) -> DataFrame:
+    """One horizon of two stores, validation forecasts included, as combinations need them."""
+    first = forecasts(s, d, [1, 5]).withColumn("feature_set", F.lit("M_HAR"))
+    second = first.where("model = 'RVW'").withColumn("y_pred", F.col("y_pred") * 2)
+    return files.merge_runs([first, second], ["instrument", "feature_set", "horizon", "split", "day", "model"], validation=True, horizon=5).where("split <> 'train'").select("instrument", "split", "day", "model", "y_pred")
+
+
+register("a09_merge_with_validation", a9_runs, f"SELECT instrument, split, {DAY}, model, round(CASE WHEN model = 'RVW' THEN y_pred * 2 ELSE y_pred END, 6) AS y_pred FROM fc_all WHERE horizon = 5 AND split <> 'train'")
+
+
 def a5(s: SparkSession, d: str) -> DataFrame:
     table = L.ratios(L.mean_losses(test_forecasts(s, d), ["instrument", "model"]), "RVM", ["instrument", "loss"])
     tables = {"loss": table.where("loss = 'mse'").select("instrument", "model", "value"), "ratio": table.where("loss = 'mse'").select("instrument", "model", F.col("ratio").alias("value"))}
-    path = _shared(s, "tables")
+    path = new_path(s, "tables")
     files.write_csv(files.result_catalogue(tables), path)
     return s.read.schema("table_name string, instrument string, model string, value double").option("header", True).csv(path)
 
 
 register("a05_table_catalogue_csv", a5, "SELECT 'loss' AS table_name, instrument, model, round(value, 5) AS value FROM ratiotab WHERE loss = 'mse' UNION ALL SELECT 'ratio', instrument, model, round(ratio, 5) FROM ratiotab WHERE loss = 'mse'", 5)
+
+
+def a5_markdown(s: SparkSession, d: str) -> DataFrame:
+    table = L.ratios(L.mean_losses(test_forecasts(s, d), ["instrument", "model"]), "RVM", ["instrument", "loss"]).where("loss = 'mse'")
+    return files.markdown({"loss": table.select("instrument", "model", "value"), "ratio": table.select("instrument", "model", "ratio")})
+
+
+_MARK = "SELECT '{0}' AS table_name, CAST(row_number() OVER (ORDER BY text) + 3 AS INTEGER) AS line, text FROM (SELECT '| ' || instrument || ' | ' || model || ' | ' || printf('%.3f', round({1}, 3)) || ' |' AS text FROM ratiotab WHERE loss = 'mse')"
+_HEAD = "SELECT '{0}', 1, '## {0}' UNION ALL SELECT '{0}', 2, '| instrument | model | {1} |' UNION ALL SELECT '{0}', 3, '|---|---|---|'"
+register("a05_markdown_catalogue", a5_markdown, " UNION ALL ".join(x.format(*n) for n in (("loss", "value"), ("ratio", "ratio")) for x in (_MARK, _HEAD)))

@@ -54,9 +54,14 @@ def macro_panel(series: DataFrame, names: list[str]) -> DataFrame:
     return series.groupBy("day").pivot("series", names).agg(F.first("value", ignorenulls=True))
 
 
-def merge_runs(stores: list[DataFrame], keys: list[str]) -> DataFrame:
-    """Forecast runs of several stores; the same key and day in a later store wins."""
+def merge_runs(stores: list[DataFrame], keys: list[str], validation: bool = False, **only) -> DataFrame:
+    """Forecast runs of several stores; the same key and day in a later store wins. Keyword filters
+    (horizon, feature_set, ...) take one value of a column. Validation forecasts (``split``) come
+    along only if asked for, as combinations need them and tests don't."""
     ranked = reduce(DataFrame.unionByName, [df.withColumn("store", F.lit(i)) for i, df in enumerate(stores)])
+    if "split" in ranked.columns and not validation:
+        ranked = ranked.where("split = 'test'")
+    ranked = reduce(lambda df, kv: df.where(F.col(kv[0]) == kv[1]), only.items(), ranked)
     last = Window.partitionBy(*keys).orderBy(F.col("store").desc())
     return ranked.withColumn("rn", F.row_number().over(last)).where("rn = 1").drop("rn", "store")
 
@@ -66,5 +71,19 @@ def result_catalogue(tables: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, [df.select(F.lit(name).alias("table_name"), "instrument", "model", "value") for name, df in tables.items()])
 
 
+def markdown(tables: dict[str, DataFrame], digits: int = 3) -> DataFrame:
+    """(table_name, line, text): result tables as Markdown, each with a heading, a column line and a
+    line per row in the order of its text; numbers have ``digits`` places. Tables are reports of a few
+    thousand rows; lines are numbered within a table."""
+    out = []
+    for name, df in tables.items():
+        shown = [F.coalesce(F.format_string(f"%.{digits}f", F.round(c, digits)) if kind == "double" else F.col(c).cast("string"), F.lit("")) for c, kind in df.dtypes]
+        body = df.select(F.concat(F.lit("| "), F.concat_ws(" | ", *shown), F.lit(" |")).alias("text"))
+        lines = body.select((F.row_number().over(Window.orderBy("text")) + 3).alias("line"), "text")
+        head = df.sparkSession.createDataFrame([(1, f"## {name}"), (2, f"| {' | '.join(df.columns)} |"), (3, "|" + "---|" * len(df.columns))], "line int, text string")
+        out.append(head.unionByName(lines).select(F.lit(name).alias("table_name"), "line", "text"))
+    return reduce(DataFrame.unionByName, out)
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
