@@ -126,7 +126,12 @@ def dm(s: SparkSession, d: str, baseline: str | None = None, loss: str = "mae")
 _PAIR = "SELECT x.instrument, x.model AS a, y.model AS b, x.day, x.mae - y.mae AS x FROM losses x JOIN losses y ON x.instrument = y.instrument AND x.day = y.day AND x.model <> y.model"
 _DM = "round(CASE WHEN lrv > 0 THEN mean / sqrt(lrv / n) END * sqrt((n + 1 - 2 + 0.0) / n), 5) AS dm"
 register("j02_diebold_mariano", lambda s, d: dm(s, d, "RVM").select("instrument", "a", "b", "n", "dm"), f"{_lrv(['instrument', 'a', 'b'], _PAIR)} SELECT instrument, a, b, n, {_DM} FROM lrv WHERE b = 'RVM'", 5)
-register("j03_small_sample_p_values", lambda s, d: dm(s, d, "RVM").select("instrument", "a", "b", "dm", "p_value"))
+# Student's distribution with whole degrees of freedom is a finite sum of powers of a cosine
+_STUDENT = f"""{_lrv(['instrument', 'a', 'b'], _PAIR)}, st AS (SELECT instrument, a, b, n - 1 AS df, {_DM.replace('round(', '').replace(', 5) AS dm', '')} AS dm FROM lrv WHERE b = 'RVM'),
+an AS (SELECT *, atan(dm / sqrt(df)) AS th FROM st),
+sh AS (SELECT *, CASE WHEN df % 2 = 1 THEN 2 / pi() * (th + sin(th) * coalesce(list_sum(list_transform(range(0, (df - 1) // 2), lambda k: sqrt(pi()) / 2 * exp(lgamma(k + 1) - lgamma(k + 1.5)) * pow(cos(th), 2 * k + 1))), 0.0))
+  ELSE sin(th) * list_sum(list_transform(range(0, df // 2), lambda k: exp(lgamma(k + 0.5) - lgamma(k + 1)) / sqrt(pi()) * pow(cos(th), 2 * k))) END AS share FROM an)"""
+register("j03_small_sample_p_values", lambda s, d: dm(s, d, "RVM").select("instrument", "a", "b", "dm", "p_value"), f"{_STUDENT} SELECT instrument, a, b, round(dm, 5) AS dm, round(0.5 * (1 + share), 5) AS p_value FROM sh", 5)
 register("j04_pairwise_matrix", lambda s, d: dm(s, d).select("instrument", "a", "b", "n", "dm"), f"{_lrv(['instrument', 'a', 'b'], _PAIR)} SELECT instrument, a, b, n, {_DM} FROM lrv", 5)
 
 
