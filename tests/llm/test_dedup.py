@@ -59,6 +59,18 @@ def test_drop_copies_keeps_columns(docs):
     assert exact_dedup.exact_groups(docs.limit(0)).count() == 0
 
 
+def test_clashing_hashes_and_shared_headers(docs, spark, monkeypatch):
+    """With a hash of four values nearly all blocks clash: names come from the keys themselves. Texts
+    with one header, and texts that differ in their last block only, stay apart."""
+    texts = ["h" * 64 + f"{i % 7}" for i in range(60)] + ["h" * 64, "h" * 63] + [f"{i}" for i in range(20)]
+    own = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(5)
+    monkeypatch.setattr(exact_dedup, "_hash", lambda block: len(block) % 4)
+    monkeypatch.setattr(exact_dedup.F, "xxhash64", lambda a, b: (exact_dedup.F.col(a) + exact_dedup.F.col(b)) % 3)
+    for frame, texts_ in ((own, texts), (docs, [r.text for r in docs.collect()])):
+        found = {r.text_sha256: r.group_size for r in exact_dedup.exact_groups(frame, block_bytes=16).collect()}
+        assert found == {hashlib.sha256(k.encode()).hexdigest(): n for k, n in Counter(map(space, texts_)).items()}
+
+
 def shingles(text, size):
     words = [w for w in re.split(r"[\x20\x09-\x0D]+", (text or "").translate({c: c + 32 for c in range(65, 91)})) if w]
     if not words:
@@ -100,9 +112,10 @@ def test_near_groups_match_brute_force(docs, size):
     assert near_dedup.near_groups(docs.limit(0)).count() == 0
 
 
-def test_near_groups_oversize_nodes(spark, docs, monkeypatch):
-    """Small limits send every group through chunks, pivots, branching and blocks."""
-    for name, value in (("NODE", 24), ("GROUP", 16), ("PIVOTS", 4), ("LEVELS", 2)):
+@pytest.mark.parametrize("blocks", [64, 0])
+def test_near_groups_oversize_nodes(spark, docs, monkeypatch, blocks):
+    """Small limits send every group through chunks, pivots, branching, and blocks or rare shingles."""
+    for name, value in (("NODE", 24), ("GROUP", 16), ("PIVOTS", 4), ("LEVELS", 1), ("FEW", 1), ("BLOCKS", blocks)):
         monkeypatch.setattr(near_dedup, name, value)
     rows = docs.collect()
     expected, _ = brute_components(rows, 4)
@@ -120,12 +133,10 @@ def test_trees_over_one_boilerplate_group_are_independent(spark):
     second = np.where(rng.random((n, width)) < 0.8, first, own())
     same = (first == second).sum(axis=1)
     sketches = [bytes(row.astype(np.uint8).tolist()) for pair in zip(first, second, strict=True) for row in pair]
-    nodes = [(key, 0, i, 400, sketch) for key in (-5, 12, 1 << 60, 77, 901, 3) for i, sketch in enumerate(sketches)]
-    rows = spark.createDataFrame(nodes, "key long, sub long, cls long, n long, sketch binary")
-    group = defaultdict(set)
-    for r in near_dedup._alike(rows, 80).collect():
-        group[r.cls].add(r.key)
-    lost = [i for i in range(n) if same[i] >= 48 and not group[2 * i] & group[2 * i + 1]]
+    nodes = [(key, 0, i, 400, i, sketch) for key in (-5, 12, 1 << 60, 77, 901, 3) for i, sketch in enumerate(sketches)]
+    rows = spark.createDataFrame(nodes, "key long, sub long, cls long, n long, group long, sketch binary")
+    group = {r.node: r.component for r in components(near_dedup._alike(rows, 80)).collect()}
+    lost = [i for i in range(n) if same[i] >= 48 and group.get(2 * i, -1) != group.get(2 * i + 1, -2)]
     assert lost == []
 
 

@@ -8,12 +8,16 @@
    over the same members differ. A pair at the threshold survives one node with probability
    1 - 0.2**2 = 0.96 and a tree of any depth with 0.93 or more; below the roots all trees select from
    one sketch, and averaged over its agreement six trees lose the pair with probability 1.2e-6.
-3. What a node finds alike is confirmed on the full sets by exact integers. Links are kept as stars
-   of a group's own components, never as all pairs, and components are joined over the table.
-4. A node above ``NODE`` members is dealt into chunks that share pivots, which is linear in its
-   size, and branches on by further tokens. What is still above it at the last level is dense; there,
-   and in groups above ``GROUP``, every member outside the largest component so far is compared in
-   blocks with all members. So no cap drops a partner.
+3. What nodes find alike falls into groups, over the whole table, that are confirmed on the full sets
+   by exact integers. Links are kept as stars, never as all pairs, and joined into components.
+4. A node above ``NODE`` members is first dealt into chunks that share pivots, which is linear in
+   its size. A node whose members are all in one group then needs no more. In others, where members
+   outside the largest group are few (``FEW`` blocks), those meet all members in blocks; else the node branches on by
+   further tokens, and children within one group go. Groups above ``GROUP`` are confirmed in chunks
+   with pivots, and who is outside the largest component then meets everyone in blocks.
+5. Where that would copy a member to more than ``BLOCKS`` blocks (many near misses that share
+   boilerplate), members meet by their rare shingles instead, which is exact: boilerplate brings
+   nobody together. So no cap drops a partner, and no step emits the pairs of a group.
 
 The sketch test passes a pair at the threshold but for five standard deviations (1.2e-6, binomial).
 
@@ -31,11 +35,11 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import cut, rows_of, slices, staged, unicode_text, whole_row
+from tidemark.llm.common import cut, field, rows_of, slices, staged, unicode_text, whole_row
 from tidemark.llm.components import components
 
 SHINGLE = 5
@@ -50,8 +54,12 @@ PART = 384
 #: Members of a group whose full sets one task compares.
 GROUP = 384
 PIVOTS = 48
+#: Blocks that a member of a dense group may be copied to.
+BLOCKS = 64
+#: The same where a node can still branch on.
+FEW = 4
 #: Levels that an oversize node branches on.
-LEVELS = 4
+LEVELS = 2
 _WORDS_KEPT = 150_000
 _COLUMNS = 1 << 14
 
@@ -112,8 +120,9 @@ def near_groups(
     input row too, as the struct ``row``."""
     rows = _sets(docs, id_col, text_col, shingle, trees, carry)
     firsts = rows.where(F.col("d1").isNotNull())
-    classes = cut(firsts.select("rid", "n", F.min("rid").over(Window.partitionBy("d1", "d2")).alias("cls")))
-    words = F.col(f"row.`{text_col}`").cast("binary") if carry else F.col("words")
+    least = firsts.groupBy("d1", "d2").agg(F.min("rid").alias("cls"))
+    classes = cut(firsts.select("rid", "n", "d1", "d2").join(least, ["d1", "d2"]).select("rid", "n", "cls"))
+    words = F.col("row").getField(text_col).cast("binary") if carry else F.col("words")
     edges = _links(rows.withColumn("words", words), classes, shingle, similar)
     joined = components(edges).withColumnRenamed("node", "cls")
     own = F.struct(F.col("id").isNull(), "id", "rid")
@@ -180,7 +189,7 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, shingle: int, trees: int,
             rid += len(out["n"])
 
     rows = docs.select(
-        F.col(id_col).alias("id"),
+        field(id_col).alias("id"),
         *([whole_row(docs)] if carry else []),
         unicode_text(text_col).alias("text"),
     )
@@ -194,51 +203,77 @@ def _links(rows: DataFrame, classes: DataFrame, shingle: int, similar: int) -> D
     """Confirmed links (a, b) between classes that connect what is linked."""
     heads = classes.where("rid = cls").select(F.col("rid").alias("cls"))
     firsts = rows.where("d1 is not null")
-    sketches = firsts.select(F.col("rid").alias("cls"), "n", "sketch")
-    nodes = cut(_sized(firsts.select(F.col("rid").alias("cls"), F.explode("roots").alias("key")).join(heads, "cls")))
-    tasks, wide = _chunked(nodes, NODE), nodes.where(F.col("m") > NODE)
-    for level in range(LEVELS):
-        if wide.isEmpty():
-            break
-        nodes = cut(_sized(_branched(wide.join(sketches, "cls"), level)))
-        tasks, wide = tasks.union(_chunked(nodes, NODE)), nodes.where(F.col("m") > NODE)
-
-    alike = _alike(tasks.join(sketches, "cls"), similar)
-    alike = cut(alike.join(alike.groupBy("key").agg(F.count("*").alias("m")), "key"))
-    words = firsts.select(F.col("rid").alias("cls"), "words")
-    words = staged(words.join(alike.select("cls").distinct(), "cls"), "near-words")
-    confirm = lambda t: cut(_confirmed(t.join(words, "cls"), shingle, similar))
-    edges = confirm(_chunked(alike, GROUP))
-    rest = _outside(alike.where(F.col("m") > GROUP), edges)
-    if rest is not None:
-        edges = edges.union(confirm(_blocks(rest, GROUP)))
-    if not wide.isEmpty():  # dense beyond the last level: whoever is outside meets everyone
-        rest = _outside(wide, edges)
-        if rest is not None:
-            more = _alike(_blocks(rest, NODE).join(sketches, "cls"), similar)
-            more = cut(more.join(more.groupBy("key").agg(F.count("*").alias("m")), "key"))
-            words = firsts.select(F.col("rid").alias("cls"), "words").join(more.select("cls").distinct(), "cls")
-            words = staged(words, "near-words")
-            edges = edges.union(confirm(_chunked(more, GROUP)))
-            rest = _outside(more.where(F.col("m") > GROUP), edges)
-            if rest is not None:
-                edges = edges.union(confirm(_blocks(rest, GROUP)))
-    return edges
+    own = F.col("rid").alias("cls")
+    sketches = firsts.select(own, "n", F.col("rid").alias("group"), "sketch")
+
+    # sketches find groups that may be alike, level by level
+    roots = firsts.select(own, F.explode("roots").alias("key")).join(heads, "cls")
+    nodes = cut(_sized(roots.select("key", "cls", F.col("cls").alias("component"))))
+    alike = cut(_alike(_chunked(nodes, NODE).join(sketches, "cls"), similar))
+    groups, wide, level, dense = cut(components(alike)), nodes.where(F.col("m") > NODE), 0, None
+    while wide is not None and (rest := _outside(wide, groups)) is not None:
+        few = _few(NODE, FEW if level < LEVELS else BLOCKS)
+        tasks, many, wide = _blocks(rest.where(few), NODE), rest.where(~few), None
+        if many.isEmpty():
+            pass
+        elif level < LEVELS:
+            nodes = cut(_sized(_branched(many.join(sketches, "cls"), level)))
+            tasks, wide = tasks.union(_chunked(nodes, NODE)), nodes.where(F.col("m") > NODE)
+        else:
+            dense = many
+        known = tasks.join(sketches, "cls").join(groups.toDF("cls", "known"), "cls", "left").withColumn("group", F.coalesce("known", "group"))
+        alike = alike.union(cut(_alike(known, similar)))
+        groups, level = cut(components(alike)), level + 1
+
+    # full sets confirm
+    texts, groups = firsts.select(own, "words"), groups.toDF("cls", "key")
+    groups = cut(groups.join(groups.groupBy("key").agg(F.count("*").alias("m")), "key"))
+    edges = _settled(groups, staged(texts.join(groups.select("cls"), "cls"), "near-words"), shingle, similar)
+    if dense is None:
+        return edges
+    return edges.union(_by_rare_shingles(dense, staged(texts.join(dense.select("cls").distinct(), "cls"), "near-words"), shingle, similar))
+
+
+def _settled(groups: DataFrame, words: DataFrame, shingle: int, similar: int) -> DataFrame:
+    """Links of (key, cls, m) groups: in chunks first; who is outside then meets everyone."""
+    edges = cut(_confirmed(_chunked(groups, GROUP).join(words, "cls"), shingle, similar))
+    rest = _outside(groups.where(F.col("m") > GROUP), components(edges))
+    if rest is None:
+        return edges
+    few, many = rest.where(_few(GROUP, BLOCKS)), rest.where(~_few(GROUP, BLOCKS))
+    edges = edges.union(cut(_confirmed(_blocks(few, GROUP).join(words, "cls"), shingle, similar)))
+    return edges if many.isEmpty() else edges.union(_by_rare_shingles(many, words, shingle, similar))
+
+
+def _by_rare_shingles(many: DataFrame, words: DataFrame, shingle: int, similar: int) -> DataFrame:
+    """Links of dense groups: their members meet by rare shingles, and in blocks where still more than
+    ``GROUP`` share one."""
+    groups = cut(_sharing_rare(many, words, shingle, similar))
+    edges = cut(_confirmed(_chunked(groups, GROUP).join(words, "cls"), shingle, similar))
+    rest = _outside(groups.where(F.col("m") > GROUP), components(edges))
+    return edges if rest is None else edges.union(cut(_confirmed(_blocks(rest, GROUP).join(words, "cls"), shingle, similar)))
+
+
+def _few(most: int, blocks: int) -> Column:
+    """Whether so few members are outside a group's largest component that a member is copied to at
+    most so many blocks when those meet everyone."""
+    return F.ceil(F.col("r") / (most // 2)) <= blocks
 
 
 def _sized(members: DataFrame) -> DataFrame:
-    """(key, cls, m): members of the nodes that have at least two."""
-    members = members.select("key", "cls").distinct()
-    return members.join(members.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "key")
+    """(key, cls, m): members, each once, of the nodes that hold more than one component."""
+    several = F.min("component") != F.max("component")
+    sizes = members.groupBy("key").agg(F.count("*").alias("m"), several.alias("several")).where("several").drop("several")
+    return members.select("key", "cls").join(sizes, "key")
 
 
 def _branched(members: DataFrame, level: int) -> DataFrame:
     """The children of nodes: one for each value of each newly selected token."""
     picks = F.explode(F.array(*[F.lit(j) for j in range(BRANCH)])).alias("j")
-    picked = members.select("key", "cls", "sketch", picks)
+    picked = members.select("key", "cls", "component", "sketch", picks)
     at = F.pmod(F.xxhash64("key", F.lit(level), "j"), F.lit(SKETCH)).cast("int") + 1
     token = F.hex(F.substring(F.col("sketch"), at, F.lit(1)))
-    return picked.select(F.xxhash64("key", F.lit(level), "j", token).alias("key"), "cls")
+    return picked.select(F.xxhash64("key", F.lit(level), "j", token).alias("key"), "cls", "component")
 
 
 def _chunked(sized: DataFrame, most: int) -> DataFrame:
@@ -250,17 +285,41 @@ def _chunked(sized: DataFrame, most: int) -> DataFrame:
     return sized.select("key", F.explode(subs).alias("sub"), "cls")
 
 
-def _outside(wide: DataFrame, edges: DataFrame) -> DataFrame | None:
-    """(key, cls, m, r, out) for groups that aren't in one component yet; ``out``: not in the group's
-    largest; ``r``: how many aren't. None if there is no such group."""
-    if wide.isEmpty():
+def _sharing_rare(rest: DataFrame, words: DataFrame, shingle: int, similar: int) -> DataFrame:
+    """(key, cls, m): the members of a group by each of their rarest shingles within it. Of two linked
+    sets at least one of the rarest ``n - ceil(n * similar / 100) + 1`` shingles of each is shared, so
+    no link is lost; what a group shares as boilerplate is common there and brings nobody together.
+    The groups that hold only members of the largest component go."""
+
+    def run(batches):
+        shingler = Shingler(shingle)
+        for batch in slices(batches, "words"):
+            for key, cls, out, text in zip(*(batch.column(c).to_pylist() for c in ("key", "cls", "out", "words")), strict=True):
+                prints = shingler.of_words(text.lower().split()).view(np.int64)
+                same = lambda v, n=len(prints): pa.array(np.full(n, v, np.int64))
+                yield pa.RecordBatch.from_arrays([same(key), same(cls), same(out), same(len(prints)), pa.array(prints)], names=["key", "cls", "out", "n", "print"])
+
+    prints = staged(rest.select("key", "cls", F.col("out").cast("long").alias("out")).join(words, "cls").mapInArrow(run, "key long, cls long, out long, n long, print long"), "near-rare")
+    often = prints.groupBy("key", "print").agg(F.count("*").alias("df"), F.sum("out").alias("outside"))
+    placed = F.row_number().over(Window.partitionBy("key", "cls").orderBy("df", "print"))
+    ranked = prints.join(often, ["key", "print"]).withColumn("place", placed)
+    first = ranked.where((F.col("place") <= F.col("n") - F.ceil(F.col("n") * similar / 100) + 1) & (F.col("outside") > 0))
+    # a member outside is a component of its own here, so that groups of them stay
+    own = F.when(F.col("out") > 0, F.col("cls")).otherwise(-1)
+    return _sized(first.select(F.xxhash64("key", "print").alias("key"), "cls", own.alias("component")))
+
+
+def _outside(groups: DataFrame, known: DataFrame) -> DataFrame | None:
+    """(key, cls, m, component, r, out) of the groups (key, cls, m) that (node, component) leaves in
+    several components; ``out``: not in the group's largest; ``r``: how many aren't. None if there is
+    no such group. What is within one component needs no further search."""
+    if groups.isEmpty():
         return None
-    known = components(edges).withColumnRenamed("node", "cls")
-    held = cut(wide.join(known, "cls", "left").select("key", "cls", "m", F.coalesce("component", "cls").alias("component")))
+    held = cut(groups.join(known.toDF("cls", "component"), "cls", "left").withColumn("component", F.coalesce("component", "cls")))
     sizes = held.groupBy("key", "component").agg(F.count("*").alias("size"))
     top = sizes.groupBy("key").agg(F.max_by("component", F.struct("size", "component")).alias("top"), F.max("size").alias("size"))
     rest = held.join(top, "key").withColumn("r", F.col("m") - F.col("size")).where("r > 0")
-    rest = cut(rest.select("key", "cls", "m", "r", (F.col("component") != F.col("top")).alias("out")))
+    rest = cut(rest.select("key", "cls", "m", "component", "r", (F.col("component") != F.col("top")).alias("out")))
     return None if rest.isEmpty() else rest
 
 
@@ -338,19 +397,19 @@ class _Joined:
 
 
 def _alike(rows: DataFrame, similar: int) -> DataFrame:
-    """(key, cls): members of each group of classes that a node's sketches connect; the key is the
-    group's least class. The same group found in several nodes counts once."""
+    """Links (a, b), as stars, of classes that a node's sketches connect. Pairs with the same ``group``
+    will be confirmed anyway."""
     p = similar / 100
     least = math.floor(SKETCH * p - 5 * math.sqrt(SKETCH * p * (1 - p)))
 
     def compare(node, group):
-        names, sizes, sketches = group
+        names, sizes, known, sketches = group
         size, sketch = np.array(sizes), np.frombuffer(b"".join(sketches), np.uint8).reshape(len(names), SKETCH)
         joined = _Joined(len(names))
-        _search(np.arange(len(names)), 0, xxhash.xxh3_64_intdigest(repr(node)), size, sketch, joined, similar, least)
+        _search(np.arange(len(names)), 0, xxhash.xxh3_64_intdigest(repr(node)), size, sketch, np.array(known), joined, similar, least)
         return joined.stars(names)
 
-    return _by_group(rows, ["cls", "n", "sketch"], compare, "key long, cls long").distinct()
+    return _by_group(rows, ["cls", "n", "group", "sketch"], compare, "a long, b long").where("a <> b").distinct()
 
 
 def _picks(seed: int) -> list[int]:
@@ -359,7 +418,7 @@ def _picks(seed: int) -> list[int]:
     return ranked[:BRANCH]
 
 
-def _search(members: np.ndarray, depth: int, seed: int, size: np.ndarray, sketch: np.ndarray, joined: _Joined, similar: int, least: int) -> None:
+def _search(members: np.ndarray, depth: int, seed: int, size: np.ndarray, sketch: np.ndarray, known: np.ndarray, joined: _Joined, similar: int, least: int) -> None:
     """Branch a large part by selected tokens; compare a small one exhaustively. The selection follows
     from the node's own key and the path, as in ``_branched``: trees over the same members differ."""
     if len(members) > PART and depth < 4:
@@ -368,12 +427,13 @@ def _search(members: np.ndarray, depth: int, seed: int, size: np.ndarray, sketch
         if max(len(part) for _, _, part in parts) < 0.8 * len(members):
             for pick, v, part in parts:
                 if len(part) > 1:
-                    _search(part, depth + 1, xxhash.xxh3_64_intdigest(repr((pick, v)), seed), size, sketch, joined, similar, least)
+                    _search(part, depth + 1, xxhash.xxh3_64_intdigest(repr((pick, v)), seed), size, sketch, known, joined, similar, least)
             return
-    own, n = sketch[members], size[members]
+    own, n, group = sketch[members], size[members], known[members]
     for i in range(len(members) - 1):
         same = np.count_nonzero(own[i + 1 :] == own[i], axis=1)
         fits = (same >= least) & (100 * np.minimum(n[i + 1 :], n[i]) >= similar * np.maximum(n[i + 1 :], n[i]))
+        fits &= group[i + 1 :] != group[i]
         for j in np.flatnonzero(fits).tolist():
             joined.join(int(members[i]), int(members[i + 1 + j]))
 
