@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.storage import cut, new_path, shared_dir
 
-__all__ = ["cut", "field", "rows_of", "shared_dir", "slices", "staged", "table", "unicode_text", "whole_row"]
+__all__ = ["cut", "field", "remove", "rows_of", "shared_dir", "slices", "staged", "table", "unicode_text", "whole_row"]
 
 #: Rows of an input batch are handed to Python code in slices of at most so many text bytes.
 SLICE_BYTES = 4 << 20
@@ -26,6 +26,12 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of an intermediate table that nothing reads any more."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found.getFileSystem(spark._jsc.hadoopConfiguration()).delete(found, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

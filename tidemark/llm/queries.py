@@ -18,7 +18,8 @@ TOKEN_LIMIT = 1024
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = token_counts.prefix_counts(table(spark, sf_dir, "documents"), BYTE_BPE)
     n = token_counts.n_tokens(F.col("prefix_counts"))
-    return counts.select("doc_id", "n_bytes", n.alias("n_tokens"), (n > TOKEN_LIMIT).alias("over_limit"))
+    fits = token_counts.longest_prefix(F.col("prefix_counts"), TOKEN_LIMIT)
+    return counts.select("doc_id", "n_bytes", n.alias("n_tokens"), (n > TOKEN_LIMIT).alias("over_limit"), fits.alias("chars_within_limit"))
 
 
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -64,4 +64,4 @@ def longest_prefix(counts: Column, budget: Column | int) -> Column:
     again when a longer token forms, so the last fitting prefix is taken, not the first excess."""
     limit = F.lit(budget)
     fits = F.filter(F.transform(counts, lambda n, i: F.when(n <= limit, i + 1)), lambda i: i.isNotNull())
-    return F.coalesce(F.array_max(fits), F.lit(0)).cast("long")
+    return F.when(n_tokens(counts) <= limit, F.size(counts)).otherwise(F.coalesce(F.array_max(fits), F.lit(0))).cast("long")
