@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import decontaminate, exact_dedup, language_id, near_dedup, packing
-from tidemark.llm.common import rows_of, shared_dir, table
+from tidemark.llm.common import remove, rows_of, shared_dir, table
 from tidemark.llm.queries import BYTE_BPE, PIECES
 
 
@@ -56,11 +56,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; the packed pieces."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over ``documents``; the packed pieces. A stage's table goes once the next is written."""
+    docs, before = table(spark, sf_dir, "documents"), None
     base = f"{shared_dir(spark)}/tidemark-pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES:
         made = stage(spark, docs, sf_dir)
         made.write.option("compression", "zstd").parquet(f"{base}/{name}")
         docs = spark.read.schema(made.schema).parquet(f"{base}/{name}")
+        if before:
+            remove(spark, f"{base}/{before}")
+        before = name
     return docs
