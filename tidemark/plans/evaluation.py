@@ -163,16 +163,16 @@ register("j09_rejection_summary", lambda s, d: inference.rejections(inference.mu
 _BOOT = f""", src AS (SELECT instrument, model, row_number() OVER (PARTITION BY instrument, model ORDER BY day) AS rn, {{values}} FROM {{source}}),
 pre AS (SELECT instrument, model, rn, {{sums}} FROM src UNION ALL SELECT DISTINCT instrument, model, 0, {{zeros}} FROM src),
 sz AS (SELECT instrument, model, count(*) AS n, greatest(1, CAST(round(pow(count(*), CAST(1.0 AS DOUBLE) / 3)) AS BIGINT)) AS len FROM src GROUP BY 1, 2),
-pl AS (SELECT sz.*, d.range AS draw, b.range AS block FROM sz, range({DRAWS}) d, range(2000) b WHERE b.range < ceil(n / CAST(len AS DOUBLE))),
+pl AS (SELECT sz.*, d.range AS draw, b.range AS block FROM sz, range({{draws}}) d, range(2000) b WHERE b.range < ceil(n / CAST(len AS DOUBLE))),
 lc AS (SELECT *, (CAST(1103515245 AS BIGINT) * ((CAST(1103515245 AS BIGINT) * (draw * 1009 + block + 42) + 12345) % 2147483648) + 12345) % 2147483648 AS mixed FROM pl),
 st AS (SELECT *, CAST(mixed // 65536 AS BIGINT) % (n - len + 1) AS lo, CAST(mixed // 65536 AS BIGINT) % (n - len + 1) + least(len, n - block * len) AS hi FROM lc),
 bm AS (SELECT st.instrument, st.model, st.draw, {{means}} FROM st JOIN pre a ON a.instrument = st.instrument AND a.model = st.model AND a.rn = st.lo JOIN pre b ON b.instrument = st.instrument AND b.model = st.model AND b.rn = st.hi GROUP BY 1, 2, 3)"""
 
 
-def _boot(values: dict[str, str], source: str = "losses") -> str:
+def _boot(values: dict[str, str], source: str = "losses", draws: int = DRAWS) -> str:
     run = "OVER (PARTITION BY instrument, model ORDER BY rn)"
     return _BOOT.format(
-        values=", ".join(f"{e} AS {n}" for n, e in values.items()), source=source, sums=", ".join(f"sum({n}) {run} AS s_{n}" for n in values),
+        values=", ".join(f"{e} AS {n}" for n, e in values.items()), source=source, draws=draws, sums=", ".join(f"sum({n}) {run} AS s_{n}" for n in values),
         zeros=", ".join("0.0" for _ in values), means=", ".join(f"sum(b.s_{n} - a.s_{n}) / max(n) AS {n}_mean" for n in values),
     )
 
@@ -212,8 +212,34 @@ pg AS (SELECT instrument, best || '/' || l.leg AS model, day, l.top AS top, l.bo
 register("j14_path_intervals", j14, f"{_PATH}{_boot({'top': 'top', 'bottom': 'bottom'}, 'pg')} SELECT instrument, split_part(model, '/', 1) AS best, split_part(model, '/', 2) AS leg, {_Q.format('(top_mean / bottom_mean)')} FROM bm WHERE bottom_mean > 0 GROUP BY 1, model", 5)
 _DEV = "mae - (SELECT avg(z.mae) FROM losses z WHERE z.instrument = losses.instrument AND z.day = losses.day)"
 register("j15_first_round_tmax", lambda s, d: inference.first_round_tmax(losses(s, d), ["instrument"], "mae", DRAWS).drop("worst"), f"{_boot({'dv': _DEV})}, sp AS (SELECT instrument, model, stddev_samp(dv_mean) AS sd FROM bm GROUP BY 1, 2), ce AS (SELECT instrument, model, avg(dv) AS dv FROM src GROUP BY 1, 2) SELECT ce.instrument, round(max(dv / CASE WHEN sd > 0 THEN sd ELSE 1e-12 END), 4) AS t_max FROM ce JOIN sp ON sp.instrument = ce.instrument AND sp.model = ce.model GROUP BY 1", 4)
-register("j15_model_confidence_set", lambda s, d: inference.confidence_set(losses(s, d), ["instrument"], "mae", SET_DRAWS))
-register("j16_inclusion_counts", lambda s, d: inference.confidence_set(losses(s, d), ["instrument"], "mae", SET_DRAWS).groupBy("alpha", "model").agg(F.sum(F.col("included").cast("int")).alias("n_included")))
+
+
+def _elimination(models: list[str]) -> str:
+    """Each round on the surviving models (al), its statistic and worst model (ro); then, for each
+    level, the round whose p-value is the first above it."""
+    out, k = ["bx AS (SELECT instrument, model, draw, x_mean AS x FROM bm), ax AS (SELECT instrument, model, avg(mae) AS m FROM losses GROUP BY 1, 2), al1 AS (SELECT * FROM ax)"], len(models)
+    for r in range(1, k):
+        before = f"ro{r - 1}.running" if r > 1 else "0.0"
+        join = f"JOIN ro{r - 1} ON ro{r - 1}.instrument = w.instrument" if r > 1 else ""
+        out.append(f"""ce{r} AS (SELECT instrument, model, m, m - avg(m) OVER (PARTITION BY instrument) AS d FROM al{r}),
+de{r} AS (SELECT b.instrument, b.model, b.draw, x - avg(x) OVER (PARTITION BY b.instrument, b.draw) AS v FROM bx b JOIN al{r} a ON a.instrument = b.instrument AND a.model = b.model),
+tt{r} AS (SELECT c.instrument, c.model, d, s.sd, d / s.sd AS t FROM ce{r} c JOIN (SELECT instrument, model, CASE WHEN stddev_samp(v) > 0 THEN stddev_samp(v) ELSE 1e-12 END AS sd FROM de{r} GROUP BY 1, 2) s ON s.instrument = c.instrument AND s.model = c.model),
+wo{r} AS (SELECT instrument, max(t) AS t_max, arg_max(model, t) AS worst FROM tt{r} GROUP BY 1),
+no{r} AS (SELECT e.instrument, e.draw, max((e.v - t.d) / t.sd) AS most FROM de{r} e JOIN tt{r} t ON t.instrument = e.instrument AND t.model = e.model GROUP BY 1, 2),
+pv{r} AS (SELECT n.instrument, avg(CASE WHEN most >= t_max THEN 1.0 ELSE 0.0 END) AS p FROM no{r} n JOIN wo{r} w ON w.instrument = n.instrument GROUP BY 1),
+ro{r} AS (SELECT w.instrument, w.worst, greatest(p, {before}) AS running FROM wo{r} w JOIN pv{r} ON pv{r}.instrument = w.instrument {join}),
+al{r + 1} AS (SELECT a.* FROM al{r} a JOIN ro{r} ON ro{r}.instrument = a.instrument AND ro{r}.worst <> a.model)""")
+    rounds = " UNION ALL ".join(f"SELECT instrument, worst AS model, {r} AS round, running FROM ro{r}" for r in range(1, k))
+    out.append(f"""el AS ({rounds} UNION ALL SELECT instrument, model, {k}, 1.0 FROM al{k}),
+stp AS (SELECT a.alpha, el.instrument, min(CASE WHEN running > a.alpha OR round = {k} THEN round END) AS stop FROM el, (SELECT unnest([0.25, 0.1, 0.05]) AS alpha) a GROUP BY 1, 2),
+ms AS (SELECT e.instrument, CAST(s.alpha AS DOUBLE) AS alpha, e.model, CASE WHEN e.round < s.stop THEN e.running ELSE f.running END AS p_value, e.round >= s.stop AS included FROM el e JOIN stp s ON s.instrument = e.instrument JOIN el f ON f.instrument = e.instrument AND f.round = s.stop)""")
+    return ", " + ",\n".join(out)
+
+
+_SET = _boot({"x": "mae"}, draws=SET_DRAWS) + _elimination(["RVD", "RVW", "RVM", "AVG3"])
+_set = lambda s, d: inference.confidence_set(losses(s, d), ["instrument"], "mae", SET_DRAWS)
+register("j15_model_confidence_set", _set, f"{_SET} SELECT instrument, alpha, model, round(p_value, 4) AS p_value, included FROM ms", 4)
+register("j16_inclusion_counts", lambda s, d: _set(s, d).groupBy("alpha", "model").agg(F.sum(F.col("included").cast("int")).alias("n_included")), f"{_SET} SELECT alpha, model, CAST(sum(CAST(included AS INTEGER)) AS BIGINT) AS n_included FROM ms GROUP BY 1, 2")
 
 _MZ = """, fit AS (SELECT instrument, model, count(*) AS n, regr_intercept(y, y_pred) AS a, regr_slope(y, y_pred) AS b, regr_r2(y, y_pred) AS r2, sum(y_pred) AS sp, sum(y_pred * y_pred) AS spp, avg(y) AS my, avg(y_pred) AS mp,
   stddev_pop(y) AS sy, stddev_pop(y_pred) AS sdp, corr(y, y_pred) AS rho, avg((y - y_pred) * (y - y_pred)) AS mse FROM test GROUP BY 1, 2),
