@@ -16,6 +16,7 @@ from tidemark.operators import measures as D
 from tidemark.plans.bars import _kernel as kernel_sql
 from tidemark.plans.base import daily, features, register, returns, split_features
 from tidemark.plans.panel import WIDE
+from tidemark.storage import cut
 
 KEYS = ["instrument", "horizon"]
 DAY = "CAST(day AS VARCHAR) AS day"
@@ -216,7 +217,8 @@ def panel_forecasts(rows: DataFrame) -> DataFrame:
     made += [learners.forest(rows, KEYS, HAR, TREES, tried, name) for name, tried in (("BG", None), ("RF", 1))]
     made.append(learners.boosting(rows, KEYS, HAR, ROUNDS, [0.01, 0.1], [1, 2]))
     made += [learners.networks(rows, KEYS, HAR, a) for a in NETWORKS]
-    return splits.floored(reduce(DataFrame.unionByName, [m.select(*columns) for m in made]), train, KEYS)
+    table = cut(reduce(DataFrame.unionByName, [m.select(*columns) for m in made]))  # losses read it twice
+    return splits.floored(table, train, KEYS)
 
 
 def g23_all(s: SparkSession, d: str) -> DataFrame:
@@ -267,7 +269,7 @@ def g26(s: SparkSession, d: str) -> DataFrame:
         "rolling": [learners.forest(dealt, keys, HAR, TREES, 1, "RF"), learners.boosted(dealt, keys, HAR, settings.join(dealt.select(*keys).distinct(), KEYS))],
     }
     columns = [*KEYS, "day", "model", "y", "y_pred"]
-    trees = reduce(DataFrame.unionByName, [m.where("split = 'test'").select(*columns, F.lit(scheme).alias("scheme")) for scheme, both in made.items() for m in both])
+    trees = cut(reduce(DataFrame.unionByName, [m.where("split = 'test'").select(*columns, F.lit(scheme).alias("scheme")) for scheme, both in made.items() for m in both]))
     har = L.mean_losses(fitted(s, d, "HAR"), KEYS, "mse").select(*KEYS, F.col("value").alias("base"))
     floors = splits.floored(trees, rows.where("split = 'train'"), KEYS)
     return L.mean_losses(floors, [*KEYS, "model", "scheme"], "mse").join(har, KEYS).withColumn("ratio", F.col("value") / F.col("base")).drop("base", "loss")
