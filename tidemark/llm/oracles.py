@@ -1,17 +1,21 @@
 """DuckDB SQL for the operators that SQL can express.
 
 Exact token counts, language models, entropy spans and packing have no practical SQL form; tests
-hold those against the tokenizer library, brute force or held-out rows.
+hold those against the tokenizer libraries, brute force or held-out rows.
 """
 
 from __future__ import annotations
 
-from tidemark.llm import fixity, license_scan, sharding
+from tidemark.llm import fixity, license_scan, sharding, vector_codes
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _SPACE = r"[\x20\x09-\x0D]+"
 
 
+#: The byte table of the CRC-32.
+_CRC = "crc AS (SELECT list(x ORDER BY i) AS t FROM (SELECT i, list_reduce(range(0, 8), lambda acc, k: CASE WHEN acc % 2 = 1 THEN xor(acc // 2, 3988292384) ELSE acc // 2 END, i) AS x FROM range(0, 256) z(i)))"
+
+
 def _exact_dedup() -> str:
     return rf"""WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '{_SPACE}', ' ', 'g') AS t FROM documents)
 SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size, doc_id = min(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256 FROM n"""
@@ -50,7 +54,7 @@ def _sharding() -> str:
         l, r = (new, "r") if own == "l" else ("l", new)
         step = f"SELECT row_number, walks, a, b, n, {l} AS l, {r} AS r FROM ({mixed})"
     once = lambda source: f"SELECT row_number, walks + 1 AS walks, a, b, n, r * a + l AS v FROM ({step.replace('FROM base', f'FROM {source}')})"
-    return f"""WITH RECURSIVE crc AS (SELECT list(x ORDER BY i) AS t FROM (SELECT i, list_reduce(range(0, 8), lambda acc, k: CASE WHEN acc % 2 = 1 THEN xor(acc // 2, 3988292384) ELSE acc // 2 END, i) AS x FROM range(0, 256) z(i))),
+    return f"""WITH RECURSIVE {_CRC},
 d AS (SELECT doc_id, strlen(coalesce(text, '')) + 1 AS size, hex(encode(coalesce(text, ''))) AS h FROM documents),
 e AS (SELECT doc_id, size, xor(list_reduce(list_transform(range(0, size - 1), lambda k: CAST('0x' || substr(h, 2 * k + 1, 2) AS BIGINT)), lambda acc, x: xor(acc // 256, t[xor(acc % 256, x) + 1]), CAST(4294967295 AS BIGINT)), 4294967295) AS text_crc32 FROM d, crc),
 k AS (SELECT *, row_number() OVER (ORDER BY doc_id, size, text_crc32) - 1 AS row_number, count(*) OVER () AS n FROM e),
@@ -82,6 +86,39 @@ SELECT dw.doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_it
 FROM dw LEFT JOIN cov ON cov.doc_id = dw.doc_id LEFT JOIN own ON own.doc_id = dw.doc_id"""
 
 
+def _conversation_trie() -> str:
+    return f"""WITH {_CRC},
+o AS (SELECT conv_id AS c, list({{'r': coalesce(role, ''), 'x': coalesce(text, '')}} ORDER BY turn NULLS FIRST) AS ts FROM conversations WHERE conv_id IS NOT NULL GROUP BY 1),
+h AS (SELECT c, ts, c - c % 5 AS base, xor(list_reduce(list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT)), lambda acc, x: xor(acc // 256, t[xor(acc % 256, x) + 1]), CAST(4294967295 AS BIGINT)), 4294967295) % 9 AS h FROM o, crc),
+rb AS (SELECT h.c, list_concat(list_slice(coalesce(b.ts, []), 1, h), list_slice(h.ts, h + 1, len(h.ts))) AS ts FROM h LEFT JOIN o b ON b.c = h.base),
+px AS (SELECT c, d, list_slice(ts, 1, d) AS p, len(ts) = d AS ending FROM (SELECT c, ts, unnest(range(0, len(ts) + 1)) AS d FROM rb)),
+nd AS (SELECT p, d, min(c) AS conv_id, count(*) AS n_convs, (count(*) - 1) * CASE WHEN d = 0 THEN 0 ELSE strlen(p[d].x) END AS own, sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE ending), '')) AS ends_sha256 FROM px GROUP BY 1, 2),
+kid AS (SELECT list_slice(p, 1, d - 1) AS p, count(*) AS n_children FROM nd WHERE d > 0 GROUP BY 1),
+al AS (SELECT nd.*, coalesce(n_children, 0) AS n_children FROM nd LEFT JOIN kid ON kid.p = nd.p),
+sub AS (SELECT list_slice(p, 1, k) AS p, sum(own) AS saved, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS leaves FROM (SELECT p, own, n_children, unnest(range(0, d + 1)) AS k FROM al) GROUP BY 1)
+SELECT al.conv_id, al.d AS depth, up.conv_id AS parent_conv_id, al.n_convs, al.n_children, CAST(leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, al.ends_sha256
+FROM al JOIN sub ON sub.p = al.p LEFT JOIN nd up ON al.d > 0 AND up.p = list_slice(al.p, 1, al.d - 1)"""
+
+
+def _vector_codes() -> str:
+    """For vectors of 64 components, as the tables have them."""
+    parts, entries, m = vector_codes.PARTS, vector_codes.ENTRIES, 8
+    apart = " + ".join(f"(x[{i}] - e[{i}]) * (x[{i}] - e[{i}])" for i in range(1, m + 1))
+    steps = [f"b0 AS MATERIALIZED (SELECT p, CAST(row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS INTEGER) AS k, x AS e FROM px QUALIFY k < {entries})"]
+    for r in range(vector_codes.ROUNDS + 1):
+        steps.append(f"a{r} AS MATERIALIZED (SELECT vec_id, p, any_value(x) AS x, min(struct_pack(d := {apart}, k := k)) AS best FROM px JOIN b{r} USING (p) GROUP BY vec_id, p)")
+        if r < vector_codes.ROUNDS:
+            means = ", ".join(f"CAST(floor(sum(x[{i}]) / count(*)) AS BIGINT)" for i in range(1, m + 1))
+            steps.append(f"b{r + 1} AS MATERIALIZED (SELECT b{r}.p, b{r}.k, coalesce(n.e, b{r}.e) AS e FROM b{r} LEFT JOIN (SELECT p, best.k AS k, [{means}] AS e FROM a{r} GROUP BY 1, 2) n ON n.p = b{r}.p AND n.k = b{r}.k)")
+    last = vector_codes.ROUNDS
+    return f"""WITH kept AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor({vector_codes.SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings WHERE len(embedding) = {parts * m} AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))),
+px AS MATERIALIZED (SELECT vec_id, p, list_slice(v, {m} * p + 1, {m} * p + {m}) AS x FROM kept, range(0, {parts}) z(p)),
+{", ".join(steps)},
+cb AS (SELECT sha256(string_agg(array_to_string(e, ','), ',' ORDER BY p, k)) AS codebooks_sha256 FROM b{last}),
+cd AS (SELECT vec_id, string_agg(printf('%02x', best.k), '' ORDER BY p) AS code, CAST(sum(best.d) AS BIGINT) AS error FROM a{last} GROUP BY 1)
+SELECT kept.vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM kept JOIN cd ON cd.vec_id = kept.vec_id, cb"""
+
+
 SQL: dict[str, str] = {
     "op2_minhash_near_dedup": _near_dedup(),
     "op3_warc_fixity": _fixity(),
@@ -89,4 +126,6 @@ SQL: dict[str, str] = {
     "op5_sharding": _sharding(),
     "op7_license_scan": _licences(),
     "op10_decontamination": _decontamination(),
+    "op11_conversation_trie": _conversation_trie(),
+    "op12_vector_codes": _vector_codes(),
 }

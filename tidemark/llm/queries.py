@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, exact_dedup, fixity, language_id, license_scan, near_dedup, packing, secret_scan, sharding, token_counts
+from tidemark.llm import decontaminate, exact_dedup, fixity, language_id, license_scan, near_dedup, packing, pieces, prefix_trie, secret_scan, sharding, token_counts, vector_codes
 from tidemark.llm import oracles
 from tidemark.llm.common import table
 
@@ -71,11 +71,29 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rebuilt = prefix_trie.spliced(prefix_trie.turns(table(spark, sf_dir, "conversations")))
+    return prefix_trie.nodes(rebuilt).withColumnRenamed("saved_bytes", "saved_tokens")
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = vector_codes.compress(table(spark, sf_dir, "embeddings"))
+    rows = vector_codes.with_label_error(coded)
+    return rows.select("vec_id", vector_codes.code_text().alias("code"), "error", "label_error", F.lit(books.sha256()).alias("codebooks_sha256"))
+
+
+def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = pieces.decode(pieces.encode(table(spark, sf_dir, "documents"), PIECES), PIECES)
+    n = F.size("ids").cast("long").alias("n_tokens")
+    return rows.select("doc_id", n, F.sha2(pieces.ids_text(), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_token_counts, op2_minhash_near_dedup, op3_warc_fixity, op4_exact_dedup, op5_sharding,
         op6_language_id, op7_license_scan, op8_secret_scan, op9_packing, op10_decontamination,
+        op11_conversation_trie, op12_vector_codes, op13_sentencepiece,
     )
 }
 ORACLES = oracles.SQL
