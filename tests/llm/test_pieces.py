@@ -19,7 +19,7 @@ def test_words_give_the_text_back():
         assert " ".join(pieces.marked_words(text)) == text.replace("▁", " ")
 
 
-@pytest.mark.parametrize("limit", [1, 800_000])
+@pytest.mark.parametrize("limit", [1, 400_000])
 def test_random_texts(monkeypatch, limit):
     monkeypatch.setattr(pieces, "TABLE_CHUNKS", limit)
     rng = random.Random(limit)

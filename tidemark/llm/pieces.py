@@ -34,7 +34,7 @@ from sentencepiece import SentencePieceProcessor, sentencepiece_model_pb2
 from tidemark.llm.common import field, slices, unicode_text
 
 MARKER = "▁"
-TABLE_CHUNKS = 800_000
+TABLE_CHUNKS = 400_000
 TABLE_CHARS = 32_000_000
 #: Ids that a batch hands to the decoder at once.
 DECODE_IDS = 1 << 20
