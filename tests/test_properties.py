@@ -345,3 +345,70 @@ def test_model_columns_and_merged_runs(spark):
     keys = ["instrument", "horizon", "split", "day", "model"]
     assert files.merge_runs([store, other], keys, horizon=1).select(F.sum("y_pred"), F.count("*")).first() == (70.0, 10)
     assert files.merge_runs([store, other], keys, validation=True).count() == 40
+
+
+def series(spark, x, y, split_at, h=1):
+    """One group of rows with regressors x1.., target y, places and splits."""
+    n = len(y)
+    pdf = pd.DataFrame(x, columns=[f"x{i}" for i in range(x.shape[1])]).assign(y=y, g="g", horizon=h, day=[DAY0 + dt.timedelta(days=i) for i in range(n)], rn=range(1, n + 1))
+    return spark.createDataFrame(pdf).withColumn("split", F.when(F.col("rn") > split_at, "test").otherwise("train"))
+
+
+def plain_rolling(x, y, split_at, window, refit=1, embargo=0):
+    out = []
+    for k in range(len(y) - split_at):
+        last = split_at + k - k % refit - embargo
+        begin = 0 if window is None else max(0, last - window)
+        mx, my = x[begin:last].mean(0), y[begin:last].mean()
+        b = np.linalg.lstsq(x[begin:last] - mx, y[begin:last] - my, rcond=None)[0]
+        out.append(my + (x[split_at + k] - mx) @ b)
+    return np.array(out)
+
+
+@pytest.mark.parametrize(("window", "refit", "embargo"), [("fit", 1, 0), (30, 1, 0), (30, 7, 0), (25, 1, 21), (None, 1, 4), (1000, 1, 0)])
+def test_rolling_windows(spark, window, refit, embargo):
+    rng = np.random.default_rng(7)
+    x = rng.exponential(1, (260, 2))
+    y = 1 + x @ np.array([0.5, -0.3]) + rng.normal(0, 0.1, 260)
+    found = linear.rolling_forecast(series(spark, x, y, 120), ["g"], ["x0", "x1"], window, refit, embargo).orderBy("day").toPandas()
+    assert np.allclose(found["y_pred"], plain_rolling(x, y, 120, 120 if window == "fit" else window, refit, embargo), rtol=1e-9)
+
+
+def test_rolling_window_forgets_a_level_shift(spark):
+    """Levels of 1e8 before row 150: running sums would leave errors of their own size behind."""
+    rng = np.random.default_rng(8)
+    x = rng.exponential(1, (400, 2))
+    y = 1 + x @ np.array([0.5, -0.3]) + rng.normal(0, 0.1, 400)
+    x[:150] += 1e8
+    y[:150] += 1e8
+    found = linear.rolling_forecast(series(spark, x, y, 200), ["g"], ["x0", "x1"], 50).orderBy("day").toPandas()
+    assert np.allclose(found["y_pred"], plain_rolling(x, y, 200, 50), rtol=1e-9)
+
+
+def test_embargo_depends_on_the_horizon(spark):
+    rng = np.random.default_rng(9)
+    x = rng.exponential(1, (120, 1))
+    y = x[:, 0] + rng.normal(0, 0.1, 120)
+    both = series(spark, x, y, 80).unionByName(series(spark, x, y, 80, 5))
+    found = linear.rolling_forecast(both, ["g", "horizon"], ["x0"], 40, embargo=F.col("horizon") - 1).orderBy("horizon", "day").toPandas()
+    for h in (1, 5):
+        assert np.allclose(found["y_pred"][found["horizon"] == h], plain_rolling(x, y, 80, 40, embargo=h - 1), rtol=1e-9)
+
+
+def test_har_family_clip_logs_and_fixed_fit(spark):
+    rng = np.random.default_rng(10)
+    x = rng.exponential(1, (200, 3))
+    y = np.exp(0.2 * np.log(x).sum(1) + rng.normal(0, 0.1, 200))
+    x[150] *= 1000  # the forecast of that day would leave the window's range
+    rows = series(spark, x, y, 100).withColumnsRenamed({"x0": "rvd", "x1": "rvw", "x2": "rvm"}).withColumn("rq_x_rv", F.col("rvd") * F.col("rvw"))
+    models = {"HAR": linear.HAR, "LogHAR": linear.HAR, "HARQ": [*linear.HAR, "rq_x_rv"]}
+    found = linear.rolling_models(rows, ["g"], models).toPandas().pivot(index="day", columns="model", values="y_pred").sort_index()
+    z = np.column_stack([x, x[:, 0] * x[:, 1]])
+    clipped = [min(max(p, y[k : k + 100].min()), y[k : k + 100].max()) for k, p in enumerate(plain_rolling(z, y, 100, 100))]
+    assert np.allclose(found["HARQ"], clipped, rtol=1e-6) and found["HARQ"].iloc[50] in (y[50:150].min(), y[50:150].max())
+    a = np.column_stack([np.ones(100), np.log(x[30:130])])
+    b, left = np.linalg.lstsq(a, np.log(y[30:130]), rcond=None)[:2]
+    assert math.isclose(found["LogHAR"].iloc[30], math.exp(b @ [1, *np.log(x[130])] + left[0] / 96 / 2), rel_tol=1e-8)
+    # fixed: the first test day has the window that all train and val rows are
+    fixed = linear.fixed_models(rows, ["g"], models).where("split = 'test'").toPandas().pivot(index="day", columns="model", values="y_pred").sort_index()
+    assert np.allclose(fixed.iloc[0], found.iloc[0], rtol=1e-9) and not np.allclose(fixed.iloc[60], found.iloc[60], rtol=1e-9)

@@ -9,9 +9,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.rolling import fixed_models, rolling_models  # noqa: F401
 from tidemark.operators.spread import dealt
 from tidemark.storage import cut
 
@@ -24,17 +25,18 @@ MODELS = {
     "SHAR": ["rvd_pos", "rvd_neg", "rvw", "rvm"],
     "HARQ": [*HAR, "rq_x_rv"],
 }
+#: All lag models of a panel run.
+FAMILY = MODELS | {"LogHAR": HAR}
 WIDE = [*HAR, "iv", "m1w", "vix_lag", "epu_lag", "hsi_lag", "ads_lag", "us3m_change", "event_lag", "dvol"]
 
 
 def moments(rows: DataFrame, keys: list[str], x: list[str], y: str = "y") -> DataFrame:
-    """Per group: ``n``, ``mean`` (of x then y) and ``cross``, the centred products, flattened."""
+    """Per group, in one pass: ``n``, ``mean`` (of x then y) and ``cross``, the centred products, flattened."""
     names = [*x, y]
-    centre = rows.groupBy(*keys).agg(F.array(*[F.avg(c) for c in names]).alias("mean"))
-    centred = rows.join(centre, keys).select(*keys, *[(F.col(c) - F.col("mean")[i]).alias(f"c{i}") for i, c in enumerate(names)])
-    products = [F.sum(F.col(f"c{i}") * F.col(f"c{j}")) for i in range(len(names)) for j in range(len(names))]
-    sums = centred.groupBy(*keys).agg(F.count("*").alias("n"), F.array(*products).alias("cross"))
-    return sums.join(centre, keys)
+    n, size = F.count(F.lit(1)), range(len(names))
+    pairs = {(i, j): F.covar_pop(names[i], names[j]).alias(f"c{i}_{j}") for i in size for j in size if i <= j}
+    sums = rows.groupBy(*keys).agg(n.alias("n"), F.array(*[F.avg(c) for c in names]).alias("mean"), *pairs.values())
+    return sums.select(*keys, "n", "mean", F.array(*[F.col(f"c{min(i, j)}_{max(i, j)}") * F.col("n") for i in size for j in size]).alias("cross"))
 
 
 def _solve(cross: np.ndarray, cut: float = 1e-10) -> np.ndarray:
@@ -206,47 +208,10 @@ def penalised_forecast(train: DataFrame, val: DataFrame, test: DataFrame, keys:
 # --- rolling and expanding windows -----------------------------------------------------------
 
 
-def rolling_forecast(rows: DataFrame, keys: list[str], x: list[str], window: int | None, refit: int = 1, embargo: int = 0) -> DataFrame:
-    """One forecast per test row from the ``window`` rows that end before it (all earlier rows if
-    None), refitted every ``refit`` test rows. Sums of the window are differences of running sums of
-    centred and scaled products, so a row costs p x p numbers and one small solve. ``embargo`` ends
-    the window earlier, so that targets of long horizons don't reach the forecast day."""
-    p, names = len(x), [*x, "y"]
-    w = Window.partitionBy(*keys)
-    order = w.orderBy("rn")
-    run = order.rowsBetween(Window.unboundedPreceding, 0)
-    scaled = rows.withColumns({f"z{i}": (F.col(c) - F.avg(c).over(w)) / F.coalesce(F.nullif(F.stddev_pop(c).over(w), F.lit(0.0)), F.lit(1.0)) for i, c in enumerate(names)})
-    scaled = scaled.withColumns({f"mu{i}": F.avg(c).over(w) for i, c in enumerate(names)} | {f"sd{i}": F.coalesce(F.nullif(F.stddev_pop(c).over(w), F.lit(0.0)), F.lit(1.0)) for i, c in enumerate(names)})
-    one = [F.lit(1.0), *[F.col(f"z{i}") for i in range(p + 1)]]
-    pairs = [(i, j) for i in range(p + 2) for j in range(i, p + 2)]
-    sums = scaled.withColumn("sums", F.array(*[F.sum(one[i] * one[j]).over(run) for i, j in pairs]))
-    test = F.col("split") == "test"
-    sums = sums.withColumn("k", F.sum(test.cast("int")).over(run) - 1)
-    sums = sums.withColumn("last", F.col("rn") - 1 - F.col("k") % refit - embargo)
-    at = sums.select(*keys, F.col("rn").alias("last"), F.col("sums").alias("upper"))
-    asked = sums.where(test).join(at, [*keys, "last"])
-    if window is None:
-        asked = asked.withColumn("lower", F.transform("upper", lambda v: v * 0))
-    else:
-        first = sums.select(*keys, F.col("rn").alias("first"), F.col("sums").alias("lower"))
-        asked = asked.withColumn("first", F.col("last") - window).join(first, [*keys, "first"], "left")
-        asked = asked.withColumn("lower", F.coalesce("lower", F.transform("upper", lambda v: v * 0)))
-    asked = asked.select(*keys, "day", "rn", "y", F.zip_with("upper", "lower", lambda a, b: a - b).alias("s"), F.array(*[F.col(f"z{i}") for i in range(p)]).alias("z"), F.array(F.col(f"mu{p}"), F.col(f"sd{p}")).alias("back"))
-
-    def run_batch(pdf: pd.DataFrame) -> pd.DataFrame:
-        predictions = []
-        for s, z, back in zip(pdf["s"], pdf["z"], pdf["back"], strict=True):
-            g = np.zeros((p + 2, p + 2))
-            for (i, j), v in zip(pairs, s, strict=True):
-                g[i, j] = g[j, i] = v
-            n = g[0, 0]
-            cross, mean = g[1:, 1:] - np.outer(g[0, 1:], g[0, 1:]) / n, g[0, 1:] / n
-            beta = _solve(cross)
-            predictions.append(float((mean[-1] + beta @ (np.array(z) - mean[:-1])) * back[1] + back[0]))
-        return pdf[[*keys, "day", "y"]].assign(y_pred=predictions)
-
-    kinds = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys)
-    return asked.mapInPandas(lambda batches: map(run_batch, batches), f"{kinds}, day date, y double, y_pred double")
+def rolling_forecast(rows: DataFrame, keys: list[str], x: list[str], window: int | str | None, refit: int = 1, embargo: int | Column = 0) -> DataFrame:
+    """(keys, day, y, y_pred): one forecast per test row from least squares on its window; see
+    ``rolling.rolling_models``."""
+    return rolling_models(rows, keys, {"OLS": x}, window, refit, embargo).drop("model")
 
 
 def coefficient_table(rows: DataFrame, keys: list[str], x: list[str]) -> DataFrame:

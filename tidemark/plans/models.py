@@ -187,21 +187,108 @@ SELECT t.instrument, t.horizon, CAST(t.day AS VARCHAR) AS day, round(t.y, 4) AS
 )
 
 
-def linear_panel(rows: DataFrame, models: list[str], keys: list[str]) -> DataFrame:
-    """Test forecasts from train and val, val forecasts from train alone: (keys, day, split, model, y, y_pred)."""
-    out = []
-    for split, fit in (("test", rows.where("split <> 'test'")), ("val", rows.where("split = 'train'"))):
-        out += [linear.forecast(fit, rows.where(F.col("split") == split), keys, m).withColumn("split", F.lit(split)) for m in models]
-    return reduce(DataFrame.unionByName, out)
+# --- the whole HAR family ------------------------------------------------------------------------
+
+NARROW = list(dict.fromkeys(c for x in linear.MODELS.values() for c in x))
+_LOGGED = [f"l_{c}" for c in [*HAR, "y"]]
+_logs = lambda source: f"SELECT *, {', '.join(f'ln(greatest({c[2:]}, 1e-16)) AS {c}' for c in _LOGGED)} FROM {source}"
+
+
+def _centred(columns: list[str], of: str = "") -> str:
+    """Moments of a group of rows: count, means, centred products, ends of the target."""
+    pairs = [f"covar_pop({of}{a}, {of}{b}) AS v_{a}_{b}" for i, a in enumerate(columns) for b in columns[i:]]
+    return ", ".join(["count(*) AS nn", f"min({of}y) AS lo", f"max({of}y) AS hi", *[f"avg({of}{c}) AS m_{c}" for c in columns], *pairs])
+
+
+def _solved(tag: str, source: str, columns: list[str], keys: str, x: list[str], y: str = "y") -> str:
+    """Least squares of y on x from the moments in ``source``, by elimination: the table cf{tag}."""
+    p, own, place = len(x), [*x, y], {c: i for i, c in enumerate(columns)}
+    told = lambda a, b: f"v_{a}_{b}" if place[a] <= place[b] else f"v_{b}_{a}"
+    steps = [f"e{tag}_0 AS (SELECT {keys}, nn, lo, hi, {', '.join(f'm_{c} AS m{i}' for i, c in enumerate(own))}, {', '.join(f'{told(own[i], own[j])} AS a{i}_{j}' for i in range(p + 1) for j in range(i, p + 1))} FROM {source})"]
+    for k in range(p):
+        steps.append(f"e{tag}_{k + 1} AS (SELECT * REPLACE ({', '.join(f'a{i}_{j} - a{k}_{i} * a{k}_{j} / a{k}_{k} AS a{i}_{j}' for i in range(k + 1, p + 1) for j in range(i, p + 1))}) FROM e{tag}_{k})")
+    before = f"e{tag}_{p}"
+    for i in reversed(range(p)):
+        less = "".join(f" - a{i}_{j} * b{j}" for j in range(i + 1, p))
+        steps.append(f"f{tag}_{i} AS (SELECT *, (a{i}_{p}{less}) / a{i}_{i} AS b{i} FROM {before})")
+        before = f"f{tag}_{i}"
+    start = f"m{p}" + "".join(f" - b{i} * m{i}" for i in range(p))
+    return ", ".join([*steps, f"cf{tag} AS (SELECT *, {start} AS i0, a{p}_{p} * nn / (nn - {p + 1}) AS s2 FROM {before})"])
+
+
+def _family(source: str, moments: str, columns: list[str], keys: str, models: dict[str, list[str]], ask: str, name: str, tag: str = "") -> str:
+    """Forecasts of all models from the moments of each key, in the table ``name``."""
+    fits, parts = [], []
+    on = " AND ".join(f"c.{k.strip()} = t.{k.strip()}" for k in keys.split(","))
+    for i, (model, x) in enumerate(models.items()):
+        own = [f"l_{c}" for c in x] if model == "LogHAR" else x
+        fits.append(_solved(f"{tag}{i}", moments, columns, keys, own, "l_y" if model == "LogHAR" else "y"))
+        line = "i0" + "".join(f" + b{j} * t.{c}" for j, c in enumerate(own))
+        guess = {"LogHAR": f"exp({line} + s2 / 2)", "HARQ": f"least(greatest({line}, lo), hi)"}.get(model, line)
+        parts.append(f"SELECT t.*, '{model}' AS model, {guess} AS y_pred FROM {source} t JOIN cf{tag}{i} c ON {on} WHERE {ask}")
+    return f"{', '.join(fits)}, {name} AS ({' UNION ALL BY NAME '.join(parts)})"
+
+
+def _rolled_family(rows: str, columns: list[str], models: dict[str, list[str]], embargo: str = "0") -> str:
+    """The same on windows as long as train and val, refitted each day: the table fr."""
+    window = f"h.rn BETWEEN t.rn - nf - ({embargo}) AND t.rn - 1 - ({embargo})"
+    moments = f"""nf AS (SELECT instrument, horizon, count(*) AS nf FROM {rows} WHERE split <> 'test' GROUP BY 1, 2),
+mr AS MATERIALIZED (SELECT t.instrument, t.horizon, t.day, {_centred(columns, "h.")} FROM {rows} t JOIN nf ON nf.instrument = t.instrument AND nf.horizon = t.horizon
+  JOIN {rows} h ON h.instrument = t.instrument AND h.horizon = t.horizon AND {window} WHERE t.split = 'test' GROUP BY 1, 2, 3)"""
+    return f"{moments}, {_family(rows, 'mr', columns, 'instrument, horizon, day', models, 't.split = ' + chr(39) + 'test' + chr(39), 'fr', 'r')}"
+
+
+_FAMILY = linear.FAMILY
+_NARROW = [*NARROW, *_LOGGED, "y"]
+_LG = f", lg AS ({_logs('splitted')}), "
+_FORECASTS = f"SELECT instrument, horizon, {DAY}, model, round(y, 4) AS y, round(y_pred, 4) AS y_pred FROM fr"
+
+
+def rolling_family(s: SparkSession, d: str, embargo: bool = False) -> DataFrame:
+    return linear.rolling_models(split_features(s, d), KEYS, _FAMILY, embargo=F.col("horizon") - 1 if embargo else 0)
+
+
+register("g21_rolling_har_family", rolling_family, _LG + _rolled_family("lg", _NARROW, _FAMILY) + _FORECASTS, 4)
+register("g21_rolling_har_embargo", lambda s, d: rolling_family(s, d, True), _LG + _rolled_family("lg", _NARROW, _FAMILY, "t.horizon - 1") + _FORECASTS, 4)
+
+# the wide set at all horizons; of the two equal columns SQL keeps one
+_WIDE_X = [c for c in linear.WIDE if c != "vix_lag"]
+_WIDE_ALL = WIDE.replace("wide AS (SELECT w1.instrument, w1.day,", "wide AS (SELECT w1.instrument, w1.day, f.horizon,").replace(" AND f.horizon = 1", "")
+_WIDE_ALL += f""", wp AS (SELECT *, row_number() OVER (PARTITION BY instrument, horizon ORDER BY day) AS rn, count(*) OVER (PARTITION BY instrument, horizon) AS n FROM wide),
+wl AS (SELECT *, CASE WHEN rn <= floor(CAST(n AS DOUBLE) * CAST(0.7 AS DOUBLE)) THEN 'train' WHEN rn <= floor(CAST(n AS DOUBLE) * CAST(0.7 AS DOUBLE)) + floor(CAST(n AS DOUBLE) * CAST(0.1 AS DOUBLE)) THEN 'val' ELSE 'test' END AS split FROM wp), """
+
+
+def rolling_wide(s: SparkSession, d: str) -> DataFrame:
+    return linear.rolling_models(split_features(s, d, wide=True), KEYS, {"HAR-X": linear.WIDE})
+
+
+register("g21_rolling_har_x", rolling_wide, _WIDE_ALL + _rolled_family("wl", [*_WIDE_X, "y"], {"HAR-X": _WIDE_X}) + _FORECASTS.replace(", 4)", ", 3)"), 3)
+
+
+def linear_panel(rows: DataFrame, models: dict[str, list[str]], keys: list[str]) -> DataFrame:
+    """Test forecasts refitted each day on a window as long as train and val, val forecasts from train
+    alone: (keys, day, split, model, y, y_pred)."""
+    test = linear.rolling_models(rows, keys, models).withColumn("split", F.lit("test"))
+    return test.unionByName(linear.fixed_models(rows, keys, models).where("split = 'val'"))
 
 
 def g23(s: SparkSession, d: str) -> DataFrame:
-    """The lag models of all horizons, with their validation forecasts."""
-    return L.mean_losses(linear_panel(split_features(s, d), ["HAR", "LogHAR"], KEYS), [*KEYS, "split", "model"], "mse")
+    """The lag models of all horizons on the short set and the wide model, with their validation forecasts."""
+    panel = linear_panel(split_features(s, d), _FAMILY, KEYS).unionByName(linear_panel(split_features(s, d, wide=True), {"HAR-X": linear.WIDE}, KEYS))
+    return L.mean_losses(panel, [*KEYS, "split", "model"], "mse")
+
+
+def _fixed_family(rows: str, fit: str, ask: str, name: str, tag: str, columns: list[str] = _NARROW, models: dict[str, list[str]] = _FAMILY, keys: str = "instrument, horizon") -> str:
+    return f"mf{tag} AS (SELECT {keys}, {_centred(columns)} FROM {rows} WHERE {fit} GROUP BY ALL), {_family(rows, f'mf{tag}', columns, keys, models, ask, name, tag)}"
 
 
-register("g23_linear_panel", g23, f"""{_two_models("split <> 'test'", "split = 'test'", "instrument, horizon")}{_two_models("split = 'train'", "split = 'val'", "instrument, horizon", tag="v")}
-SELECT instrument, horizon, split, model, 'mse' AS loss, round(avg((y - y_pred) * (y - y_pred)), 3) AS value FROM (SELECT * FROM fz UNION ALL SELECT * FROM fzv) GROUP BY 1, 2, 3, 4""", 3)
+_MSE = "'mse' AS loss, round(avg((y - y_pred) * (y - y_pred)), 3) AS value"
+_PARTS = ("split = 'train'", "t.split = 'val'"), ("split <> 'test'", "t.split = 'test'")
+_told = lambda t: f"SELECT instrument, horizon, split, model, y, y_pred FROM {t}"
+register("g23_linear_panel", g23, f"""{_LG}{_rolled_family("lg", _NARROW, _FAMILY)}, {_fixed_family("lg", *_PARTS[0], "fv", "v")}{_WIDE_ALL.rstrip(", ")},
+{_rolled_family("wl", [*_WIDE_X, "y"], {"HAR-X": _WIDE_X}).replace("nf AS", "nfx AS").replace("JOIN nf ON nf.", "JOIN nfx AS nf ON nf.").replace("mr AS", "mrx AS").replace("FROM mr)", "FROM mrx)").replace("er0", "ex0").replace("fr0", "fx0").replace("cfr0", "cfx0").replace("fr AS", "frx AS")},
+{_fixed_family("wl", *_PARTS[0], "fvx", "vx", [*_WIDE_X, "y"], {"HAR-X": _WIDE_X})}
+SELECT instrument, horizon, split, model, {_MSE} FROM ({" UNION ALL ".join(map(_told, ("fr", "fv", "frx", "fvx")))}) GROUP BY 1, 2, 3, 4""", 3)
 
 
 def panel_forecasts(rows: DataFrame) -> DataFrame:
@@ -210,7 +297,7 @@ def panel_forecasts(rows: DataFrame) -> DataFrame:
     refit on train and val, networks are trained on train."""
     train, val, rest = rows.where("split = 'train'"), rows.where("split = 'val'"), rows.where("split <> 'train'")
     columns = [*KEYS, "day", "split", "model", "y", "y_pred"]
-    made = [linear_panel(rows, ["HAR", "LogHAR", "LevHAR", "SHAR", "HARQ"], KEYS)]
+    made = [linear_panel(rows, _FAMILY, KEYS)]
     split_of = rest.select(*KEYS, "day", "split")
     for kind in linear.PENALISED:
         made.append(linear.penalised_forecast(train, val, rest, KEYS, HAR, kind, GRID, SHARES if kind == "EN" else (1.0,)).join(split_of, [*KEYS, "day"]))
@@ -229,28 +316,32 @@ register("g23_panel_run", g23_all)
 
 
 def g24(s: SparkSession, d: str) -> DataFrame:
-    """The date split, fixed window, with validation forecasts."""
-    rows = splits.by_date(features(s, d), KEYS, "1997-12-31", "1998-06-30")
-    return L.mean_losses(linear_panel(rows, ["HAR", "LogHAR"], KEYS), [*KEYS, "split", "model"], "mse")
+    """The date split, fixed window, with validation forecasts: the lag models and the wide model."""
+    dated = lambda wide: splits.by_date(features(s, d, wide=wide), KEYS, "1997-12-31", "1998-06-30")
+    panel = linear.fixed_models(dated(False), KEYS, _FAMILY).unionByName(linear.fixed_models(dated(True), KEYS, {"HAR-X": linear.WIDE}))
+    return L.mean_losses(panel, [*KEYS, "split", "model"], "mse")
 
 
-_DATED = ", ds AS (SELECT *, CASE WHEN day <= DATE '1997-12-31' THEN 'train' WHEN day <= DATE '1998-06-30' THEN 'val' ELSE 'test' END AS split FROM feats)"
-register("g24_date_split_run", g24, f"""{_DATED}{_two_models("split <> 'test'", "split = 'test'", "instrument, horizon", "ds")}{_two_models("split = 'train'", "split = 'val'", "instrument, horizon", "ds", "v")}
-SELECT instrument, horizon, split, model, 'mse' AS loss, round(avg((y - y_pred) * (y - y_pred)), 3) AS value FROM (SELECT * FROM fz UNION ALL SELECT * FROM fzv) GROUP BY 1, 2, 3, 4""", 3)
+_BY_DATE = "CASE WHEN day <= DATE '1997-12-31' THEN 'train' WHEN day <= DATE '1998-06-30' THEN 'val' ELSE 'test' END AS split"
+_X = [*_WIDE_X, "y"], {"HAR-X": _WIDE_X}
+register("g24_date_split_run", g24, f"""{_WIDE_ALL.rstrip(", ")}, lg AS (SELECT *, {_BY_DATE} FROM ({_logs('feats')})), wd AS (SELECT *, {_BY_DATE} FROM wide),
+{", ".join([_fixed_family("lg", *p, f"fz{i}", f"z{i}") for i, p in enumerate(_PARTS)])}, {", ".join([_fixed_family("wd", *p, f"fy{i}", f"y{i}", *_X) for i, p in enumerate(_PARTS)])}
+SELECT instrument, horizon, split, model, {_MSE} FROM ({" UNION ALL ".join(map(_told, ("fz0", "fz1", "fy0", "fy1")))}) GROUP BY 1, 2, 3, 4""", 3)
 
 
 def g25(s: SparkSession, d: str) -> DataFrame:
-    """Training sizes and horizons as grouping columns of a single job."""
+    """Training sizes and horizons as grouping columns of a single job, all lag models."""
     sized = features(s, d).withColumn("size", F.explode(F.array(*[F.lit(n) for n in (800, 1000, 1200, 1500)])))
     keys = [*KEYS, "size"]
     w = Window.partitionBy(*keys)
     placed = sized.withColumn("rn", F.row_number().over(w.orderBy("day"))).withColumn("n", F.count("*").over(w)).where("n > size + 200")
-    train, test = placed.where("rn <= size + 200"), placed.where("rn > size + 200")
-    return L.mean_losses(reduce(DataFrame.unionByName, [linear.forecast(train, test, keys, m) for m in ("HAR", "LogHAR")]), [*keys, "model"], "mse")
+    split = F.when(F.col("rn") <= F.col("size"), "train").when(F.col("rn") <= F.col("size") + 200, "val").otherwise("test")
+    return L.mean_losses(linear.fixed_models(placed.withColumn("split", split), keys, _FAMILY).where("split = 'test'"), [*keys, "model"], "mse")
 
 
-register("g25_training_sizes", g25, f""", sz AS (SELECT p.*, z.size, CASE WHEN rn <= z.size + 200 THEN 'train' ELSE 'test' END AS split FROM placed p, (SELECT unnest([800, 1000, 1200, 1500]) AS size) z WHERE n > z.size + 200)
-{_two_models("split = 'train'", "split = 'test'", "instrument, horizon, size", "sz")} SELECT instrument, horizon, size, model, 'mse' AS loss, round(avg((y - y_pred) * (y - y_pred)), 3) AS value FROM fz GROUP BY 1, 2, 3, 4""", 3)
+register("g25_training_sizes", g25, f""", sz AS (SELECT p.*, z.size, CASE WHEN rn <= z.size + 200 THEN 'fit' ELSE 'test' END AS split FROM placed p, (SELECT unnest([800, 1000, 1200, 1500]) AS size) z WHERE n > z.size + 200),
+lg AS ({_logs('sz')}), {_fixed_family("lg", "split = 'fit'", "t.split = 'test'", "fz", "s", keys="instrument, horizon, size")}
+SELECT instrument, horizon, size, model, {_MSE} FROM fz GROUP BY 1, 2, 3, 4""", 3)
 
 
 def g26(s: SparkSession, d: str) -> DataFrame:
@@ -335,9 +426,28 @@ cf AS (SELECT instrument, measure, regr_intercept(y, rvw) AS i0, regr_slope(y, r
 er AS (SELECT t.instrument, t.measure, avg(pow(y - i0 - b0 * rvw, 2)) AS e FROM ms t JOIN cf ON cf.instrument = t.instrument AND cf.measure = t.measure WHERE horizon = 1 AND split = 'test' GROUP BY 1, 2),
 wd AS (SELECT instrument, {", ".join(f"max(CASE WHEN measure = '{m}' THEN e END) AS {m}" for m in ("rv_1", "rk_1", "rv_2", "rk_2"))} FROM er GROUP BY 1)
 SELECT instrument, {", ".join(f"round({m}, 3) AS {m}" for m in ("rv_1", "rk_1", "rv_2", "rk_2"))}, round(rv_1 / rv_2, 3) AS freq_effect, round(rk_2 / rv_2, 3) AS estimator_effect, round(rk_1 / rv_1, 3) AS kernel_helps, round(rk_1 / rv_2, 3) AS combined FROM wd""", 3)
-register("g29_coefficients", lambda s, d: linear.coefficient_table(features(s, d, [1]), KEYS, ["rvw"]), """, f AS (SELECT instrument, regr_intercept(y, rvw) AS i0, regr_slope(y, rvw) AS b0, avg(rvw) AS mx, regr_sxx(y, rvw) AS sxx, sum(rvw * rvw) AS sq, count(*) AS n FROM feats WHERE horizon = 1 GROUP BY 1),
-m AS (SELECT s.instrument, sum(pow(y - i0 - b0 * rvw, 2) * pow(rvw - mx, 2)) AS sb, sum(pow(y - i0 - b0 * rvw, 2) * pow(sq - n * mx * rvw, 2)) AS sa FROM feats s JOIN f ON f.instrument = s.instrument WHERE horizon = 1 GROUP BY 1)
-SELECT f.instrument, 1 AS horizon, 'rvw' AS term, round(b0, 3) AS coefficient, round(b0 * sxx / sqrt(sb), 3) AS robust_t FROM f JOIN m ON m.instrument = f.instrument UNION ALL SELECT f.instrument, 1, 'const', round(i0, 3), round(i0 * n * sxx / sqrt(sa), 3) FROM f JOIN m ON m.instrument = f.instrument""", 3)
+def g29(s: SparkSession, d: str) -> DataFrame:
+    """In-sample (train and val) coefficients of the lag model and the wide one, without its second copy of the index."""
+    rows = split_features(s, d, wide=True).where("split <> 'test'")
+    return reduce(DataFrame.unionByName, [linear.coefficient_table(rows, KEYS, x).withColumn("model", F.lit(m)) for m, x in (("HAR", HAR), ("HAR-X", _WIDE_X))])
+
+
+def _robust(tag: str, model: str, x: list[str]) -> str:
+    """Each regressor's residual on the others gives its coefficient and its robust error."""
+    keys, columns = "instrument, horizon", [*_WIDE_X, "y"]
+    line = lambda t, cols: f"{t}.i0" + "".join(f" + {t}.b{j} * r.{c}" for j, c in enumerate(cols))
+    out = [_solved(f"{tag}m", "mi", columns, keys, x), f"u{tag} AS (SELECT r.*, y - ({line('c', x)}) AS u FROM wi r JOIN cf{tag}m c ON c.instrument = r.instrument AND c.horizon = r.horizon)"]
+    parts = []
+    for i, c in enumerate(x):
+        others = [o for o in x if o != c]
+        out.append(_solved(f"{tag}{i}", "mi", columns, keys, others, c))
+        parts.append(f"SELECT r.instrument, r.horizon, '{c}' AS term, r.u, r.y, r.{c} - ({line('c', others)}) AS e FROM u{tag} r JOIN cf{tag}{i} c ON c.instrument = r.instrument AND c.horizon = r.horizon")
+    out.append(f"t{tag} AS (SELECT instrument, horizon, '{model}' AS model, term, sum(e * y) / sum(e * e) AS coefficient, sum(e * y) / sqrt(sum(u * u * e * e)) AS robust_t FROM ({' UNION ALL '.join(parts)}) GROUP BY 1, 2, 4)")
+    return ", ".join(out)
+
+
+register("g29_coefficients", lambda s, d: g29(s, d).where("term <> 'const'").withColumn("robust_t", F.round("robust_t", 3)), f"""{_WIDE_ALL}wi AS (SELECT * FROM wl WHERE split <> 'test'), mi AS (SELECT instrument, horizon, {_centred([*_WIDE_X, "y"])} FROM wi GROUP BY 1, 2),
+{_robust("h", "HAR", HAR)}, {_robust("x", "HAR-X", _WIDE_X)} SELECT instrument, horizon, model, term, round(coefficient, 6) + 0 AS coefficient, round(robust_t, 3) + 0 AS robust_t FROM (SELECT * FROM th UNION ALL SELECT * FROM tx)""", 6)
 
 # --- explanations --------------------------------------------------------------------------------
 
