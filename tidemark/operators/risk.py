@@ -5,14 +5,11 @@ Input rows: keys, day, ret, rv (realised), rv_hat (forecast), ``seed`` (true on
 
 from __future__ import annotations
 
-from bisect import insort
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tidemark.functions.tails import chi1_p
+from tidemark.operators import order_stats
 
 TINY = 1e-12
 
@@ -32,29 +29,18 @@ def fixed_quantile(rows: DataFrame, keys: list[str], alpha: float, realised: boo
 
 def expanding_quantile(rows: DataFrame, keys: list[str], alpha: float, realised: bool = True, least: int = 50, every: int = 1) -> DataFrame:
     """As ``fixed_quantile``, with all scaled returns strictly before the day; recalibrated every
-    ``every`` test days and carried forward in between. A group is one series of days, as long as its
-    calendar; its past is kept sorted, so that a quantile is read off, not computed anew."""
-    z = _scaled(rows, realised)
-    z = z.withColumn("n_seed", F.sum(F.col("seed").cast("int")).over(Window.partitionBy(*keys))).where(F.col("n_seed") >= least)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("day")
-        past: list[float] = []
-        found, now, k = [], None, 0
-        for value, seed in zip(pdf["z"].tolist(), pdf["seed"].tolist(), strict=True):
-            if not seed:
-                if k % every == 0 and past:
-                    at = alpha * (len(past) - 1)
-                    low = past[int(at)]
-                    now = low + (past[min(int(at) + 1, len(past) - 1)] - low) * (at - int(at))
-                k += 1
-            found.append(now)
-            if value == value:
-                insort(past, value)
-        return pdf.assign(q=pd.array(found, "Float64").astype(float))
-
-    schema = T.StructType([*z.schema.fields, T.StructField("q", T.DoubleType())])
-    return _judged(z.groupBy(*keys).applyInPandas(run, schema).where("not seed"), alpha)
+    ``every`` test days and carried forward in between. Series may be of any length: their order
+    statistics come from blocks of days and of ranks, see ``order_stats``."""
+    z = order_stats.place(_scaled(rows, realised), keys, ["day"], "t", {"k": ~F.col("seed"), "n_seed": F.col("seed")})
+    z = z.where(F.col("n_seed_n") >= least)
+    q = order_stats.running_quantiles(z, keys, "z", ~F.col("seed") & (F.col("k") % every == 0), alpha)
+    asked = z.where(~F.col("seed")).withColumn("at", F.col("t"))
+    if every > 1:  # a row takes the answer of the last recalibration before it
+        told = z.where(~F.col("seed") & (F.col("k") % every == 0)).select(*keys, F.col("k").alias("at"), "t").join(q, [*keys, "t"], "left").drop("t")
+        asked = asked.withColumn("at", F.col("k") - F.col("k") % every)
+    else:
+        told = q.withColumnRenamed("t", "at")
+    return _judged(asked.join(told, [*keys, "at"], "left").drop("at", "t", "t_n", "k", "k_n", "n_seed_n"), alpha)
 
 
 def _judged(rows: DataFrame, alpha: float) -> DataFrame:
