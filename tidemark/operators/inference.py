@@ -1,18 +1,24 @@
 """Equal-accuracy tests, multiple testing, block bootstrap, confidence sets, efficiency regressions.
 
 Series are long tables with keys, ``rn`` (place from 1 without gaps) and values; keys may be as many
-as there are instruments x models. Lags are joins on ``rn``, not driver loops.
+as there are instruments x models. Products with the past are made in blocks, see ``lagged``.
 """
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions.tails import student_p
+from tidemark.operators import lagged
+from tidemark.operators.spread import dealt
+from tidemark.storage import cut
 
 
 def lag_order(n: Column) -> Column:
@@ -25,32 +31,57 @@ def placed(rows: DataFrame, keys: list[str], order: str = "day") -> DataFrame:
 
 def long_run_variance(series: DataFrame, keys: list[str], value: str) -> DataFrame:
     """(keys, n, mean, lrv): Bartlett-weighted, divided by n, not below zero."""
-    w = Window.partitionBy(*keys)
-    centred = series.select(*keys, "rn", F.col(value).alias("x"), F.avg(value).over(w).alias("mean"), F.count(value).over(w).alias("n"))
-    centred = centred.withColumn("e", F.col("x") - F.col("mean")).withColumn("lags", lag_order(F.col("n")))
-    # each row meets its own past: k = 0..L rows back
-    late = centred.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("lags")))).withColumn("at", F.col("rn") - F.col("k"))
-    early = centred.select(*keys, F.col("rn").alias("at"), F.col("e").alias("e_back"))
-    weight = F.when(F.col("k") == 0, 1.0).otherwise(2 * (1 - F.col("k") / (F.col("lags") + 1)))
-    return (
-        late.join(early, [*keys, "at"])
-        .groupBy(*keys)
-        .agg(F.first("n").alias("n"), F.first("mean").alias("mean"), F.greatest(F.sum(weight * F.col("e") * F.col("e_back")) / F.first("n"), F.lit(0.0)).alias("lrv"))
-    )
+    series = cut(series.select(*keys, "rn", value))  # read twice
+    stats = series.groupBy(*keys).agg(F.count(value).alias("n"), F.avg(value).alias("mean"))
+    centred = series.select(*keys, "rn", F.col(value).alias("x")).join(stats, keys).withColumn("e", F.array(F.col("x") - F.col("mean")))
+    sums = lagged.weighted(centred, keys, F.col("e"), lag_order(F.col("n")))
+    return stats.join(sums, keys).select(*keys, "n", "mean", F.greatest(F.col("s")[0] / F.col("n"), F.lit(0.0)).alias("lrv"))
 
 
 def diebold_mariano(pairs: DataFrame, keys: list[str], horizon: int = 1, small_sample: bool = True, side: str = "less") -> DataFrame:
     """(keys, n, dm, p_value) for pairs with ``rn``, ``loss_a`` and ``loss_b``: negative when a is
     better. Null where the long-run variance is zero."""
     series = pairs.withColumn("d", F.col("loss_a") - F.col("loss_b"))
-    stats = long_run_variance(series, keys, "d")
-    n, h = F.col("n"), horizon
+    return _tested(long_run_variance(series, keys, "d"), horizon, small_sample, side)
+
+
+def _tested(stats: DataFrame, h: int, small_sample: bool, side: str) -> DataFrame:
+    """Add ``dm`` and ``p_value`` to n, mean and lrv."""
+    n = F.col("n")
     dm = F.when(F.col("lrv") > 0, F.col("mean") / F.sqrt(F.col("lrv") / n))
     if small_sample:
         dm = dm * F.sqrt((n + 1 - 2 * h + h * (h - 1) / n) / n)
     return stats.withColumn("dm", dm).withColumn("p_value", student_p("dm", (n - 1 if small_sample else F.lit(0)).cast("double"), F.lit(side)))
 
 
+def pairwise_tests(losses: DataFrame, keys: list[str], loss: str, baseline: str | None = None, horizon: int = 1, small_sample: bool = True, side: str = "less") -> DataFrame:
+    """(keys, a, b, n, mean, lrv, dm, p_value) for all ordered pairs of a run's models, or of all with a
+    baseline, over the days that all of the run's models have.
+
+    A day is one row with the vector of its losses. The variance of the difference of i and j follows
+    from the run's matrix of weighted lagged products as S_ii + S_jj - S_ij - S_ji, so pairs are made
+    of matrix cells, never of days. Every model has one loss a day."""
+    pair = F.struct(F.col("model").alias("m"), F.col(loss).alias("x"))
+    days = losses.groupBy(*keys, "day").agg(F.sort_array(F.collect_list(pair)).alias("v"))
+    days = days.withColumn("most", F.max(F.size("v")).over(Window.partitionBy(*keys))).where(F.size("v") == F.col("most"))
+    days = cut(placed(days.select(*keys, "day", F.col("v.m").alias("models"), F.col("v.x").alias("x")), keys))
+    pos = days.select(*keys, F.posexplode("x").alias("i", "x")).groupBy(*keys, "i").agg(F.avg("x").alias("mean"), F.count("*").alias("n"))
+    stats = pos.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "mean"))), lambda p: p["mean"]).alias("mean"), F.max("n").alias("n"))
+    named = days.where("rn = 1").select(*keys, "models")
+    centred = days.join(stats, keys).withColumn("e", F.zip_with("x", "mean", lambda x, m: x - m))
+    sums = lagged.weighted(centred, keys, F.col("e"), lag_order(F.col("n"))).join(stats, keys).join(named, keys)
+    k, at = F.size("models"), F.sequence(F.lit(0), F.size("models") - 1)
+    cell = lambda i, j: F.get("s", F.col(i) * k + F.col(j))
+    pairs = sums.withColumn("i", F.explode(at)).withColumn("j", F.explode(at)).where("i <> j")
+    pairs = pairs.select(
+        *keys, F.get("models", F.col("i")).alias("a"), F.get("models", F.col("j")).alias("b"), "n", (F.get("mean", F.col("i")) - F.get("mean", F.col("j"))).alias("mean"),
+        F.greatest((cell("i", "i") + cell("j", "j") - cell("i", "j") - cell("j", "i")) / F.col("n"), F.lit(0.0)).alias("lrv"),
+    )
+    if baseline is not None:
+        pairs = pairs.where(F.col("b") == baseline)
+    return _tested(pairs, horizon, small_sample, side)
+
+
 def model_pairs(losses: DataFrame, keys: list[str], loss: str, baseline: str | None = None) -> DataFrame:
     """Loss pairs (keys, a, b, day, loss_a, loss_b) of different models, or of all with a baseline."""
     a = losses.select(*keys, "day", F.col("model").alias("a"), F.col(loss).alias("loss_a"))
@@ -85,28 +116,36 @@ def rejections(tested: DataFrame, by: list[str], alpha: float = 0.05) -> DataFra
 A, C, M = 1103515245, 12345, 1 << 31
 
 
-def block_length(n: Column) -> Column:
-    return F.greatest(F.lit(1), F.round(F.pow(n, F.lit(1 / 3))).cast("int"))
+#: Draws that a task row makes.
+DRAW_BATCH = 500
 
 
 def bootstrap_means(series: DataFrame, keys: list[str], values: list[str], draws: int, seed: int = 42) -> DataFrame:
-    """(keys, draw, <value>_mean...): moving-block means. Blocks are differences of prefix sums, so a
-    draw costs n / block rows, not n; starts come from a linear congruence of (draw, block)."""
-    w = Window.partitionBy(*keys)
-    run = w.orderBy("rn").rowsBetween(Window.unboundedPreceding, 0)
-    sums = series.select(*keys, "rn", *[F.sum(v).over(run).alias(f"s_{v}") for v in values])
-    zero = series.select(*keys).distinct().withColumns({"rn": F.lit(0), **{f"s_{v}": F.lit(0.0) for v in values}})
-    sums = sums.unionByName(zero)
-    sizes = series.groupBy(*keys).agg(F.count("*").alias("n")).withColumn("len", block_length(F.col("n"))).withColumn("blocks", F.ceil(F.col("n") / F.col("len")).cast("int"))
-    plan = sizes.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    mixed = F.pmod(F.lit(A) * (F.col("draw").cast("long") * 1009 + F.col("block") + seed) + C, F.lit(M))
-    mixed = F.pmod(F.lit(A) * mixed + C, F.lit(M))
-    start = F.pmod(F.floor(mixed / 65536), F.col("n") - F.col("len") + 1)
-    took = F.least("len", F.col("n") - F.col("block") * F.col("len"))  # the last block is cut to n
-    plan = plan.withColumn("lo", start).withColumn("hi", start + took)
-    ends = lambda name: sums.select(*keys, F.col("rn").cast("long").alias(name), *[F.col(f"s_{v}").alias(f"{name}_{v}") for v in values])
-    parts = plan.join(ends("lo"), [*keys, "lo"]).join(ends("hi"), [*keys, "hi"])
-    return parts.groupBy(*keys, "draw").agg(*[(F.sum(F.col(f"hi_{v}") - F.col(f"lo_{v}")) / F.first("n")).alias(f"{v}_mean") for v in values])
+    """(keys, draw, <value>_mean...): moving-block means. A series' prefix sums are one row, of a number
+    a day; draws are dealt out, ``DRAW_BATCH`` to a row, and a block's sum is the difference of two
+    places of that row. Starts come from a linear congruence of (draw, block)."""
+    packed = series.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("rn", *[F.col(v).cast("double").alias(f"v{i}") for i, v in enumerate(values)]))).alias("rows"))
+    packed = cut(packed.select(*keys, *[F.col(f"rows.v{i}").alias(f"v{i}") for i in range(len(values))]))
+    batches = -(-draws // DRAW_BATCH)
+    tasks = dealt(packed.withColumn("batch", F.explode(F.sequence(F.lit(0), F.lit(batches - 1)))), packed.count() * batches)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for r in pdf.itertuples():
+            sums = [np.append(0.0, np.cumsum(np.asarray(getattr(r, f"v{i}"), float))) for i in range(len(values))]
+            n = len(sums[0]) - 1
+            size = max(1, math.floor(n ** (1 / 3) + 0.5))
+            draw = np.arange(r.batch * DRAW_BATCH, min((r.batch + 1) * DRAW_BATCH, draws), dtype=np.int64)
+            block = np.arange(-(-n // size), dtype=np.int64)
+            mixed = (A * (draw[:, None] * 1009 + block + seed) + C) % M
+            lo = (A * mixed + C) % M // 65536 % (n - size + 1)
+            hi = lo + np.minimum(size, n - block * size)  # the last block is cut to n
+            own = {k: [getattr(r, k)] * len(draw) for k in keys}
+            out.append(pd.DataFrame({**own, "draw": draw.astype(np.int32), **{f"{v}_mean": (x[hi] - x[lo]).sum(1) / n for v, x in zip(values, sums, strict=True)}}))
+        return pd.concat(out) if out else pd.DataFrame({f.name: [] for f in schema.fields})
+
+    schema = T.StructType([*[packed.schema[k] for k in keys], T.StructField("draw", T.IntegerType()), *[T.StructField(f"{v}_mean", T.DoubleType()) for v in values]])
+    return tasks.mapInPandas(lambda batches: map(run, batches), schema)
 
 
 def interval(means: DataFrame, keys: list[str], value: Column, alpha: float = 0.05) -> DataFrame:
@@ -213,14 +252,8 @@ def mincer_zarnowitz(forecasts: DataFrame, keys: list[str]) -> DataFrame:
         F.stddev_pop(y).alias("sy"), F.stddev_pop(p).alias("sdp"), F.corr(y, p).alias("rho"), F.avg((y - p) * (y - p)).alias("mse"),
     )
     scored = rows.join(fit, keys).withColumn("e", y - F.col("a") - F.col("b") * p)
-    late = scored.select(*keys, "rn", "n", F.col("e").alias("g0"), (F.col("e") * p).alias("g1")).withColumn("k", F.explode(F.sequence(F.lit(0), lag_order(F.col("n"))))).withColumn("at", F.col("rn") - F.col("k"))
-    early = scored.select(*keys, F.col("rn").alias("at"), F.col("e").alias("h0"), (F.col("e") * p).alias("h1"))
-    weight = F.when(F.col("k") == 0, 1.0).otherwise(1 - F.col("k") / (lag_order(F.col("n")) + 1))
-    both = F.when(F.col("k") == 0, 1.0).otherwise(2.0)
-    cross = F.when(F.col("k") == 0, F.col("g0") * F.col("h1")).otherwise(F.col("g0") * F.col("h1") + F.col("h0") * F.col("g1"))
-    s = late.join(early, [*keys, "at"]).groupBy(*keys).agg(
-        F.sum(weight * both * F.col("g0") * F.col("h0")).alias("s00"), F.sum(weight * cross).alias("s01"), F.sum(weight * both * F.col("g1") * F.col("h1")).alias("s11")
-    )
+    sums = lagged.weighted(scored, keys, F.array("e", F.col("e") * p), lag_order(F.col("n")))
+    s = sums.select(*keys, *[F.col("s")[i].alias(c) for i, c in ((0, "s00"), (1, "s01"), (3, "s11"))])
     row = fit.join(s, keys)
     # Wald = q' (X'X) S^-1 (X'X) q for q = (a, b - 1)
     u0 = F.col("n") * F.col("a") + F.col("sp") * (F.col("b") - 1)
@@ -236,19 +269,47 @@ def mincer_zarnowitz(forecasts: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def autocorrelation(series: DataFrame, keys: list[str], value: str, lags: int) -> DataFrame:
-    """(keys, k, acf, band): divided by (n - k) times the variance; 0 when fewer than 5 pairs."""
-    w = Window.partitionBy(*keys)
-    rows = series.select(*keys, "rn", (F.col(value) - F.avg(value).over(w)).alias("e"), F.var_pop(value).over(w).alias("v"), F.count(value).over(w).alias("n"))
-    late = rows.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(lags)))).withColumn("at", F.col("rn") - F.col("k"))
-    early = rows.select(*keys, F.col("rn").alias("at"), F.col("e").alias("back"))
-    found = late.join(early, [*keys, "at"], "left").groupBy(*keys, "k").agg(F.coalesce(F.sum(F.col("e") * F.col("back")), F.lit(0.0)).alias("s"), F.first("n").alias("n"), F.first("v").alias("v"))
-    acf = F.when(F.col("n") - F.col("k") < 5, 0.0).otherwise(F.col("s") / ((F.col("n") - F.col("k")) * F.col("v")))
+def autocorrelation(series: DataFrame, keys: list[str], value: str, lags: int, least: str = "pairs") -> DataFrame:
+    """(keys, k, acf, band) for k = 0..lags: divided by (n - k) times the variance. Too short is a lag with
+    fewer than 5 pairs (``least`` = pairs: that lag is 0) or a series of fewer than lags + 5 rows
+    (``series``: all are 0). A constant series has zeros throughout."""
+    if least not in ("pairs", "series"):
+        raise ValueError(f"unknown rule {least!r}")
+    series = cut(series.select(*keys, "rn", F.col(value).alias("x")))  # read twice
+    stats = series.groupBy(*keys).agg(F.avg("x").alias("mean"), F.var_pop("x").alias("v"), F.count("x").alias("n"))
+    sums = lagged.by_lag(series.join(stats.select(*keys, "mean"), keys), keys, F.col("x") - F.col("mean"), lags).join(stats, keys)
+    found = sums.select(*keys, F.posexplode("s").alias("k", "s"), "n", "v")
+    short = F.col("n") - F.col("k") < 5 if least == "pairs" else F.col("n") < lags + 5
+    acf = F.when(F.col("v") <= 0, 0.0).when((least == "series") & short, 0.0).when(F.col("k") == 0, 1.0).when(short, 0.0).otherwise(F.col("s") / ((F.col("n") - F.col("k")) * F.col("v")))
     return found.select(*keys, "k", acf.alias("acf"), (1.96 / F.sqrt("n")).alias("band"))
 
 
 def error_correlation(forecasts: DataFrame) -> DataFrame:
-    """(a, b, corr): correlation of errors of two models over the instrument-days both have."""
-    e = forecasts.select("instrument", "day", "model", (F.col("y") - F.col("y_pred")).alias("e"))
-    pairs = e.withColumnRenamed("model", "a").withColumnRenamed("e", "ea").join(e.withColumnRenamed("model", "b").withColumnRenamed("e", "eb"), ["instrument", "day"])
-    return pairs.groupBy("a", "b").agg(F.corr("ea", "eb").alias("corr"))
+    """(a, b, corr): correlation of errors of two models over the instrument-days both have, from one
+    matrix of counts and products a task. Errors are taken from each model's mean first."""
+    e = forecasts.select("instrument", "day", "model", (F.col("y") - F.col("y_pred")).alias("e")).where("e is not null")
+    means = cut(e.groupBy("model").agg(F.avg("e").alias("mean")))
+    names = sorted(r["model"] for r in means.select("model").collect())  # a name a model
+    k, place = len(names), {m: i for i, m in enumerate(names)}
+    centred = e.join(F.broadcast(means), "model").select("instrument", "day", F.struct("model", (F.col("e") - F.col("mean")).alias("e")).alias("x"))
+    days = centred.groupBy("instrument", "day").agg(F.collect_list("x").alias("x")).select("x")
+
+    def run(batches):
+        sums = np.zeros((5, k, k))
+        for pdf in batches:
+            x, on = np.zeros((len(pdf), k)), np.zeros((len(pdf), k))
+            for i, row in enumerate(pdf["x"]):
+                at = [place[p["model"]] for p in row]
+                x[i, at], on[i, at] = [p["e"] for p in row], 1
+            sums += np.stack([on.T @ on, x.T @ on, on.T @ x, x.T @ x, (x * x).T @ on])
+        i, j = np.indices((k, k)).reshape(2, -1)
+        yield pd.DataFrame({"i": i, "j": j, **{c: s.ravel() for c, s in zip(("n", "si", "sj", "sij", "sii"), sums, strict=True)}})
+
+    cells = days.mapInPandas(run, "i int, j int, n double, si double, sj double, sij double, sii double")
+    total = cells.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "si", "sj", "sij", "sii")]).where("n > 0")
+    other = total.select(F.col("i").alias("j"), F.col("j").alias("i"), F.col("sii").alias("sjj"))
+    n = F.col("n")
+    both = total.join(other, ["i", "j"])
+    corr = (F.col("sij") - F.col("si") * F.col("sj") / n) / F.sqrt((F.col("sii") - F.col("si") ** 2 / n) * (F.col("sjj") - F.col("sj") ** 2 / n))
+    named = F.array(*map(F.lit, names)) if names else F.array().cast("array<string>")
+    return both.select(F.get(named, F.col("i")).alias("a"), F.get(named, F.col("j")).alias("b"), corr.alias("corr"))

@@ -119,8 +119,7 @@ register("j01_newey_west_lrv", lambda s, d: inference.long_run_variance(inferenc
 
 
 def dm(s: SparkSession, d: str, baseline: str | None = None, loss: str = "mae") -> DataFrame:
-    pairs = inference.placed(inference.model_pairs(losses(s, d), ["instrument"], loss, baseline), ["instrument", "a", "b"])
-    return inference.diebold_mariano(pairs, ["instrument", "a", "b"])
+    return inference.pairwise_tests(losses(s, d), ["instrument"], loss, baseline)
 
 
 _PAIR = "SELECT x.instrument, x.model AS a, y.model AS b, x.day, x.mae - y.mae AS x FROM losses x JOIN losses y ON x.instrument = y.instrument AND x.day = y.day AND x.model <> y.model"
@@ -342,12 +341,26 @@ register("l08_expanding_coverage", lambda s, d: risk.coverage(expanding(s, d), I
 # --- dependence ----------------------------------------------------------------------------------
 
 
-def m4(s: SparkSession, d: str) -> DataFrame:
-    rows = losses(s, d).withColumn("e", F.col("y") - F.col("y_pred"))
-    return inference.autocorrelation(inference.placed(rows, IM), IM, "e", 20)
+#: Lags of the in-sample style, and of the comparison of forecasts with realised values.
+LAGS, SHORT_LAGS = 250, 60
 
 
-register("m04_autocorrelation", m4, """, er AS (SELECT instrument, model, row_number() OVER (PARTITION BY instrument, model ORDER BY day) AS rn, y - y_pred - avg(y - y_pred) OVER w AS e, var_pop(y - y_pred) OVER w AS v, count(*) OVER w AS n FROM test WINDOW w AS (PARTITION BY instrument, model))
-SELECT a.instrument, a.model, CAST(a.rn - b.rn AS INTEGER) AS k, round(CASE WHEN max(a.n) - (a.rn - b.rn) < 5 THEN 0.0 ELSE sum(a.e * b.e) / ((max(a.n) - (a.rn - b.rn)) * max(a.v)) END, 5) AS acf, round(1.96 / sqrt(max(a.n)), 5) AS band
-FROM er a JOIN er b ON a.instrument = b.instrument AND a.model = b.model AND a.rn - b.rn BETWEEN 1 AND 20 GROUP BY 1, 2, a.rn - b.rn""", 5)
+def acf_series(s: SparkSession, d: str) -> DataFrame:
+    """The realised values of the test days as a series of their own beside each model's forecasts."""
+    rows = test_forecasts(s, d)
+    real = rows.where("model = 'RVM'").select("instrument", "day", F.lit("realised").alias("model"), F.col("y").alias("x"))
+    return inference.placed(real.unionByName(rows.select("instrument", "day", "model", F.col("y_pred").alias("x"))), IM)
+
+
+def _acf(lags: int, short: str) -> str:
+    return f""", ar AS (SELECT instrument, 'realised' AS model, day, y AS x FROM test WHERE model = 'RVM' UNION ALL SELECT instrument, model, day, y_pred FROM test),
+er AS (SELECT instrument, model, row_number() OVER (PARTITION BY instrument, model ORDER BY day) AS rn, x - avg(x) OVER w AS e, var_pop(x) OVER w AS v, count(*) OVER w AS n FROM ar WINDOW w AS (PARTITION BY instrument, model)),
+ks AS (SELECT instrument, model, k.range AS k, n, v FROM (SELECT instrument, model, max(n) AS n, max(v) AS v FROM er GROUP BY 1, 2), range({lags + 1}) k),
+sm AS (SELECT a.instrument, a.model, a.rn - b.rn AS k, sum(a.e * b.e) AS s FROM er a JOIN er b ON a.instrument = b.instrument AND a.model = b.model AND a.rn - b.rn BETWEEN 0 AND {lags} GROUP BY 1, 2, 3)
+SELECT ks.instrument, ks.model, CAST(ks.k AS INTEGER) AS k, round(CASE WHEN v <= 0 THEN 0.0 WHEN {short.format("n", "ks.k")} THEN 0.0 WHEN ks.k = 0 THEN 1.0 ELSE s / ((n - ks.k) * v) END, 5) + 0 AS acf, round(1.96 / sqrt(n), 5) AS band
+FROM ks LEFT JOIN sm ON sm.instrument = ks.instrument AND sm.model = ks.model AND sm.k = ks.k"""
+
+
+register("m04_autocorrelation", lambda s, d: inference.autocorrelation(acf_series(s, d), IM, "x", LAGS), _acf(LAGS, "{1} > 0 AND {0} - {1} < 5"), 5)
+register("m04_forecast_memory", lambda s, d: inference.autocorrelation(acf_series(s, d), IM, "x", SHORT_LAGS, "series"), _acf(SHORT_LAGS, f"{{0}} < {SHORT_LAGS + 5}"), 5)
 register("m05_error_correlation", lambda s, d: inference.error_correlation(test_forecasts(s, d)), "SELECT a.model AS a, b.model AS b, round(corr(a.y - a.y_pred, b.y - b.y_pred), 5) AS corr FROM test a JOIN test b ON a.instrument = b.instrument AND a.day = b.day GROUP BY 1, 2", 5)
