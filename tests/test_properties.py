@@ -412,3 +412,26 @@ def test_har_family_clip_logs_and_fixed_fit(spark):
     # fixed: the first test day has the window that all train and val rows are
     fixed = linear.fixed_models(rows, ["g"], models).where("split = 'test'").toPandas().pivot(index="day", columns="model", values="y_pred").sort_index()
     assert np.allclose(fixed.iloc[0], found.iloc[0], rtol=1e-9) and not np.allclose(fixed.iloc[60], found.iloc[60], rtol=1e-9)
+
+
+def test_rolling_median_against_plain_windows():
+    rng = np.random.default_rng(11)
+    x = rng.normal(0, 1, 200)
+    x[rng.integers(0, 200, 30)] = np.nan
+    found = B.rolling_median(x, 25, 24, 10)
+    for i in range(200):
+        own = x[max(0, i - 25) : i + 25]
+        own = own[~np.isnan(own)]
+        assert np.isclose(found[i], np.median(own)) if len(own) >= 10 else np.isnan(found[i])
+    assert len(B.rolling_median(np.array([]), 25, 24, 10)) == 0
+
+
+def test_flags_carry_rows_and_days(spark):
+    at = lambda day, m: dt.datetime(2020, 1, day, 9, 30) + dt.timedelta(minutes=m)
+    rows = [("X", at(2, 0), 1.0, "a"), ("X", at(2, 1), 2.0, "b"), ("X", at(3, 0), 9.0, "c"), ("X", at(3, 1), None, "d"), ("X", at(3, 2), 9.0, None), ("X", at(3, 3), 0.0, "f"), ("Y", at(2, 0), 5.0, "g")]
+    bars = spark.createDataFrame(rows, "instrument string, ts timestamp_ntz, close double, `bar note` string")
+    for size in (2, 200_000):
+        found = B.outlier_flags(bars, bucket_rows=size).orderBy("instrument", "ts").collect()
+        # a step over a day's end, beside a missing price or to a price of 0 is no jump
+        assert [r.jumped for r in found] == [False, True, False, False, False, False, False] and not any(r.outlier for r in found)
+        assert [r["bar note"] for r in found] == ["a", "b", "c", "d", None, "f", "g"]

@@ -2,8 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+#: Windows that are sorted at once.
+WINDOWS = 20_000
+
 
 def day() -> Column:
     """The calendar day of a bar."""
@@ -35,24 +43,47 @@ def _bucketed(bars: DataFrame, rows: int, reach: int) -> DataFrame:
     return ranked.withColumn("bucket", F.explode(buckets)).withColumn("own", F.col("bucket") == F.floor(F.col("rank") / rows)).drop("before", "within")
 
 
+def rolling_median(x: np.ndarray, back: int, ahead: int, least: int) -> np.ndarray:
+    """Median of the values (NaN: none) from ``back`` places before to ``ahead`` after each; NaN where
+    fewer than ``least`` are there. Windows are sorted ``WINDOWS`` at a time."""
+    padded = np.concatenate([np.full(back, np.nan), x, np.full(ahead, np.nan)])
+    windows = np.lib.stride_tricks.sliding_window_view(padded, back + ahead + 1)
+    out = np.full(len(x), np.nan)
+    for a in range(0, len(x), WINDOWS):
+        part = np.sort(windows[a : a + WINDOWS], axis=1)  # missing values come last
+        n = (~np.isnan(part)).sum(1)
+        at, middle = np.arange(len(part)), np.maximum(n - 1, 0)
+        median = (part[at, middle // 2] + part[at, (middle + 1) // 2]) / 2
+        out[a : a + len(part)] = np.where(n >= least, median, np.nan)
+    return out
+
+
 def outlier_flags(bars: DataFrame, window: int = 50, least: int = 10, spread: float = 8.0, jump: float | None = 0.1, bucket_rows: int = 200_000) -> DataFrame:
     """Add ``outlier`` (far from the centred rolling median, in robust deviations) and ``jumped``
-    (within-day log return too large). The even window reaches one bar further back than ahead."""
+    (within-day log return too large). The even window reaches one bar further back than ahead. A
+    bucket of bars with its copied edges is one Arrow table, in which both are array operations."""
     back, ahead = window // 2, window - window // 2 - 1
-    order = Window.partitionBy("instrument", "bucket").orderBy("ts")
-    frame = order.rowsBetween(-back, ahead)
-
-    def rolling_median(c: Column) -> Column:
-        return F.when(F.count(c).over(frame) >= least, F.percentile(c, 0.5).over(frame))
-
     rows = _bucketed(bars, bucket_rows, 2 * window)
-    rows = rows.withColumn("median", rolling_median(F.col("close")))
-    rows = rows.withColumn("away", F.abs(F.col("close") - F.col("median")))
-    rows = rows.withColumn("sigma", 1.4826 * rolling_median(F.col("away"))).where("own")
-    far = F.coalesce((F.col("sigma") > 0) & (F.col("away") > spread * F.col("sigma")), F.lit(False))
-    step = F.log("close") - F.log(F.lag("close").over(Window.partitionBy("instrument", "day").orderBy("ts")))
-    jumped = F.lit(False) if jump is None else F.coalesce(F.abs(step) > jump, F.lit(False))
-    return rows.withColumn("outlier", far).withColumn("jumped", jumped).drop("median", "away", "sigma", "own", "bucket", "rank")
+    kept = [*bars.columns, *(["day"] if "day" not in bars.columns else [])]
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.take(pc.sort_indices(table, sort_keys=[("rank", "ascending")]))
+        close = pc.fill_null(table["close"].cast(pa.float64()), np.nan).to_numpy()
+        median = rolling_median(close, back, ahead, least)
+        away = np.abs(close - median)
+        sigma = 1.4826 * rolling_median(away, back, ahead, least)
+        jumped = np.zeros(len(close), bool)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            outlier = (sigma > 0) & (away > spread * sigma)
+            if jump is not None and len(close) > 1:
+                days = table["day"].cast(pa.int32()).to_numpy()
+                fine = (close[1:] > 0) & (close[:-1] > 0) & (days[1:] == days[:-1])
+                jumped[1:] = fine & (np.abs(np.log(close[1:]) - np.log(close[:-1])) > jump)
+        out = table.select(kept).append_column("outlier", pa.array(outlier)).append_column("jumped", pa.array(jumped))
+        return out.filter(table["own"])
+
+    schema = T.StructType([*[rows.schema[c] for c in kept], T.StructField("outlier", T.BooleanType()), T.StructField("jumped", T.BooleanType())])
+    return rows.groupBy("instrument", "bucket").applyInArrow(run, schema)
 
 
 def clean_bars(bars: DataFrame, jump: float | None = 0.1, spread: float = 8.0, opens: str = "09:30:00", closes: str = "16:00:00") -> DataFrame:
