@@ -46,6 +46,8 @@ def _bucketed(bars: DataFrame, rows: int, reach: int) -> DataFrame:
 def rolling_median(x: np.ndarray, back: int, ahead: int, least: int) -> np.ndarray:
     """Median of the values (NaN: none) from ``back`` places before to ``ahead`` after each; NaN where
     fewer than ``least`` are there. Windows are sorted ``WINDOWS`` at a time."""
+    if not len(x):
+        return x
     padded = np.concatenate([np.full(back, np.nan), x, np.full(ahead, np.nan)])
     windows = np.lib.stride_tricks.sliding_window_view(padded, back + ahead + 1)
     out = np.full(len(x), np.nan)

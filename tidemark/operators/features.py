@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
+from tidemark.storage import cut
+
+
 def by_day() -> WindowSpec:
     """An instrument's rows in order of day."""
     return Window.partitionBy("instrument").orderBy("day")
@@ -78,6 +81,41 @@ def asof(left: DataFrame, right: DataFrame, on: str = "day", by: tuple[str, ...]
     return left.join(seen, on, "left") if not by else seen
 
 
+def asof_ranges(left: DataFrame, right: DataFrame, on: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """Backward as-of join of two large sides: each left row, with the fields of the last right row of
+    its key at or before it, nulls included (all null where there is none).
+
+    Both sides are dealt out together by ranges of (key, time), so that a key may fill any number of
+    tasks. What the last right row of each range and key is goes on to later ranges in one small table;
+    within a range the rest is a running last value. At equal times right rows come first; the right
+    side should have one row for each key and time. Null keys match each other, null times come before
+    all others. Fields of the same name are an error."""
+    fields = [c for c in right.columns if c != on and c not in by]
+    if clash := sorted(set(fields) & set(left.columns)):
+        raise ValueError(f"both sides have {clash}")
+    mine = F.struct(*[F.col(c) for c in left.columns])
+    found = F.struct(*[F.col(c) for c in fields])
+    asked = left.select(*by, on, F.lit(1).alias("_side"), mine.alias("_row"))
+    told = right.select(*by, on, F.lit(0).alias("_side"), found.alias("_found"))
+    order = [*by, on, "_side"]
+    tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    both = cut(asked.unionByName(told, allowMissingColumns=True).repartitionByRange(tasks, *order).withColumn("_range", F.spark_partition_id()))
+    ends = both.where("_side = 0").groupBy("_range", *by).agg(F.max_by("_found", F.struct(F.col(on).isNotNull(), F.col(on))).alias("_found"))
+    here = both.groupBy("_range", *by).agg(F.lit(1).alias("_one")).drop("_one").withColumn("_asks", F.lit(True))
+    earlier = Window.partitionBy(*by).orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    keyed = lambda df: df.withColumnRenamed("_range", "_at")
+    carried = keyed(here).unionByName(keyed(ends).withColumn("_asks", F.lit(False)), allowMissingColumns=True)
+    carried = carried.groupBy("_at", *by).agg(F.first("_found", ignorenulls=True).alias("_found"), F.max("_asks").alias("_asks"))
+    carried = carried.withColumn("_carry", F.last("_found", ignorenulls=True).over(earlier)).where("_asks").select(*[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)], "_at", "_carry")
+    within = Window.partitionBy("_range", *by).orderBy(on, "_side").rowsBetween(Window.unboundedPreceding, 0)
+    seen = both.withColumn("_found", F.last("_found", ignorenulls=True).over(within)).where("_side = 1")
+    same = F.col("_range") == F.col("_at")
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"_by{i}"))
+    seen = seen.join(carried, same, "left").withColumn("_found", F.coalesce("_found", "_carry"))
+    return seen.select(*[F.col("_row")[c].alias(c) for c in left.columns], *[F.col("_found")[c].alias(c) for c in fields])
+
+
 def build(daily: DataFrame, horizons: list[int], macro: DataFrame | None = None, event_days: DataFrame | None = None) -> DataFrame:
     """Feature table of all horizons, complete cases only. With ``macro`` the wide set, else the
     short one. Every lag of an instrument comes from one window sort."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import bars as B
@@ -58,6 +58,19 @@ def a4(spark: SparkSession, sf_dir: str) -> DataFrame:
 register("a04_layer_sink", a4, f"SELECT instrument, CAST(day AS VARCHAR) AS day, {rounded('rv, rv_pos, rv_neg')}, n_returns FROM daily")
 
 
+def a4_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lags over a bucketed layer joined with another one: neither needs an exchange."""
+    path = new_path(spark, "buckets")
+    name = path.rsplit("/", 1)[1].replace("-", "_")
+    left = files.write_bucketed(daily(spark, sf_dir).select("instrument", "day", "rv"), name, path, buckets=8)
+    right = files.write_bucketed(left.select("instrument", "day", (F.col("rv") * 2).alias("double_rv")), f"{name}_b", f"{path}-b", buckets=8)
+    lagged = left.withColumn("before", F.lag("rv").over(Window.partitionBy("instrument").orderBy("day")))
+    return lagged.join(right.hint("merge"), ["instrument", "day"])
+
+
+register("a04_bucketed_layer", a4_bucketed, "SELECT instrument, CAST(day AS VARCHAR) AS day, round(rv, 6) AS rv, round(lag(rv) OVER (PARTITION BY instrument ORDER BY day), 6) AS before, round(rv * 2, 6) AS double_rv FROM daily")
+
+
 def a6(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "events")
     files.event_map(views.event_days(spark, sf_dir)).write.text(path)

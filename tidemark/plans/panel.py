@@ -9,7 +9,7 @@ from tidemark.operators import features as E
 from tidemark.operators import losses as L
 from tidemark.operators import combine, inference, splits
 from tidemark.plans.base import daily, features, forecasts, register, rounded, split_features, test_forecasts
-from tidemark.sources import files, views
+from tidemark.sources import files, runs, views
 from tidemark.storage import new_path
 
 DAY = "CAST(day AS VARCHAR) AS day"
@@ -46,6 +46,20 @@ register("e09_rate_change", lambda s, d: _with_macro(s, d).select("instrument",
 register("e11_implied_vol_proxy", lambda s, d: _with_macro(s, d).select("instrument", "day", F.lag("vix").over(E.by_day()).alias("iv")), f", {_ASOF} SELECT instrument, {DAY}, round(lag(vix) {_O}, 4) AS iv FROM filled", 4)
 
 
+
+
+def quotes(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Ticks of all instruments but one, and that one's as the price to refer to."""
+    events = views.source(s, d, "events").where("value > 0").select("user_id", F.col("event_type").alias("instrument"), F.col("ts").cast("timestamp_ntz").alias("ts"), F.col("value").alias("close"))
+    return events.where("instrument <> 'purchase'"), events.where("instrument = 'purchase'").select("user_id", "ts", F.col("close").alias("reference"), F.col("ts").alias("quoted"))
+
+
+_QUOTES = "ql AS (SELECT user_id, event_type AS instrument, ts, value AS close FROM events WHERE value > 0 AND event_type <> 'purchase'), qr AS (SELECT user_id, ts, value AS reference FROM events WHERE value > 0 AND event_type = 'purchase')"
+_QUOTED = "SELECT l.instrument, CAST(l.ts AS VARCHAR) AS ts, round(l.close, 6) AS close, round(r.reference, 6) AS reference, CAST(r.ts AS VARCHAR) AS quoted"
+register("f03_asof_one_reference", lambda s, d: E.asof_ranges(quotes(s, d)[0], quotes(s, d)[1].drop("user_id"), "ts").drop("user_id"), f", {_QUOTES} {_QUOTED} FROM ql l ASOF LEFT JOIN qr r ON l.ts >= r.ts")
+register("f03_asof_by_user", lambda s, d: E.asof_ranges(*quotes(s, d), "ts", ("user_id",)), f", {_QUOTES} {_QUOTED.replace('SELECT l.', 'SELECT l.user_id, l.', 1)} FROM ql l ASOF LEFT JOIN qr r ON l.user_id = r.user_id AND l.ts >= r.ts")
+
+
 def e10(s: SparkSession, d: str) -> DataFrame:
     marked = views.event_days(s, d).withColumn("event", F.lit(1))
     return daily(s, d).join(marked, ["instrument", "day"], "left").select("instrument", "day", F.lag(F.coalesce("event", F.lit(0))).over(E.by_day()).alias("event_lag"))
@@ -203,6 +217,19 @@ def a9_runs(s: SparkSession, d: str) -> DataFrame:
 register("a09_merge_with_validation", a9_runs, f"SELECT instrument, split, {DAY}, model, round(CASE WHEN model = 'RVW' THEN y_pred * 2 ELSE y_pred END, 6) AS y_pred FROM fc_all WHERE horizon = 5 AND split <> 'train'")
 
 
+def a9_store(s: SparkSession, d: str) -> DataFrame:
+    """A store of two runs, one of which is repeated with other forecasts for a model and horizon."""
+    path = new_path(s, "store")
+    first = forecasts(s, d, [1, 5]).withColumn("feature_set", F.lit("M_HAR"))
+    runs.commit(first, path)
+    runs.commit(first.where("model = 'RVW' and horizon = 5").withColumn("y_pred", F.col("y_pred") * 2), path)
+    runs.commit(first.where("model = 'RVW' and horizon = 5").withColumn("y_pred", F.col("y_pred") * 3), path)
+    return runs.read(s, path).where("split <> 'train'").select("instrument", "horizon", "split", "day", "model", "y_pred")
+
+
+register("a09_committed_runs", a9_store, f"SELECT instrument, horizon, split, {DAY}, model, round(CASE WHEN model = 'RVW' AND horizon = 5 THEN y_pred * 3 ELSE y_pred END, 6) AS y_pred FROM fc_all WHERE horizon IN (1, 5) AND split <> 'train'")
+
+
 def a5(s: SparkSession, d: str) -> DataFrame:
     table = L.ratios(L.mean_losses(test_forecasts(s, d), ["instrument", "model"]), "RVM", ["instrument", "loss"])
     tables = {"loss": table.where("loss = 'mse'").select("instrument", "model", "value"), "ratio": table.where("loss = 'mse'").select("instrument", "model", F.col("ratio").alias("value"))}

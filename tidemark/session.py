@@ -13,6 +13,8 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.maxRecordsPerBatch": "10000",
+    # joins on (instrument, day) of tables that are bucketed by instrument stay in their buckets
+    "spark.sql.requireAllClusterKeysForCoPartition": "false",
 }
 
 

@@ -38,9 +38,23 @@ def event_map(days: DataFrame) -> DataFrame:
     return lists.agg(F.to_json(F.map_from_entries(F.sort_array(F.collect_list(F.struct("instrument", "days"))))).alias("value"))
 
 
-def write_layer(df: DataFrame, path: str, by: tuple[str, ...] = ("instrument",)) -> None:
-    """A parquet layer, partitioned by directory so that readers prune."""
-    df.repartition(*by).write.mode("overwrite").partitionBy(*by).parquet(path)
+def write_layer(df: DataFrame, path: str, by: tuple[str, ...] = ("instrument",), order: tuple[str, ...] = ("day",)) -> None:
+    """A parquet layer, partitioned by directory so that readers prune. Rows are dealt out by ranges of
+    the keys and the order within them, so that a key with many rows is written by several tasks, each
+    a sorted file of its own, and small keys share one. ``order`` columns that aren't there are left out."""
+    within = [c for c in order if c in df.columns and c not in by]
+    df.repartitionByRange(*by, *within).sortWithinPartitions(*by, *within).write.mode("overwrite").partitionBy(*by).parquet(path)
+
+
+def write_bucketed(df: DataFrame, name: str, path: str, by: tuple[str, ...] = ("instrument",), order: tuple[str, ...] = ("day",), buckets: int = 200) -> DataFrame:
+    """A parquet table in buckets of the keys, each one sorted file, and the table read back: windows
+    over the keys and joins with tables of the same buckets need no exchange (joins on more columns than
+    the keys: under ``session.SETTINGS``). A bucket is written by one
+    task, so keys should be many, with a bounded number of rows each (a calendar)."""
+    spark = df.sparkSession
+    dealt = df.repartition(buckets, *by).sortWithinPartitions(*by, *order)
+    dealt.write.mode("overwrite").option("path", path).bucketBy(buckets, *by).sortBy(*by, *order).saveAsTable(name)
+    return spark.table(name)
 
 
 def read_layer(spark: SparkSession, path: str, schema: str | None = None, **only) -> DataFrame:
