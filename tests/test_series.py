@@ -142,3 +142,18 @@ def test_bootstrap_from_one_row_of_prefix_sums(spark):
             start = mixed // 65536 % (130 - size + 1)
             picked += x[start : start + size].tolist()
         assert np.isclose(found["x_mean"][draw], np.mean(picked[:130])) and np.isclose(found["z_mean"][draw], 2 * np.mean(picked[:130]))
+
+
+@pytest.mark.parametrize("accuracy", [20, 10_000])
+def test_quantiles_of_large_groups(spark, monkeypatch, accuracy):
+    monkeypatch.setattr(order_stats, "ACCURACY", accuracy)  # 20: groups over 80 rows get bounds from a rough sketch
+    rng = np.random.default_rng(accuracy)
+    groups = {"even": rng.normal(0, 1, 5000), "ties": np.repeat([1.0, 2.0, 3.0], [2000, 5, 2000]), "same": np.full(900, 4.0), "few": np.array([1.0, 5.0]), "one": np.array([7.0])}
+    rows = spark.createDataFrame([(g, float(v)) for g, x in groups.items() for v in x] + [("none", None), ("even", None), ("even", float("nan"))], "g string, x double").repartition(5)
+    shares = [0.0, 0.05, 0.5, 0.73, 1.0]
+    found = {r.g: r for r in order_stats.quantiles(rows, ["g"], "x", shares).collect()}
+    assert set(found) == set(groups)
+    for g, x in groups.items():
+        assert found[g].n == len(x) and np.allclose(found[g].q, np.quantile(x, shares))
+    whole = order_stats.quantiles(rows, [], "x", [0.5]).collect()
+    assert len(whole) == 1 and np.isclose(whole[0].q[0], np.quantile(np.concatenate(list(groups.values())), 0.5))

@@ -8,22 +8,30 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import losses as L
+from tidemark.operators import order_stats
 from tidemark.operators.spread import dealt, with_tasks
 from tidemark.storage import cut
 
 
-def with_decile(forecasts: DataFrame, keys: list[str], bins: int = 10) -> DataFrame:
+def with_decile(forecasts: DataFrame, keys: list[str], bins: int = 10, by: tuple[str, ...] = ("day",), large: bool = False) -> DataFrame:
     """Add ``decile`` (1..bins) of the observed target within ``keys``: one more than the number of
-    inner linear-quantile edges that are not above it. The target counts once per day."""
-    days = forecasts.select(*keys, "day", "y").distinct()
-    edges = days.groupBy(*keys).agg(F.percentile("y", F.array(*[F.lit(i / bins) for i in range(1, bins)])).alias("edges"))
+    inner linear-quantile edges that are not above it. The target counts once for each of ``by``. A
+    group's targets are counted in one task's map; with ``large``, for groups that pool many series,
+    edges are selected without gathering a group anywhere."""
+    if not keys:
+        return with_decile(forecasts.withColumn("_all", F.lit(0)), ["_all"], bins, by, large).drop("_all")
+    days, inner = forecasts.select(*keys, *by, "y").distinct(), [i / bins for i in range(1, bins)]
+    if large:
+        edges = order_stats.quantiles(days, keys, "y", inner).select(*keys, F.col("q").alias("edges"))
+    else:
+        edges = days.groupBy(*keys).agg(F.percentile("y", F.array(*map(F.lit, inner))).alias("edges"))
     place = F.size(F.filter("edges", lambda e: e <= F.col("y"))) + 1
     return forecasts.join(edges, keys).withColumn("decile", place).drop("edges")
 
 
-def decile_losses(forecasts: DataFrame, keys: list[str], bins: int = 10) -> DataFrame:
+def decile_losses(forecasts: DataFrame, keys: list[str], bins: int = 10, by: tuple[str, ...] = ("day",), large: bool = False) -> DataFrame:
     """(keys, decile, model, loss, value, n); each decile is a slice of its own."""
-    rows = with_decile(forecasts, keys, bins)
+    rows = with_decile(forecasts, keys, bins, by, large)
     counts = rows.groupBy(*keys, "decile", "model").agg(F.count("*").alias("n"))
     return L.mean_losses(rows, [*keys, "decile", "model"]).join(counts, [*keys, "decile", "model"])
 

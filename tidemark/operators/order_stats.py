@@ -8,6 +8,9 @@ Rows get a place in time and a rank by value, both cut into blocks. Counts of (t
 cells, summed over earlier time blocks, tell for a row in which rank block its order statistic lies,
 once the row's own time block is added up to it; that rank block's values before the row then give it.
 A group of work is one block of time, or one rank block as one block of time asks it.
+
+``quantiles`` selects exact quantiles of groups of any size: a sketch bounds each, one aggregation counts
+what lies below the bounds, and only the values between them are ranked.
 """
 
 from __future__ import annotations
@@ -26,6 +29,10 @@ from tidemark.storage import cut
 BLOCK = 2048
 #: Parts that a rank block's values are joined in, as most rows may ask the same one.
 SALT = 16
+#: Of the sketch that bounds a quantile.
+ACCURACY = 10_000
+#: Bounds of up to so many groups are broadcast.
+FEW_GROUPS = 100_000
 
 
 def place(rows: DataFrame, keys: list[str], order: list[str], name: str, counted: dict[str, Column] | None = None) -> DataFrame:
@@ -47,6 +54,44 @@ def place(rows: DataFrame, keys: list[str], order: list[str], name: str, counted
     return numbered.drop("_range", *[f"_on_{c}" for c in counted], *[f"_before_{c}" for c in counted])
 
 
+def quantiles(rows: DataFrame, keys: list[str], value: str, shares: list[float]) -> DataFrame:
+    """(keys, q, n): exact quantiles (linear between neighbours) of the values of each group, in the order
+    of ``shares``, and their number. Null and NaN values count as missing; a group without values has no row.
+
+    The sketch is off by at most n / ACCURACY ranks, so its bounds are taken that much and more apart;
+    the counts prove that they hold the ranks that are asked, else the job fails. Groups of up to
+    4 * ACCURACY rows are ranked as a whole."""
+    if not keys:
+        return quantiles(rows.withColumn("_all", F.lit(0)), ["_all"], value, shares).drop("_all")
+    x, places = F.col(value).cast("double"), range(len(shares))
+    rows = cut(rows.where(F.col(value).isNotNull() & ~F.isnan(x)).select(*keys, x.alias("_v")))
+    margin = 4 / ACCURACY
+    low, high = ([min(max(q + m, 0.0), 1.0) for q in shares] for m in (-margin, margin))
+    array = lambda v: F.array(*map(F.lit, v))
+    bounds = rows.groupBy(*keys).agg(
+        F.count("*").alias("_n"), F.percentile_approx("_v", array(low), ACCURACY).alias("_low"), F.percentile_approx("_v", array(high), ACCURACY).alias("_high"), F.min("_v").alias("_min"), F.max("_v").alias("_max")
+    )
+    small = F.col("_n") <= 4 * ACCURACY
+    whole = lambda c: F.array(*[F.col(c)] * len(shares))
+    bounds = cut(bounds.select(*keys, "_n", F.when(small, whole("_min")).otherwise(F.col("_low")).alias("_low"), F.when(small, whole("_max")).otherwise(F.col("_high")).alias("_high")))
+    side = F.broadcast(bounds) if bounds.count() <= FEW_GROUPS else bounds
+    beside = rows.join(side, keys)
+    below = beside.groupBy(*keys).agg(F.max("_n").alias("n"), F.array(*[F.sum((F.col("_v") < F.col("_low")[i]).cast("long")) for i in places]).alias("_below"))
+    inside = F.array(*[F.when((F.col("_v") >= F.col("_low")[i]) & (F.col("_v") <= F.col("_high")[i]), F.lit(i)) for i in places])
+    ranked = place(beside.select(*keys, "_v", F.explode(F.array_compact(inside)).alias("_at")), [*keys, "_at"], ["_v"], "_r")
+    asked = below.select(*keys, "n", F.posexplode(F.arrays_zip(F.col("_below").alias("below"), array(shares).alias("share"))).alias("_at", "_a"))
+    first = F.floor(F.col("_a.share") * (F.col("n") - 1))
+    asked = asked.select(*keys, "n", "_at", F.col("_a.below").alias("_below"), first.alias("_k"), (F.col("_a.share") * (F.col("n") - 1) - first).alias("_weight"))
+    found = asked.join(ranked, [*keys, "_at"])
+    rank = F.col("_below") + F.col("_r") - 1
+    here = lambda k: F.max(F.when(rank == k, F.col("_v")))
+    top = F.least(F.col("_k") + 1, F.col("n") - 1)
+    one = found.groupBy(*keys, "n", "_at").agg(here(F.col("_k")).alias("_a"), here(top).alias("_b"), F.first("_weight").alias("_weight"))
+    lost = F.raise_error(F.lit("the sketch's bounds don't hold the rank that is asked")).cast("double")
+    one = one.withColumn("_q", F.when(F.col("_a").isNull() | F.col("_b").isNull(), lost).otherwise(F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_weight")))
+    return one.groupBy(*keys, "n").agg(F.transform(F.sort_array(F.collect_list(F.struct("_at", "_q"))), lambda p: p["_q"]).alias("q")).select(*keys, "q", "n")
+
+
 def blocked(rows: DataFrame, keys: list[str], value: str, asked: Column) -> DataFrame:
     """(keys, t, t_n, v, asked, r, r_n, size, tb, rb): the rows with the rank of their value and the
     blocks of their place and rank (null without a value)."""

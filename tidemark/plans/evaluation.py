@@ -264,6 +264,10 @@ _dec = lambda s, d: conditional.decile_losses(test_forecasts(s, d), ["instrument
 register("k01_decile_losses", _dec, f"{_DEC} SELECT instrument, decile, model, round(value, 4) AS value, n FROM dl", 4)
 register("k02_decile_ratios", lambda s, d: L.ratios(_dec(s, d), "RVM", ["instrument", "decile"]).select("instrument", "decile", "model", "ratio"), f"{_DEC} SELECT instrument, decile, model, round(value / max(CASE WHEN model = 'RVM' THEN value END) OVER (PARTITION BY instrument, decile), 4) AS ratio FROM dl", 4)
 register("k03_top_decile", lambda s, d: _dec(s, d).where("decile = 10").drop("decile"), f"{_DEC} SELECT instrument, model, round(value, 4) AS value, n FROM dl WHERE decile = 10", 4)
+_pooled = lambda s, d: conditional.decile_losses(test_forecasts(s, d), [], by=("instrument", "day"), large=True)
+register("k01_pooled_deciles", lambda s, d: _pooled(s, d).where("loss = 'mse'").drop("loss"), f""", pe AS (SELECT quantile_cont(y, [{", ".join(f"CAST({i / 10} AS DOUBLE)" for i in range(1, 10))}]) AS edges FROM (SELECT DISTINCT instrument, day, y FROM test)),
+pd AS (SELECT t.*, len(list_filter(edges, lambda e: e <= y)) + 1 AS decile FROM test t, pe)
+SELECT CAST(decile AS INTEGER) AS decile, model, round(avg((y - y_pred) * (y - y_pred)), 4) AS value, count(*) AS n FROM pd GROUP BY 1, 2""", 4)
 register("k04_regimes", lambda s, d: conditional.fit_regimes(daily(s, d)))
 register("k04_regime_parameters", lambda s, d: conditional.regime_parameters(conditional.regime_fits(daily(s, d))), digits=3)
 
