@@ -13,7 +13,7 @@ DIR = "/root/testdata/sf0.01"
 #: One or two of each group; the driver compares all of them.
 NAMES = [
     "a01_bar_csv_scan", "a06_event_json_scan", "a07_macro_panel", "a09_merge_runs", "a09_committed_runs", "a04_bucketed_layer", "b02_outlier_filter", "b06_fraction_split", "c02_intraday_returns",
-    "d06_daily_measures", "d10_realised_kernel", "e12_feature_table", "f03_asof_join", "f03_asof_one_reference", "f03_asof_by_user", "g01_least_squares", "g02_har", "g21_rolling_window", "h02_inverse_mse_weights",
+    "d06_daily_measures", "d06_appended_days", "e12_appended_days", "e12_appended_wide_days", "k01_pooled_deciles", "d10_realised_kernel", "e12_feature_table", "f03_asof_join", "f03_asof_one_reference", "f03_asof_by_user", "g01_least_squares", "g02_har", "g21_rolling_window", "h02_inverse_mse_weights",
     "i07_cross_section", "j01_newey_west_lrv", "j02_diebold_mariano", "j07_holm", "j13_ratio_interval", "j21_efficiency_table", "k01_decile_losses", "l05_conditional_coverage", "m02_variable_importance",
     "a05_markdown_catalogue", "a09_merge_with_validation", "b04_wide_model_columns", "g04_lev_har", "g06_harq", "g11_elastic_net_one_regressor", "g21_rolling_refit_monthly", "g21_rolling_har_family", "g21_rolling_har_embargo", "g21_rolling_har_x", "g23_linear_panel", "g24_date_split_run", "g25_training_sizes", "g29_coefficients",
     "g27_kernel_robustness", "h04_two_model_combinations", "j03_small_sample_p_values", "j14_path_intervals", "j15_model_confidence_set", "l02_expanding_quantile_monthly", "m04_autocorrelation", "m04_forecast_memory", "m05_error_correlation", "j04_pairwise_matrix", "j11_loss_interval", "m06_shapley_linear_rule",

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators import append
 from tidemark.operators import bars as B
 from tidemark.operators import measures as D
 from tidemark.plans.base import daily, register, returns, rounded
 from tidemark.sources import files, views
-from tidemark.storage import new_path
+from tidemark.storage import cut, new_path
 
 #: The ticks' prices jump freely, so the jump limit is wide.
 JUMP = 3.0
@@ -131,13 +132,27 @@ _CLEAN = _FLAGS.replace("FROM ticks WINDOW", f"{_SESSION} WINDOW").replace("away
 _DAILY = """SELECT i.instrument, i.day, coalesce(sum(r * r), 0.0) AS rv, coalesce(sum(CASE WHEN r > 0 THEN r * r ELSE 0.0 END), 0.0) AS rv_pos,
   coalesce(sum(CASE WHEN r < 0 THEN r * r ELSE 0.0 END), 0.0) AS rv_neg, coalesce(count(r) / 3.0 * sum(r * r * r * r), 0.0) AS rq, CAST(count(r) AS INTEGER) AS n_returns,
   ln(arg_max(price, bar)) - ln(arg_min(price, bar)) AS ret FROM rts AS i GROUP BY 1, 2 HAVING count(*) >= 2"""
-register(
-    "d06_daily_measures", d6,
-    f""", {_CLEAN}, cln AS (SELECT * FROM flags WHERE NOT outlier AND NOT jumped), {_sampled(30, "cln")}, dm AS ({_DAILY}),
+_DAYS = f""", {_CLEAN}, cln AS (SELECT * FROM flags WHERE NOT outlier AND NOT jumped), {_sampled(30, "cln")}, dm AS ({_DAILY}),
     vol AS (SELECT instrument, CAST(ts AS DATE) AS day, sum(volume) AS volume, arg_max(close, ts) AS price FROM cln GROUP BY 1, 2)
     SELECT dm.instrument, CAST(dm.day AS VARCHAR) AS day, {rounded("rv, rv_pos, rv_neg, rq", 4)}, n_returns, round(ret, 4) AS ret, round(volume, 4) AS volume, round(price, 4) AS price
-    FROM dm LEFT JOIN vol ON dm.instrument = vol.instrument AND dm.day = vol.day""", 4,
-)
+    FROM dm LEFT JOIN vol ON dm.instrument = vol.instrument AND dm.day = vol.day"""
+
+
+def d6_appended(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from three deliveries of ticks: each measures its own days and those left open before."""
+    ticks, hours = views.ticks(spark, sf_dir), {"opens": "06:00:00", "closes": "22:00:00"}
+    ends = ["2024-01-01", "2024-01-12", "2024-01-13", "2024-02-01"]
+    state, out = B.session_filter(ticks.limit(0), **hours).withColumn("open", F.lit(True)), None
+    for a, b in zip(ends, ends[1:], strict=False):
+        new = ticks.where((F.col("ts") >= F.lit(a).cast("timestamp_ntz")) & (F.col("ts") < F.lit(b).cast("timestamp_ntz")))
+        rows, days, state = append.append_bars(state, new, 30, jump=JUMP, spread=3.0, **hours)
+        rows, state = cut(rows), cut(state)
+        out = rows if out is None else append.replaced(out, rows, cut(days))
+    return out
+
+
+register("d06_daily_measures", d6, _DAYS, 4)
+register("d06_appended_days", d6_appended, _DAYS, 4)
 register("b12_annualise", lambda s, d: D.annualised(daily(s, d)).select("instrument", "day", (F.col("rv")).alias("rv"), "vol_pct"), "SELECT instrument, CAST(day AS VARCHAR) AS day, round(rv * 252, 4) AS rv, round(sqrt(252 * rv) * 100, 4) AS vol_pct FROM daily", 4)
 
 _PARZEN = "CASE WHEN {x} <= 0.5 THEN 1 - 6 * {x} * {x} + 6 * {x} * {x} * {x} WHEN {x} <= 1 THEN 2 * (1 - {x}) * (1 - {x}) * (1 - {x}) ELSE 0.0 END"

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import features as E
 from tidemark.operators import losses as L
-from tidemark.operators import combine, inference, splits
+from tidemark.operators import append, combine, inference, splits
 from tidemark.plans.base import daily, features, forecasts, register, rounded, split_features, test_forecasts
 from tidemark.sources import files, runs, views
-from tidemark.storage import new_path
+from tidemark.storage import cut, new_path
 
 DAY = "CAST(day AS VARCHAR) AS day"
 KEYS = ["instrument", "horizon"]
@@ -78,6 +78,23 @@ wide AS (SELECT w1.instrument, w1.day, f.rvd, f.rvw, f.rvm, iv, m1w, iv AS vix_l
 _WIDE_NAMES = "iv, m1w, epu_lag, hsi_lag, ads_lag, us3m_change, event_lag, dvol, y"
 register("e12_wide_feature_table", lambda s, d: features(s, d, [1], wide=True).select("instrument", "day", *_WIDE_NAMES.split(", ")), f"{WIDE} SELECT instrument, {DAY}, {rounded(_WIDE_NAMES, 4)} FROM wide", 4)
 
+def e12_appended(s: SparkSession, d: str, wide: bool = False) -> DataFrame:
+    """The feature table from three deliveries of days, each with what the one before left open."""
+    panel, horizons = cut(daily(s, d)), [1, 5, 22]
+    calendars = (views.macro(s, d), views.event_days(s, d)) if wide else (None, None)
+    ends = ["1990-01-01", "1997-06-30", "1999-12-31", "2100-01-01"]
+    out, state = None, panel.limit(0)
+    for a, b in zip(ends, ends[1:], strict=False):
+        rows, state = append.append_days(state, panel.where((F.col("day") > a) & (F.col("day") <= b)), horizons, *calendars)
+        state = cut(state)
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+register("e12_appended_days", lambda s, d: e12_appended(s, d).select("instrument", "day", "horizon", "rvd", "rvw", "rvm", "rn_m", "y"), f"SELECT instrument, {DAY}, horizon, {rounded('rvd, rvw, rvm, rn_m, y')} FROM feats")
+register("e12_appended_wide_days", lambda s, d: e12_appended(s, d, True).where("horizon = 1").select("instrument", "day", *_WIDE_NAMES.split(", ")), f"{WIDE} SELECT instrument, {DAY}, {rounded(_WIDE_NAMES, 4)} FROM wide", 4)
+
+
 # --- splits --------------------------------------------------------------------------------------
 
 register("b04_model_columns", lambda s, d: splits.model_columns(features(s, d, [5]), "M_HAR").drop("horizon", "y"), f"SELECT instrument, {DAY}, {rounded('rvd, rvw, rvm')} FROM feats WHERE horizon = 5")
