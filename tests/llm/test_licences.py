@@ -1,4 +1,4 @@
-"""Whole public licence texts, written out here and not taken from the operator's tables."""
+"""Whole public licence texts (fixed values), written out here and not taken from the operator's tables."""
 
 import textwrap
 
@@ -13,7 +13,7 @@ Permission is hereby granted, free of charge, to any person obtaining a copy of
 The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
 
 THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
-BSD = """Copyright (c) 2021, Some Body
+BSD = """Copyright (c) 2021, Some Body. All rights reserved.
 
 Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
 
@@ -59,6 +59,8 @@ def test_whole_texts_at_several_widths(spark):
             lines = [part for line in text.split("\n") for part in (textwrap.wrap(line, width) or [""])]
             for prefix in ("", "# ", " * "):
                 rows.append((name, "\n".join(prefix + line for line in lines)))
+    # a reserved right is no licence, alone or beside one on a line of its own
+    rows += [("", "It was a dark night. All rights reserved."), ("", "All rights reserved."), ("BSD-3-Clause", BSD.format(THIRD).replace(". All rights", "\nAll rights"))]
     # a clause is missing, or comes too late: no licence
     rows += [("", MIT.split("\n\n")[4]), ("", "\n\n".join(BSD.format("").split("\n\n")[2:]))]
     docs = spark.createDataFrame([(i, text) for i, (_, text) in enumerate(rows)], "`doc.id` long, `a text` string")

@@ -100,6 +100,7 @@ SENTENCES = {
 }
 
 #: (licence, identifiers in order[, identifiers that may stand between]). Every rule that fires counts.
+#: "All rights reserved." is a known sentence but no licence: it stands in many licence texts and books.
 RULES = [
     ("MIT", ["mit_notice"]),
     ("MIT", ["mit_notice_licensed"]),
@@ -151,7 +152,6 @@ RULES = [
     ("CC-BY-4.0", ["cc_by_4_work"]),
     ("CC-BY-SA-4.0", ["cc_by_sa_4_work"]),
     ("CC-BY-NC-4.0", ["cc_by_nc_4_work"]),
-    ("Proprietary", ["all_rights"]),
 ]
 
 
