@@ -51,7 +51,7 @@ _MARK = "▁"
 
 def has_letter(column: str = "text"):
     """Whether ``predict`` finds a letter in a text."""
-    return F.coalesce(F.col(column), F.lit("")).rlike(r"\p{L}")
+    return unicode_text(column).rlike(r"\p{L}")
 
 
 @lru_cache(maxsize=2)

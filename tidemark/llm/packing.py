@@ -42,6 +42,10 @@ PLAN = T.StructType(
 )
 
 
+#: What a piece is told beside its document's id.
+_PIECE = T.StructType().add("piece", "integer").add("start", "long").add("length", "long").add("ids_crc32", "long").add("task", "integer").add("nth", "long")
+
+
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: id, ``piece``, ``start``, ``length``, ``ids_crc32``, the task that made
     it (``task``) and its number among that task's pieces of the same length (``nth``)."""
@@ -64,12 +68,11 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0
             kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id").take(pa.array(took, pa.int64())), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))],
-                names=[id_col, "piece", "start", "length", "ids_crc32", "task", "nth"],
+                names=["id", *(f.name for f in _PIECE)],
             )
 
-    kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(field(id_col).alias("id"), unicode_text(text_col).alias("text"))
-    return rows.mapInArrow(run, f"`{id_col}` {kind}, piece int, start long, length long, ids_crc32 long, task int, nth long")
+    return rows.mapInArrow(run, T.StructType([rows.schema["id"], *_PIECE])).withColumnRenamed("id", id_col)
 
 
 def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -93,7 +96,7 @@ def place(made: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         F.broadcast(plan),
         (F.col("length") == F.col("plan_length")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")),
     ).select(
-        *[c for c in made.columns if c not in ("task", "nth")],
+        *[field(c) for c in made.columns if c not in ("task", "nth")],
         (F.col("first_sequence") + F.floor(at / F.col("per_sequence"))).alias("sequence_id"),
         (F.col("first_offset") + at % F.col("per_sequence") * F.col("length")).alias("offset"),
     )

@@ -21,6 +21,7 @@ from collections import Counter
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.llm.common import field, slices, unicode_text
 
@@ -121,13 +122,13 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
             for text in batch.column("text").to_pylist():
                 spans = in_order(base_spans(text) + entropy_spans(text))
                 rows.append([{"kind": k, "start": a, "end": b, "match": text[a:b]} for k, a, b in spans])
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(rows, _FOUND)], names=[id_col, "found"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(rows, _FOUND)], names=["id", "found"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(field(id_col).alias("id"), unicode_text(text_col).alias("text"))
-    return rows.mapInArrow(run, f"`{id_col}` {kind}, found array<struct<kind:string,start:long,end:long,match:string>>")
+    return rows.mapInArrow(run, T.StructType([rows.schema["id"], T.StructField("found", _SPANS)])).withColumnRenamed("id", id_col)
 
 
+_SPANS = T.ArrayType(T.StructType().add("kind", "string").add("start", "long").add("end", "long").add("match", "string"))
 _FOUND = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("match", pa.string())]))
 
 
@@ -137,7 +138,7 @@ def digest(scanned: DataFrame, id_col: str = "doc_id") -> DataFrame:
     count = lambda kind: F.size(F.filter("found", lambda s: s.kind == kind)).cast("long")
     base = F.filter("found", lambda s: s.kind.isin("assign", "access", "hex"))
     return scanned.select(
-        id_col,
+        field(id_col),
         count("assign").alias("n_assign"),
         count("access").alias("n_access"),
         count("hex").alias("n_hex"),

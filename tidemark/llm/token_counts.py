@@ -19,6 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.llm import bpe
 from tidemark.llm.common import field, slices, unicode_text
@@ -40,12 +41,12 @@ def prefix_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
                     pc.binary_length(batch.column("text")).cast(pa.int64()),
                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)),
                 ],
-                names=[id_col, "n_bytes", "prefix_counts"],
+                names=["id", "n_bytes", "prefix_counts"],
             )
 
-    kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(field(id_col).alias("id"), unicode_text(text_col).alias("text"))
-    return rows.mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, prefix_counts array<int>")
+    schema = T.StructType([rows.schema["id"]]).add("n_bytes", "long").add("prefix_counts", T.ArrayType(T.IntegerType()))
+    return rows.mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
 def n_tokens(counts: Column) -> Column:
