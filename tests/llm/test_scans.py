@@ -1,10 +1,12 @@
 import hashlib
 import math
+import os
 import random
 import re
 import textwrap
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -99,7 +101,23 @@ def brute_contamination(text, items, window=10):
     return len(words), len(hit), sorted(owners)
 
 
-@pytest.mark.parametrize("block_bytes", [1 << 20, 300])
+def test_a_worker_process_builds_a_block_once(spark):
+    items = [("a", b"one two three")]
+    shared = spark.sparkContext.broadcast(items)
+
+    def run(batches):
+        for batch in batches:
+            matcher = decontaminate._matcher("a block", shared, 10)
+            yield pa.RecordBatch.from_arrays([pa.array([os.getpid()] * len(batch)), pa.array([id(matcher)] * len(batch))], names=["process", "matcher"])
+
+    found = spark.range(0, 4000, 1, 40).mapInArrow(run, "process long, matcher long").distinct().collect()
+    assert len(found) == len({r.process for r in found}) < 40
+    first = decontaminate._matcher("x", shared, 10)
+    assert decontaminate._matcher("x", shared, 10) is first
+    assert decontaminate._matcher("y", shared, 10) is not first and list(decontaminate._HELD) == ["y"]
+
+
+@pytest.mark.parametrize("block_bytes", [1 << 20, 12_000])
 def test_decontamination(spark, block_bytes):
     rng = random.Random(3)
     vocabulary = [f"word{i}" for i in range(60)] + ["été", "ß", "Ab", "0x1"]

@@ -5,10 +5,11 @@ is ten consecutive words of a benchmark item; a shorter item is one window. All
 automaton over word numbers; each document runs through it once, and matched words are mapped back
 to character offsets of the original text.
 
-The benchmark is broadcast only in blocks of at most ``block_bytes`` of text. A larger benchmark is
-split by a hash of its distinct rows and the documents, written once, are read by the blocks' automata
-one after the other; a pass writes its hits only, and results are the same. The driver holds one
-block at a time. An item that is larger than a block is a block of its own.
+The benchmark is broadcast in blocks whose automata are estimated, by the words of their windows, at
+``block_bytes`` or less; a worker process builds a block's automaton once and uses it for all of its
+tasks. A larger benchmark is split by a hash of its distinct rows and the documents, written once, are
+read by the blocks' automata one after the other; a pass writes its hits only, and results are the
+same. The driver holds one block at a time. An item that is larger than a block is a block of its own.
 
 Null or word-free texts have no words and no hits; items without words have no windows. A null item
 id is named ``null``. Repeated items and ids count once in ``items``. Documents' null or repeated
@@ -20,6 +21,7 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from itertools import repeat
 
 import ahocorasick
@@ -32,8 +34,10 @@ from pyspark.sql import types as T
 from tidemark.llm.common import cut, field, rows_of, slices, staged, unicode_text, whole_row
 
 WINDOW = 10
-#: Text bytes of the benchmark whose automaton one worker holds at once.
-BLOCK_BYTES = 16 << 20
+#: Estimated bytes of the automaton that one worker process holds at once.
+BLOCK_BYTES = 256 << 20
+#: Bytes of one of the automaton's nodes, of which a window has one a word.
+NODE_BYTES = 56
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 #: Bytes to word bytes: A-Z fall to a-z; digits, a-z and all bytes of non-ASCII stay; others part words (as spaces).
 _FOLD = bytes(
@@ -50,16 +54,23 @@ class Matcher:
 
     def __init__(self, items: list[tuple[str, bytes]], window: int) -> None:
         self.numbers: dict[bytes, int] = {}
-        owners: dict[tuple[int, ...], set[str]] = {}
+        owners: dict[tuple[int, ...], str | set[str]] = {}  # most windows are of one item
         for item, raw in items:
             ids = tuple(self.numbers.setdefault(w, len(self.numbers) + 1) for w in words_of(raw))
             size = min(window, len(ids))
             for start in range(len(ids) - size + 1 if size else 0):
-                owners.setdefault(ids[start : start + size], set()).add(item)
+                key = ids[start : start + size]
+                own = owners.setdefault(key, item)
+                if isinstance(own, set):
+                    own.add(item)
+                elif own != item:
+                    owners[key] = {own, item}
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-        for key, own in owners.items():
-            self.automaton.add_word(key, (len(key), tuple(own)))
-        self.any = bool(owners)
+        self.any, shared = bool(owners), {}
+        while owners:  # each goes once it is in
+            key, own = owners.popitem()
+            value = (len(key), tuple(sorted(own)) if isinstance(own, set) else (own,))
+            self.automaton.add_word(key, shared.setdefault(value, value))
         if self.any:
             self.automaton.make_automaton()
 
@@ -86,10 +97,13 @@ def merged(found: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return ranges
 
 
-def items_of(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> tuple[DataFrame, int]:
-    """Distinct (item, text, block) rows and the number of blocks, each of at most about ``block_bytes``."""
+def items_of(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int, window: int = WINDOW) -> tuple[DataFrame, int]:
+    """Distinct (item, text, block) rows and the number of blocks, whose automata are each estimated at
+    about ``block_bytes`` at most."""
     rows = benchmark.select(F.coalesce(field(item_col).cast("string"), F.lit("null")).alias("item"), unicode_text(text_col).alias("text")).where("text <> ''").distinct()
-    total = rows.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
+    words = n_words("text")
+    size = F.least(words, F.lit(window))
+    total = rows.agg(F.sum(F.octet_length("text") + 16 + NODE_BYTES * size * (words - size + 1))).first()[0] or 0
     n = max(1, math.ceil(1.5 * total / block_bytes)) if total > block_bytes else 1
     return rows.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(n))), n
 
@@ -103,7 +117,7 @@ def find(
     the input row as the struct ``row``."""
     held = [field(id_col).alias("id"), *([whole_row(docs)] if carry else [])]
     rows = docs.select(*held, unicode_text(text_col).alias("text"))
-    items, blocks = items_of(benchmark, item_col, item_text_col, block_bytes)
+    items, blocks = items_of(benchmark, item_col, item_text_col, block_bytes, window)
     if blocks > 1:
         return _in_blocks(rows, items, blocks, window).withColumnRenamed("id", id_col)
     return _shown(_pass(rows, _fetched(items), window)[0]).withColumnRenamed("id", id_col)
@@ -154,11 +168,11 @@ def _shown(found: DataFrame) -> DataFrame:
 def _pass(rows: DataFrame, block: list[tuple[str, bytes]], window: int) -> tuple[DataFrame, Broadcast]:
     """The rows without their text, with ``n_words``, ``items`` and ``ranges`` of one block; and the
     broadcast block."""
-    shared = rows.sparkSession.sparkContext.broadcast(block)
+    shared, name = rows.sparkSession.sparkContext.broadcast(block), uuid.uuid4().hex
     kept = [c for c in rows.columns if c != "text"]
 
     def run(batches):
-        matcher = Matcher(shared.value, window)
+        matcher = _matcher(name, shared, window)
         for batch in slices(batches, "text"):
             items, ranges, many = [], [], []
             for raw in batch.column("text").cast(pa.binary()).to_pylist():
@@ -174,6 +188,18 @@ def _pass(rows: DataFrame, block: list[tuple[str, bytes]], window: int) -> tuple
     return rows.mapInArrow(run, schema), shared
 
 
+#: The last automaton of this worker process by the name of its block: tasks that follow in the process
+#: use it, and the next block replaces it, so that a process holds one.
+_HELD: dict[str, Matcher] = {}
+
+
+def _matcher(block: str, shared: Broadcast, window: int) -> Matcher:
+    if block not in _HELD:
+        _HELD.clear()
+        _HELD[block] = Matcher(shared.value, window)
+    return _HELD[block]
+
+
 _PLACES = ("first", "end", "start", "stop")
 _RANGES = T.ArrayType(T.StructType([T.StructField(c, T.LongType()) for c in _PLACES]))
 _ARROW_RANGES = pa.list_(pa.struct([(c, pa.int64()) for c in _PLACES]))
@@ -190,7 +216,7 @@ _UPPER = {c: c + 32 for c in range(0x41, 0x5B)}
 
 def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return found.select(
-        id_col,
+        field(id_col),
         "n_words",
         "n_hit",
         F.size("items").cast("long").alias("n_items"),
