@@ -88,6 +88,20 @@ def test_stages_against_brute_force(spark, tables):
     assert step("decontamination") == Counter({t: 1 for t in near if not windows(t) & windows(leak)})
 
 
+def test_a_document_that_no_language_claims_goes(spark):
+    """Three languages with the same words and one of their own each: a text of an own word stays, one
+    of common words or of unknown letters, which all three explain alike, goes, letters or not."""
+    own = {"a": "κ", "b": "λ", "c": "μ"}
+    labelled = [(i, text, lang) for i in range(30) for lang, word in own.items() for text in ("water under winter", f"{word} {word}")]
+    texts = {"κ": True, "λ water " * 500: True, "under μ": True, "water winter": False, "under " * 3000: False, "Ж": False, "κ λ μ": False, "12 3": False, "": False, None: False}
+    asked = [(100 + k, text, None) for k, text in enumerate(texts)]
+    docs = spark.createDataFrame(labelled + asked, "doc_id long, text string, lang string")
+    kept = corpus_pipeline.keep_known_language(spark, docs, "")
+    assert kept.columns == docs.columns
+    assert [r.text for r in kept.where("doc_id >= 100").orderBy("doc_id").collect()] == [t for t, stays in texts.items() if stays]
+    assert kept.where("doc_id < 100 and text like 'water%'").count() == 0 and kept.where("doc_id < 100").count() == 90
+
+
 def test_run_packs_what_the_stages_keep(spark, tables):
     path, texts, leak = tables
     found = corpus_pipeline.run(spark, path).collect()
