@@ -69,3 +69,14 @@ def test_whole_texts_at_several_widths(spark):
     assert len(found) == len(rows) + 5
     wrong = [(rows[r["doc.id"]][0], r.licences, rows[r["doc.id"]][1][:80]) for r in found if r.licences != rows[r["doc.id"]][0]]
     assert wrong == []
+
+
+def test_query_reports_reserved_rights(spark, tmp_path):
+    """The registered query names a reserved right, as its SQL does; the licence rules alone don't."""
+    from tidemark.llm import queries
+
+    docs = spark.createDataFrame([(1, "It was a dark night. All rights reserved."), (2, "Released under the MIT License.\nAll rights reserved."), (3, "No notice."), (4, None)], "doc_id long, text string")
+    docs.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r.doc_id: r.licences for r in queries.op7_license_scan(spark, str(tmp_path)).collect()}
+    assert found == {1: "Proprietary", 2: "MIT,Proprietary", 3: "", 4: ""}
+    assert "'Proprietary'" in queries.ORACLES["op7_license_scan"]

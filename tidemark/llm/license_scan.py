@@ -154,6 +154,9 @@ RULES = [
     ("CC-BY-NC-4.0", ["cc_by_nc_4_work"]),
 ]
 
+#: Rules for notices that are no licence by themselves; ``op7_license_scan`` and its SQL report them too.
+NOTICES = [("Proprietary", ["all_rights"])]
+
 
 def pattern(ids: list[str], between: tuple | list = ()) -> str:
     """A rule over a sequence with a space before and after each identifier."""

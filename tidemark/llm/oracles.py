@@ -65,7 +65,7 @@ SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(v % {sharding.SHARDS} AS IN
 
 def _licences() -> str:
     known = ", ".join(f"'{text}': '{name}'" for name, text in license_scan.SENTENCES.items())
-    fired = ", ".join(f"CASE WHEN regexp_matches(s, '{license_scan.pattern(*rule)}') THEN '{name}' END" for name, *rule in license_scan.RULES)
+    fired = ", ".join(f"CASE WHEN regexp_matches(s, '{license_scan.pattern(*rule)}') THEN '{name}' END" for name, *rule in [*license_scan.RULES, *license_scan.NOTICES])
     return rf"""WITH p AS (SELECT doc_id, lower(regexp_replace(regexp_replace(coalesce(text, ''), '([.!?;:])[\x20\x09-\x0D]+', '\1' || chr(10), 'g'), '[^A-Za-z0-9\n]+', ' ', 'g')) AS t FROM documents),
 q AS (SELECT doc_id, list_filter(list_transform(string_split(t, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS ss FROM p),
 r AS (SELECT doc_id, len(ss) AS n_sentences, list_filter(list_transform(ss, lambda x: (MAP {{{known}}})[x]), lambda x: x IS NOT NULL) AS ids FROM q),

@@ -56,7 +56,7 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan.digest(license_scan.recognise(table(spark, sf_dir, "documents")))
+    return license_scan.digest(license_scan.recognise(table(spark, sf_dir, "documents"), rules=[*license_scan.RULES, *license_scan.NOTICES]))
 
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
