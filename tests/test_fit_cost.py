@@ -1,9 +1,13 @@
 """Steps that the tree, network and effect queries share take one exchange, one job or one pass."""
 
 import numpy as np
+from test_properties import learner_rows
+
 from tidemark.operators import learners
 from tidemark.plans import base, models  # noqa: F401
 
+X = ["a", "b", "c"]
+
 
 def test_returns_take_one_exchange(spark, sf_dir):
     plan = base.returns(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
@@ -15,3 +19,12 @@ def test_sorted_columns_can_be_given():
     x, y = rng.normal(size=(200, 3)).round(1), rng.normal(size=200)
     grown = [learners.grow(x, y, np.random.default_rng(1), 2, 1000, by_value=b) for b in (None, learners._by_value(x))]
     assert all(np.array_equal(a, b) for a, b in zip(*grown, strict=True))
+
+
+def test_architectures_are_fitted_together(spark):
+    rows, _ = learner_rows(spark)
+    both = learners.networks(rows, ["g"], X, ["NN1", "NN2"], 3, 20, 2).toPandas()
+    for name in ("NN1", "NN2"):
+        one = learners.networks(rows, ["g"], X, name, 3, 20, 2).toPandas().sort_values(["model", "day"])
+        found = both[both["model"].str.startswith(name)].sort_values(["model", "day"])
+        assert list(found["model"]) == list(one["model"]) and np.allclose(found["y_pred"], one["y_pred"])
