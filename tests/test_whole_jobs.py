@@ -1,5 +1,6 @@
 """Explanation and rolling queries run to their end and on all of their rows."""
 
+import datetime
 import math
 
 from tidemark.operators import explain, linear
@@ -21,3 +22,16 @@ def test_importance_grid_of_all_models(spark, sf_dir, monkeypatch):
         for r in explain.importance(effects, models.KEYS).collect():
             (own,) = [o.vi for o in found if (o.instrument, o.model, o.feature) == (r.instrument, "HAR", r.feature)]
             assert math.isclose(own, r.vi, rel_tol=1e-9)
+
+
+def test_shapley_shares_of_all_test_rows(spark):
+    first = datetime.date(2020, 1, 1)
+    rows = [("A", 1, first + datetime.timedelta(i), "train" if i < 20 else "test", float(i % 7), float(i % 5), 8.0 * (i >= 320)) for i in range(330)]
+    df = spark.createDataFrame(rows, "instrument string, horizon int, day date, split string, rvd double, rvw double, rvm double")
+    found = {r.feature: r.share for r in models.shares(df.where("split = 'train'"), df.where("split = 'test'"), models.RULE).collect()}
+    sizes = {}
+    for at, c in enumerate(models.HAR, 4):
+        mean = sum(r[at] for r in rows[:20]) / 20
+        sizes[c] = sum(abs(models.WEIGHTS[c] * (r[at] - mean)) for r in rows[20:]) / 310
+    assert all(math.isclose(found[c], sizes[c] / sum(sizes.values()), rel_tol=1e-9) for c in models.HAR)
+    assert models.first_rows(df.where("split = 'test'")).count() == 300
